@@ -1,0 +1,67 @@
+"""Help for keys that hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot above this share of the rows, so there are fewer than a thousand of
+# them whatever the size of the table, and the list of them can be broadcast.
+HOT_SHARE = 0.001
+HOT_MINIMUM = 200_000
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, key: str, minimum: int = HOT_MINIMUM) -> DataFrame:
+    """Keys of `counts(key, n)` with at least `minimum` rows and a 0.1% share.
+
+    The total is a scalar subquery over the same counts, so nothing is collected.
+    """
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    hot = counts.where((F.col("n") >= minimum) & (F.col("n") >= total * F.lit(HOT_SHARE)))
+    return hot.select(key)
+
+
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+
+
+def flag_hot(df: DataFrame, hot: DataFrame, key: str, flag: str) -> DataFrame:
+    marked = hot.select(F.col(key).alias("_hot_key"))
+    return (
+        df.join(F.broadcast(marked), F.col(key) == F.col("_hot_key"), "left")
+        .withColumn(flag, F.col("_hot_key").isNotNull())
+        .drop("_hot_key")
+    )
+
+
+def salted_lookup(
+    df: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    hot: DataFrame,
+    spread: Column,
+    how: str = "left",
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join `lookup`, unique on `key`, to `df` with the rows of hot keys spread out.
+
+    Rows of a hot key go to `salts` partitions by the hash of `spread`; the one lookup
+    row of that key is repeated for each of them. Rows without a key match nothing and
+    are spread over all partitions. Other keys are joined as usual.
+    """
+    anywhere = F.xxhash64(spread)
+    salt = (
+        F.when(F.col(key).isNull(), anywhere)
+        .when(F.col("_hot"), F.pmod(anywhere, F.lit(salts)))
+        .otherwise(F.lit(0).cast("long"))
+    )
+    left = flag_hot(df, hot, key, "_hot").withColumn("_salt", salt).drop("_hot")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    only = F.array(F.lit(0).cast("long"))
+    right = (
+        flag_hot(lookup, hot, key, "_hot")
+        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(only)))
+        .drop("_hot")
+    )
+    return left.join(right, [key, "_salt"], how).drop("_salt")
