@@ -1 +1,8 @@
 """Candidate ingest, identity merge and vector search as Spark jobs."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions that run in tasks travel with the job, so executors need no installed copy.
+register_pickle_by_value(sys.modules[__name__])

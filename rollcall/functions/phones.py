@@ -25,12 +25,17 @@ def is_placeholder(key: Column) -> Column:
     return key.rlike(r"^(.)\1{9}$") | key.rlike("55501[0-9][0-9]$")
 
 
+# The last ten digits, unless is_placeholder() holds for them.
+USABLE = r"(?!([0-9])\1{9}$)(?![0-9]{3}55501[0-9]{2}$)[0-9]{10}$"
+
+
 def normalize_phone(phone: Column) -> Column:
-    """Ten-digit identity key, or null where the number cannot serve as one."""
-    digits = digits_only(phone)
-    key = last_digits(digits)
-    usable = (F.length(digits) >= SIGNIFICANT_DIGITS) & ~is_placeholder(key)
-    return F.when(usable, key)
+    """Ten-digit identity key, or null where the number cannot serve as one.
+
+    One pattern on one mention of `phone`, so the expression stays small when it is
+    inlined into filters and keys.
+    """
+    return F.get(F.regexp_extract_all(digits_only(phone), F.lit(USABLE), F.lit(0)), F.lit(0))
 
 
 def mask_phone(key: Column) -> Column:

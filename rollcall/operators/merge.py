@@ -51,7 +51,7 @@ STORED = -(1 << 62)
 
 @dataclass
 class MergeResult:
-    """All frames read tables already written, so each can be used more than once."""
+    """What a merge did; the frames join written tables with the incoming rows."""
 
     rows: DataFrame  # new and overwritten rows, `is_update` tells which
     outcomes: DataFrame  # seq, strategy, action: insert, update or reject
@@ -117,7 +117,7 @@ def merge(
             F.col("ord").alias("seq"), F.col("via").alias("via")
         )
     final = materialize(final, "owners")
-    outcomes = materialize(_outcomes(narrow, events, final, rejects, moved), "outcomes")
+    outcomes = _outcomes(narrow, final, rejects, moved)
     return MergeResult(
         rows=_written_rows(stored, writes, final, now),
         outcomes=outcomes,
@@ -153,7 +153,6 @@ def _events(stored: DataFrame, narrow: DataFrame, hot_minimum: int) -> DataFrame
         touched.unionByName(narrow.select(F.col("seq").alias("ord"), "k", "e")), "keys"
     )
 
-    by_key = skew.key_counts(events, "k")
     by_email = materialize(
         events.where("e is not null")
         .groupBy("e")
@@ -164,24 +163,18 @@ def _events(stored: DataFrame, narrow: DataFrame, hot_minimum: int) -> DataFrame
         ),
         "emails",
     )
-    hot_k = materialize(skew.hot_keys(by_key, "k", hot_minimum), "hot-keys")
-    hot_e = materialize(skew.hot_keys(by_email.select("e", "n"), "e", hot_minimum), "hot-emails")
-
-    low, high = narrow.agg(F.min("seq"), F.max("seq")).first()
-    width = block_width(low or 0, high or 0)
-    block = F.when(F.col("ord") < 0, F.lit(-1)).otherwise(F.floor(F.col("ord") / F.lit(width)))
-    none = F.lit(0).cast("long")
-    flagged = skew.flag_hot(skew.flag_hot(events, hot_k, "k", "k_hot"), hot_e, "e", "e_hot")
-    flagged = flagged.withColumn(
-        "k_block", F.when(F.col("k_hot"), block).otherwise(none)
-    ).withColumn("e_block", F.when(F.col("e_hot"), block).otherwise(none))
+    hot_k, hot_e = None, None
+    if events.count() >= hot_minimum:
+        by_key = skew.key_counts(events, "k")
+        hot_k = materialize(skew.hot_keys(by_key, "k", hot_minimum), "hot-keys")
+        hot_e = materialize(skew.hot_keys(by_email, "e", hot_minimum), "hot-emails")
+    flagged = _flag(_flag(events, narrow, "k", hot_k), narrow, "e", hot_e)
 
     shared = by_email.where("low <> high").select("e", F.lit(True).alias("shared"))
     if shared.isEmpty():
         return flagged.withColumn("contested", F.lit(False))
     spread = F.col("ord")
-    marked = skew.salted_lookup(flagged, shared, "e", hot_e, spread)
-    marked = materialize(marked, "marked")
+    marked = materialize(skew.salted_lookup(flagged, shared, "e", hot_e, spread), "marked")
     fought = marked.where("shared and k is not null").select("k").distinct()
     fought = fought.withColumn("fought", F.lit(True))
     return (
@@ -191,6 +184,18 @@ def _events(stored: DataFrame, narrow: DataFrame, hot_minimum: int) -> DataFrame
     )
 
 
+def _flag(events: DataFrame, narrow: DataFrame, side: str, hot: DataFrame | None) -> DataFrame:
+    """Mark events on a hot key and give them the block of positions they lie in."""
+    flag, block, none = f"{side}_hot", f"{side}_block", F.lit(0).cast("long")
+    if hot is None or hot.isEmpty():
+        return events.withColumn(flag, F.lit(False)).withColumn(block, none)
+    low, high = narrow.agg(F.min("seq"), F.max("seq")).first()
+    width = F.lit(block_width(low, high))
+    place = F.when(F.col("ord") < 0, -1).otherwise(F.floor((F.col("ord") - low) / width))
+    marked = skew.flag_hot(events, hot, side, flag)
+    return marked.withColumn(block, F.when(F.col(flag), place).otherwise(none))
+
+
 def _uncontested(events: DataFrame) -> DataFrame:
     """Last write wins; the first event of the key decides which row it is."""
     alone = F.concat(F.lit("n:"), F.col("ord").cast("string"))
@@ -299,7 +304,7 @@ def _owners(chains: DataFrame) -> DataFrame:
         links.select(F.col("origin").alias("ord")).distinct()
     )
     links = materialize(links.join(wanted.distinct(), "ord", "left_semi"), "links")
-    while True:
+    while not links.isEmpty():
         further = links.select(F.col("ord").alias("origin"), F.col("origin").alias("beyond"))
         stepped = links.join(further, "origin", "left")
         if stepped.where("beyond is not null").isEmpty():
@@ -314,7 +319,6 @@ def _owners(chains: DataFrame) -> DataFrame:
 
 def _outcomes(
     narrow: DataFrame,
-    events: DataFrame,
     final: DataFrame,
     rejects: DataFrame | None,
     moved: DataFrame | None,

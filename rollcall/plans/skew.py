@@ -39,7 +39,7 @@ def salted_lookup(
     df: DataFrame,
     lookup: DataFrame,
     key: str,
-    hot: DataFrame,
+    hot: DataFrame | None,
     spread: Column,
     how: str = "left",
     salts: int = SALTS,
@@ -48,8 +48,11 @@ def salted_lookup(
 
     Rows of a hot key go to `salts` partitions by the hash of `spread`; the one lookup
     row of that key is repeated for each of them. Rows without a key match nothing and
-    are spread over all partitions. Other keys are joined as usual.
+    are spread over all partitions. Other keys are joined as usual. Pass None for `hot`
+    where the table is too small to have a hot key.
     """
+    if hot is None:
+        return df.join(lookup, key, how)
     anywhere = F.xxhash64(spread)
     salt = (
         F.when(F.col(key).isNull(), anywhere)
