@@ -111,8 +111,10 @@ def rank_batches(
 
 
 def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, size: int):
+    """Blocks of (ids, matrix) on the driver, one at a time."""
     rows = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    stream = rows.toLocalIterator()
+    first = rows.limit(size + 1).collect()
+    stream = iter(first) if len(first) <= size else rows.toLocalIterator()
     while block := list(itertools.islice(stream, size)):
         yield [row[0] for row in block], np.array([row[1] for row in block], dtype=np.float64)
 
@@ -187,9 +189,12 @@ def _pass(part, corpus, k, id_column, vector_column, query_id, id_type, probes)
 
     ranked = Window.partitionBy("_asked").orderBy(F.col("similarity").desc(), id_column)
     labels = F.array(*[F.lit(name).cast(id_type) for name in names])
+    found = corpus.mapInArrow(run, schema)
+    if len(names) == 1:
+        # Merges the tasks' hits without a shuffle.
+        found = found.orderBy(F.col("similarity").desc(), id_column).limit(k)
     return (
-        corpus.mapInArrow(run, schema)
-        .withColumn("rank", F.row_number().over(ranked))
+        found.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= k)
         .select(
             F.element_at(labels, F.col("_asked") + 1).alias(query_id),
@@ -247,12 +252,13 @@ class Probes:
     """Sign-of-projection cells (random-hyperplane hashing for cosine similarity).
 
     A vector's cell has one bit per plane: the side it lies on. A query looks into the
-    cells that differ from its own in at most `radius` bits. The planes are signs taken
-    from md5, so they are the same in every job and a new row never moves an old one.
+    `probes` cells it is closest to, where leaving its own side of a plane costs the
+    square of its distance from that plane. The planes are signs taken from md5, so they
+    are the same in every job and a new row never moves an old one.
     """
 
-    def __init__(self, dimensions: int, bits: int = 8, radius: int = 2, cell: str = "cell"):
-        self.dimensions, self.bits, self.radius, self.cell = dimensions, bits, radius, cell
+    def __init__(self, dimensions: int, bits: int = 8, probes: int = 64, cell: str = "cell"):
+        self.dimensions, self.bits, self.probes, self.cell = dimensions, bits, probes, cell
         signs = [
             [1.0 if hashlib.md5(f"{b}:{d}".encode()).hexdigest()[0] < "8" else -1.0
              for d in range(dimensions)]
@@ -265,8 +271,15 @@ class Probes:
         return sides @ (1 << np.arange(self.bits))
 
     def allowed(self, queries: np.ndarray) -> np.ndarray:
-        differing = self.cells(queries)[:, None] ^ np.arange(1 << self.bits)[None, :]
-        return np.bitwise_count(differing) <= self.radius
+        """For each query and cell, whether the query looks there."""
+        cells = np.arange(1 << self.bits)
+        distances = np.square(queries @ self.planes.T)
+        wanted = np.zeros((len(queries), len(cells)), dtype=bool)
+        for row, home in enumerate(self.cells(queries)):
+            crossed = ((cells ^ home)[:, None] >> np.arange(self.bits)) & 1
+            cost = np.round(crossed @ distances[row], RANK_DECIMALS)
+            wanted[row, np.lexsort((cells, cost))[: self.probes]] = True
+        return wanted
 
 
 def add_cells(df: DataFrame, probes: Probes, vector_column: str = "embedding") -> DataFrame:

@@ -204,29 +204,34 @@ def tier(s: str) -> str:
     )
 
 
-BITS, DIMS, RADIUS = PROBES["bits"], PROBES["dimensions"], PROBES["radius"]
-
-
-def cell(vector: str) -> str:
-    """One bit per plane; a plane's signs are first md5 digits below 8."""
-    side = (
-        f"list_sum(list_transform({vector}, lambda x, i: x * "
-        "CASE WHEN md5(b::VARCHAR || ':' || (i - 1)::VARCHAR)[1:1] < '8' THEN 1.0 ELSE -1.0 END)) >= 0"
-    )
-    return f"(SELECT sum(CASE WHEN {side} THEN 1 << b ELSE 0 END)::INT FROM range({BITS}) bits(b))"
-
+BITS, DIMS, CELLS = PROBES["bits"], PROBES["dimensions"], PROBES["probes"]
 
 CELLED = f"""
 {CENTERS},
-corpus AS (SELECT vec_id, embedding::DOUBLE[] AS ev, {cell('embedding::DOUBLE[]')} AS cell FROM embeddings),
-asked AS (SELECT query_id, v, {cell('v')} AS home FROM centers),
+planes AS (
+    SELECT b, list(CASE WHEN md5(b || ':' || d)[1:1] < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS p
+    FROM range({BITS}) x(b), range({DIMS}) y(d) GROUP BY b
+),
+corpus AS (
+    SELECT vec_id, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], p) >= 0 THEN 1 << b ELSE 0 END)::INT AS cell
+    FROM embeddings, planes GROUP BY vec_id
+),
+margins AS (SELECT query_id, b, list_dot_product(v, p) AS m FROM centers, planes),
+homes AS (SELECT query_id, sum(CASE WHEN m >= 0 THEN 1 << b ELSE 0 END)::INT AS home FROM margins GROUP BY query_id),
+probed AS (
+    SELECT query_id, cell FROM (
+        SELECT query_id, c::INT AS cell, round(sum((xor(c::INT, home) >> b::INT & 1) * m * m), 9) AS cost
+        FROM margins JOIN homes USING (query_id), range(1 << {BITS}) z(c) GROUP BY query_id, c)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, cell) <= {CELLS}
+),
 near AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM (
-        SELECT query_id, vec_id, cell, round(list_cosine_similarity(ev, v), 9) AS s
-        FROM corpus, asked WHERE bit_count(xor(cell, home)) <= {RADIUS})
+        SELECT query_id, vec_id, cell, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s
+        FROM probed JOIN corpus USING (cell) JOIN embeddings USING (vec_id) JOIN centers USING (query_id))
 )
 """
 
+
 TEXTS = f"""
 {BASE},
 texts AS (

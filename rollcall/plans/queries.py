@@ -24,8 +24,8 @@ from rollcall.plans.scratch import scratch_path
 from rollcall.sources.snapshots import Snapshots
 from rollcall.streaming import ingest, progress, retries
 
-LIMITS = archives.Limits(files=500, total_bytes=120_000, file_bytes=12_000, ratio=100.0)
-PROBES = {"dimensions": 64, "bits": 6, "radius": 2}
+LIMITS = archives.Limits(files=500, total_bytes=800_000, file_bytes=24_000, ratio=130.0)
+PROBES = {"dimensions": 64, "bits": 6, "probes": 22}
 
 
 def fixed_now():
