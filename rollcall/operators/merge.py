@@ -102,13 +102,13 @@ def merge(
         strategy(F.col("phone_normalized"), F.col("batch_id")).alias("strategy"),
     )
     narrow = materialize(narrow, "writes")
-    events = materialize(_events(stored, narrow, hot_minimum), "events")
+    events, has_hot = _events(stored, narrow, hot_minimum)
+    events = materialize(events, "events")
 
     contested = events.where("contested")
     if contested.isEmpty():
         final, rejects, moved = _uncontested(events), None, None
     else:
-        has_hot = _has_hot(contested)
         settled = _settle(contested, has_hot)
         chains = materialize(_chains(settled, has_hot), "chains")
         final = _uncontested(events.where("not contested")).unionByName(_owners(chains))
@@ -134,7 +134,9 @@ def next_snapshot(stored: DataFrame, result: MergeResult) -> DataFrame:
     return untouched.unionByName(result.rows.drop("is_update"), allowMissingColumns=True)
 
 
-def _events(stored: DataFrame, narrow: DataFrame, hot_minimum: int) -> DataFrame:
+def _events(
+    stored: DataFrame, narrow: DataFrame, hot_minimum: int
+) -> tuple[DataFrame, dict[str, bool]]:
     """Writes and the stored rows they can meet, as (ord, k, e) with skew flags."""
     kept = stored.select(
         (F.lit(STORED) + F.col("id")).alias("ord"),
@@ -168,26 +170,26 @@ def _events(stored: DataFrame, narrow: DataFrame, hot_minimum: int) -> DataFrame
         by_key = skew.key_counts(events, "k")
         hot_k = materialize(skew.hot_keys(by_key, "k", hot_minimum), "hot-keys")
         hot_e = materialize(skew.hot_keys(by_email, "e", hot_minimum), "hot-emails")
-    flagged = _flag(_flag(events, narrow, "k", hot_k), narrow, "e", hot_e)
+    has_hot = {side: hot is not None and not hot.isEmpty() for side, hot in (("k", hot_k), ("e", hot_e))}
+    flagged = _flag(events, narrow, "k", hot_k if has_hot["k"] else None)
+    flagged = _flag(flagged, narrow, "e", hot_e if has_hot["e"] else None)
 
     shared = by_email.where("low <> high").select("e", F.lit(True).alias("shared"))
     if shared.isEmpty():
-        return flagged.withColumn("contested", F.lit(False))
+        return flagged.withColumn("contested", F.lit(False)), has_hot
     spread = F.col("ord")
     marked = materialize(skew.salted_lookup(flagged, shared, "e", hot_e, spread), "marked")
     fought = marked.where("shared and k is not null").select("k").distinct()
     fought = fought.withColumn("fought", F.lit(True))
-    return (
-        skew.salted_lookup(marked, fought, "k", hot_k, spread)
-        .withColumn("contested", F.col("shared").isNotNull() | F.col("fought").isNotNull())
-        .drop("shared", "fought")
-    )
+    found = skew.salted_lookup(marked, fought, "k", hot_k, spread)
+    contested = F.col("shared").isNotNull() | F.col("fought").isNotNull()
+    return found.withColumn("contested", contested).drop("shared", "fought"), has_hot
 
 
 def _flag(events: DataFrame, narrow: DataFrame, side: str, hot: DataFrame | None) -> DataFrame:
     """Mark events on a hot key and give them the block of positions they lie in."""
     flag, block, none = f"{side}_hot", f"{side}_block", F.lit(0).cast("long")
-    if hot is None or hot.isEmpty():
+    if hot is None:
         return events.withColumn(flag, F.lit(False)).withColumn(block, none)
     low, high = narrow.agg(F.min("seq"), F.max("seq")).first()
     width = F.lit(block_width(low, high))
@@ -215,11 +217,6 @@ def _scan(df: DataFrame, side: str, has_hot: dict[str, bool], **columns) -> Data
     return nearest(df, side, f"{side}_block", "ord", hot, **columns)
 
 
-def _has_hot(events: DataFrame) -> dict[str, bool]:
-    found = events.agg(F.bool_or("k_hot"), F.bool_or("e_hot")).first()
-    return {"k": bool(found[0]), "e": bool(found[1])}
-
-
 def _settle(contested: DataFrame, has_hot: dict[str, bool]) -> DataFrame:
     """Find which contested events are accepted; adds the owners each one meets."""
     # A missing key never meets another: give each its own.

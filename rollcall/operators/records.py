@@ -82,52 +82,60 @@ def call_extractor(documents: DataFrame, extractor: Extractor) -> DataFrame:
     return routed.mapInPandas(run, f"{fields}, reply string, error_class string, message string")
 
 
-def parse_reply(reply: Column) -> Column:
-    """The record of a valid reply, or null.
+def parse_replies(df: DataFrame, reply: str = "reply", record: str = "record") -> DataFrame:
+    """Add the record of a valid reply, or null.
 
     All six keys are required. The four texts are a string or null, the years a whole
     number, such a number as text, a flag, or null, and the skills a list of strings.
+    The reply is parsed into its own column first, so once and not for every rule.
     """
-    parsed = F.try_parse_json(reply)
-    keys = F.array_intersect(F.json_object_keys(reply), F.array(*[F.lit(k) for k in REPLY_KEYS]))
-    valid = F.size(keys) == len(REPLY_KEYS)
+    parsed = F.col("_parsed")
 
-    def kind(key: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+    def part(key: str) -> Column:
+        return F.try_variant_get(parsed, f"$.{key}", "variant")
 
     def text(key: str) -> Column:
         return F.try_variant_get(parsed, f"$.{key}", "string")
 
-    for key in TEXT_KEYS:
-        valid = valid & kind(key).isin("STRING", "VOID")
+    required = F.array(*[F.lit(key) for key in REPLY_KEYS])
+    prepared = df.withColumn("_parsed", F.try_parse_json(reply)).withColumn(
+        "_complete",
+        F.size(F.array_intersect(F.json_object_keys(reply), required)) == len(REPLY_KEYS),
+    )
+    kinds = F.struct(*[F.schema_of_variant(part(key)).alias(key) for key in REPLY_KEYS])
+    prepared = prepared.withColumn("_kinds", kinds).withColumn(
+        "_skills", F.try_variant_get(parsed, "$.skills", "array<string>")
+    )
 
     written = F.regexp_extract(F.trim(text("experience_years")), r"^([+-]?[0-9]+)(\.0*)?$", 1)
     flag = F.when(text("experience_years") == "true", 1).otherwise(0)
-    years = F.when(kind("experience_years") == "BOOLEAN", flag).otherwise(
+    years = F.when(F.col("_kinds.experience_years") == "BOOLEAN", flag).otherwise(
         F.nullif(written, F.lit("")).try_cast("int")
     )
-    valid = valid & ((kind("experience_years") == "VOID") | years.isNotNull())
-
-    skills = F.try_variant_get(parsed, "$.skills", "array<string>")
     valid = (
-        valid
-        & kind("skills").isin("ARRAY<STRING>", "ARRAY<VOID>")
-        & F.coalesce(F.forall(skills, lambda s: s.isNotNull()), F.lit(False))
+        F.col("_complete")
+        & ((F.col("_kinds.experience_years") == "VOID") | F.col("_years").isNotNull())
+        & F.col("_kinds.skills").isin("ARRAY<STRING>", "ARRAY<VOID>")
+        & F.forall("_skills", lambda s: s.isNotNull())
     )
-    record = F.struct(
+    for key in TEXT_KEYS:
+        valid = valid & F.col(f"_kinds.{key}").isin("STRING", "VOID")
+    found = F.struct(
         text("name").alias("name"),
         text("raw_title").alias("raw_title"),
-        years.alias("experience_years"),
+        F.col("_years").alias("experience_years"),
         text("phone").alias("phone"),
         text("email").alias("email"),
-        normalize_skills(skills).alias("skills"),
+        normalize_skills(F.col("_skills")).alias("skills"),
+    )
+    return prepared.withColumn("_years", years).select(
+        *df.columns, F.when(F.coalesce(valid, F.lit(False)), found).alias(record)
     )
-    return F.when(F.coalesce(valid, F.lit(False)), record)
 
 
 def validate_replies(replies: DataFrame) -> DataFrame:
     """Add `record`; a reply that does not parse becomes a permanent error."""
-    parsed = replies.withColumn("record", F.when(F.col("error_class").isNull(), parse_reply(F.col("reply"))))
+    parsed = parse_replies(replies)
     bad = F.col("error_class").isNull() & F.col("record").isNull()
     return (
         parsed.withColumn("message", F.when(bad, "unparseable reply").otherwise(F.col("message")))
@@ -155,7 +163,10 @@ def public_failures(dead: DataFrame) -> DataFrame:
 def extract_contacts(documents: DataFrame, text: str = "text") -> DataFrame:
     """Built-in extractor: contacts and years found by patterns in the whole text."""
     body = F.col(text)
-    emails = F.regexp_extract_all(body, F.lit(EMAIL), F.lit(0))
+    # Few texts have an @ at all, and looking for one is much cheaper than the pattern.
+    emails = F.when(
+        F.contains(body, F.lit("@")), F.regexp_extract_all(body, F.lit(EMAIL), F.lit(0))
+    ).otherwise(F.array().cast("array<string>"))
     numbers = F.regexp_extract_all(body, F.lit(PHONE), F.lit(0))
     found = documents.withColumn("_emails", emails).withColumn("_numbers", numbers)
     keys = F.filter(F.transform(F.col("_numbers"), normalize_phone), lambda key: key.isNotNull())

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rollcall.functions.scores import RANK_DECIMALS, confidence_tier, match_score
 from rollcall.plans.scratch import materialize
@@ -60,6 +61,7 @@ def best_per_query(query: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k
 def rank_batches(
     batches: Iterator[pa.RecordBatch],
     queries: np.ndarray,
+    query_ids: pa.Array,
     k: int,
     id_place: int,
     vector_place: int,
@@ -107,7 +109,11 @@ def rank_batches(
             np.minimum.at(lowest, asked_all, scores_all)
             floor = np.where(counts >= k, lowest, -np.inf)
     if best is not None:
-        yield from best.to_batches()
+        asked = best.column("_asked").combine_chunks()
+        columns = [*best.drop_columns(["_asked", "similarity"]).columns, best.column("similarity")]
+        names = [n for n in best.column_names if n not in ("_asked", "similarity")]
+        named = pa.table([query_ids.take(asked), *columns], names=["_query", *names, "similarity"])
+        yield from named.combine_chunks().to_batches()
 
 
 def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, size: int):
@@ -178,17 +184,19 @@ def _pass(part, corpus, k, id_column, vector_column, query_id, id_type, probes)
     kept = [f for f in corpus.schema.fields if f.name != vector_column]
     schema = T.StructType(
         [
+            T.StructField("_query", id_type),
             *kept,
-            T.StructField("_asked", T.IntegerType()),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
+    query_ids = pa.array(names, to_arrow_type(id_type))
 
     def run(batches):
-        return rank_batches(batches, vectors, k, id_place, vector_place, allowed, cell_place)
+        return rank_batches(
+            batches, vectors, query_ids, k, id_place, vector_place, allowed, cell_place
+        )
 
-    ranked = Window.partitionBy("_asked").orderBy(F.col("similarity").desc(), id_column)
-    labels = F.array(*[F.lit(name).cast(id_type) for name in names])
+    ranked = Window.partitionBy("_query").orderBy(F.col("similarity").desc(), id_column)
     found = corpus.mapInArrow(run, schema)
     if len(names) == 1:
         # Merges the tasks' hits without a shuffle.
@@ -197,10 +205,7 @@ def _pass(part, corpus, k, id_column, vector_column, query_id, id_type, probes)
         found.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= k)
         .select(
-            F.element_at(labels, F.col("_asked") + 1).alias(query_id),
-            *[f.name for f in kept],
-            "similarity",
-            "rank",
+            F.col("_query").alias(query_id), *[f.name for f in kept], "similarity", "rank"
         )
     )
 

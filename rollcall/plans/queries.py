@@ -85,6 +85,14 @@ def topk_batch(spark, sf_dir):
     return hits.select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def topk_every_vector(spark, sf_dir):
+    """Every stored vector as a query over all of them."""
+    corpus = _embeddings(spark, sf_dir).select("vec_id", "embedding")
+    queries = corpus.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    hits = search.top_k(corpus, queries, 5, id_column="vec_id")
+    return hits.select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 def _approximate(spark, sf_dir):
     probes = search.Probes(**PROBES)
     path = scratch_path(spark, "index")
@@ -431,7 +439,7 @@ def stream_retry(spark, sf_dir):
 
 
 NAMES = [
-    "topk_cosine", "topk_calibrated", "topk_filtered", "topk_batch", "ann_lsh", "ann_recall",
+    "topk_cosine", "topk_calibrated", "topk_filtered", "topk_batch", "topk_every_vector", "ann_lsh", "ann_recall",
     "search_candidates", "extract_contacts", "normalize_phone", "placeholder_report",
     "duplicate_phones", "duplicate_phones_top", "phone_backfill", "normalize_skills",
     "map_skills_table", "embedding_text", "hash_encode", "missing_vectors", "merge_last_wins",

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.outcomes import MAX_RETRIES, retry_delay
-from rollcall.plans.scratch import materialize
 
 # Adds `error_class` to rows with `file` and `attempt`: null, transient or permanent.
 Attempt = Callable[[DataFrame], DataFrame]
@@ -18,7 +18,7 @@ class RetryingStream:
     """Runs every file until it succeeds, fails for good or has no attempts left.
 
     Each step takes the new files and the retries that are due, and writes what came of
-    them and the retries that remain in a folder of its own. The next step reads only
+    them and the retries that remain in one folder of its own. The next step reads only
     the folder before it, so a step that is run again gives the same result.
     """
 
@@ -26,25 +26,24 @@ class RetryingStream:
         self.spark, self.root, self.attempt = spark, root.rstrip("/"), attempt
         self.max_retries = max_retries
 
-    def _queue(self, step: int) -> DataFrame | None:
-        path = f"{self.root}/queue/{step}"
-        location = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        if not location.getFileSystem(conf).exists(location):
-            return None
-        return self.spark.read.parquet(path)
+    def _folder(self, step: int, part: str) -> DataFrame:
+        """`ended` or `waiting` rows of a step; the other part is not read."""
+        rows = self.spark.read.parquet(f"{self.root}/step-{step}")
+        return rows.where(F.col("part") == part).drop("part")
+
+    def waiting(self, step: int) -> DataFrame:
+        return self._folder(step, "waiting").drop("outcome", "error_class")
 
     def step(self, files: DataFrame | None, step: int, now: Column) -> DataFrame:
         """One round; returns the retries still waiting."""
-        waiting = self._queue(step - 1) if step else None
-        due, later = None, None
-        if waiting is not None:
-            due = waiting.where(F.col("next_at") <= now).drop("next_at")
-            later = waiting.where(F.col("next_at") > now)
-        fresh = None if files is None else files.withColumn("attempt", F.lit(0))
-        work = fresh if due is None else due if fresh is None else fresh.unionByName(due)
-        done = materialize(self.attempt(work), "attempt")
-
+        work, later = None, None
+        if files is not None:
+            work = files.withColumn("attempt", F.lit(0))
+        if step:
+            queue = self.waiting(step - 1)
+            due = queue.where(F.col("next_at") <= now).drop("next_at")
+            work = due if work is None else work.unionByName(due)
+            later = queue.where(F.col("next_at") > now)
         transient = F.col("error_class") == "transient"
         again = F.coalesce(transient & (F.col("attempt") < self.max_retries), F.lit(False))
         outcome = (
@@ -52,31 +51,32 @@ class RetryingStream:
             .when(transient, "exhausted")
             .otherwise("failed")
         )
-        done.where(~again).withColumn("outcome", outcome).write.mode("overwrite").parquet(
-            f"{self.root}/ended/{step}"
-        )
         delay = retry_delay(F.col("attempt"), F.col("file"))
-        queued = (
-            done.where(again)
-            .withColumn("next_at", F.timestamp_seconds(F.unix_timestamp(now) + delay))
-            .withColumn("attempt", F.col("attempt") + 1)
-            .drop("error_class")
+        done = (
+            self.attempt(work)
+            .withColumn("part", F.when(again, "waiting").otherwise("ended"))
+            .withColumn("outcome", F.when(~again, outcome))
+            .withColumn("next_at", F.when(again, F.timestamp_seconds(F.unix_timestamp(now) + delay)))
+            .withColumn("attempt", F.col("attempt") + again.cast("int"))
         )
         if later is not None:
-            queued = queued.unionByName(later)
-        queued.write.mode("overwrite").parquet(f"{self.root}/queue/{step}")
-        return self.spark.read.parquet(f"{self.root}/queue/{step}")
+            done = done.unionByName(
+                later.withColumn("part", F.lit("waiting")), allowMissingColumns=True
+            )
+        done.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/step-{step}")
+        return self.waiting(step)
 
     def drain(self, step: int, clock: Column) -> int:
         """Run the waiting retries to their end, with the clock moved past every delay.
 
         At most as many steps as there are retries to a file.
         """
-        while not self._queue(step).isEmpty():
+        while not self.waiting(step).isEmpty():
             step += 1
             clock = clock + F.expr("INTERVAL 1 HOUR")
             self.step(None, step, clock)
         return step
 
     def ended(self, last_step: int) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/ended/{s}" for s in range(last_step + 1)])
+        parts = [self._folder(s, "ended") for s in range(last_step + 1)]
+        return reduce(DataFrame.unionByName, parts).drop("next_at")

@@ -203,10 +203,14 @@ def test_replies(spark):
         reply(skills=[1]), reply(skills=["a", None]), reply(skills=[None]), reply(skills="Welder"),
         reply(experience_years=7.5), reply(experience_years="many"), reply(name=5), reply()[:-1],
     ]
-    parsed = records.parse_reply(F.col("r"))
-    got = one(spark, "r string", list(valid), parsed)
+
+    def parsed(replies):
+        frame = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+        return [r["record"] for r in records.parse_replies(frame).orderBy("i").collect()]
+
+    got = parsed(valid)
     assert [(r["name"], r["experience_years"], r["skills"]) for r in got] == list(valid.values())
-    assert one(spark, "r string", broken, parsed) == [None] * len(broken)
+    assert parsed(broken) == [None] * len(broken)
 
 
 def test_vector_text(spark):
