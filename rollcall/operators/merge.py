@@ -23,7 +23,8 @@ How it is computed without replaying the writes one by one:
     key still owns it unless an accepted write on j's other key came in between. That
     gives a new set of accepted writes; repeat until it no longer changes. A write
     depends on earlier writes only, so there is exactly one such set and every round
-    settles at least the next write of each group. Usually two or three rounds do.
+    settles at least the next write of each group. Usually two or three rounds do, and
+    groups that are settled leave the rounds that others still need.
 *   The history of a row is a chain of accepted writes. Runs on one key are shortened
     to their first write by a scan, the few links that remain by pointer doubling.
 
@@ -35,6 +36,7 @@ positions travel until the last write of each row is known.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,9 @@ from rollcall.schemas import WRITTEN_COLUMNS
 # Stored rows come before all writes: they get positions below zero.
 STORED = -(1 << 62)
 
+# From this many contested events on, groups that are settled leave the rounds.
+SPLIT_MINIMUM = 1_000_000
+
 
 @dataclass
 class MergeResult:
@@ -86,7 +91,11 @@ def strategy(phone_normalized: Column, batch_id: Column) -> Column:
 
 
 def merge(
-    stored: DataFrame, incoming: DataFrame, now: Column, hot_minimum: int = skew.HOT_MINIMUM
+    stored: DataFrame,
+    incoming: DataFrame,
+    now: Column,
+    hot_minimum: int = skew.HOT_MINIMUM,
+    split_minimum: int = SPLIT_MINIMUM,
 ) -> MergeResult:
     """Apply `incoming`, ordered by its unique `seq` of 0 and up, to `stored`.
 
@@ -102,14 +111,15 @@ def merge(
         strategy(F.col("phone_normalized"), F.col("batch_id")).alias("strategy"),
     )
     narrow = materialize(narrow, "writes")
-    events, has_hot = _events(stored, narrow, hot_minimum)
+    touched = materialize(_touched(stored, narrow), "touched")
+    events, has_hot = _events(touched, narrow, hot_minimum)
     events = materialize(events, "events")
 
     contested = events.where("contested")
     if contested.isEmpty():
         final, rejects, moved = _uncontested(events), None, None
     else:
-        settled = _settle(contested, has_hot)
+        settled = _settle(contested, has_hot, split_minimum)
         chains = materialize(_chains(settled, has_hot), "chains")
         final = _uncontested(events.where("not contested")).unionByName(_owners(chains))
         rejects = settled.where("not accepted").select(F.col("ord").alias("seq"))
@@ -119,7 +129,7 @@ def merge(
     final = materialize(final, "owners")
     outcomes = _outcomes(narrow, final, rejects, moved)
     return MergeResult(
-        rows=_written_rows(stored, writes, final, now),
+        rows=_written_rows(stored, touched, writes, final, now),
         outcomes=outcomes,
         rejected=writes.join(
             outcomes.where("action = 'reject'").select("seq"), "seq", "left_semi"
@@ -134,27 +144,28 @@ def next_snapshot(stored: DataFrame, result: MergeResult) -> DataFrame:
     return untouched.unionByName(result.rows.drop("is_update"), allowMissingColumns=True)
 
 
-def _events(
-    stored: DataFrame, narrow: DataFrame, hot_minimum: int
-) -> tuple[DataFrame, dict[str, bool]]:
-    """Writes and the stored rows they can meet, as (ord, k, e) with skew flags."""
+def _touched(stored: DataFrame, narrow: DataFrame) -> DataFrame:
+    """The stored rows the writes can meet, as (ord, k, e, created_at)."""
     kept = stored.select(
         (F.lit(STORED) + F.col("id")).alias("ord"),
         primary_key(F.col("phone_normalized"), F.col("batch_id"), F.col("source_file")).alias("k"),
         F.col("email").alias("e"),
+        "created_at",
     )
     keys = narrow.where("k is not null").select("k").distinct()
     emails = narrow.where("e is not null").select("e").distinct()
     # A stored row changes keys only through a write on one of them, so one hop is
     # enough. Stored keys are unique: neither join can be skewed.
-    touched = kept.join(keys, "k", "left_semi").unionByName(
-        kept.join(emails, "e", "left_semi")
-    )
-    touched = touched.distinct()
-    events = materialize(
-        touched.unionByName(narrow.select(F.col("seq").alias("ord"), "k", "e")), "keys"
-    )
+    by_key = kept.join(keys, "k", "left_semi")
+    return by_key.unionByName(kept.join(emails, "e", "left_semi")).distinct()
+
 
+def _events(
+    touched: DataFrame, narrow: DataFrame, hot_minimum: int
+) -> tuple[DataFrame, dict[str, bool]]:
+    """Stored rows and writes in one order, as (ord, k, e), with skew flags."""
+    writes = narrow.select(F.col("seq").alias("ord"), "k", "e")
+    events = touched.select("ord", "k", "e").unionByName(writes)
     by_email = materialize(
         events.where("e is not null")
         .groupBy("e")
@@ -217,8 +228,9 @@ def _scan(df: DataFrame, side: str, has_hot: dict[str, bool], **columns) -> Data
     return nearest(df, side, f"{side}_block", "ord", hot, **columns)
 
 
-def _settle(contested: DataFrame, has_hot: dict[str, bool]) -> DataFrame:
+def _settle(contested: DataFrame, has_hot: dict[str, bool], split_minimum: int) -> DataFrame:
     """Find which contested events are accepted; adds the owners each one meets."""
+    closed = []
     # A missing key never meets another: give each its own.
     alone = F.concat(F.lit("n:"), F.col("ord").cast("string"))
     state = contested.select(
@@ -251,13 +263,55 @@ def _settle(contested: DataFrame, has_hot: dict[str, bool]) -> DataFrame:
         )
         next_own = F.when(F.col("verdict"), F.struct("ord"))
         state = materialize(_scan(state, "e", has_hot, after={"e_next": next_own}), "round")
-        if state.where("accepted <> verdict").isEmpty():
-            return state
+        changed = state.where("accepted <> verdict")
+        if changed.isEmpty():
+            return reduce(DataFrame.unionByName, closed, state)
+        parts = _split(state, changed, has_hot, split_minimum)
+        if parts:
+            closed.append(parts[0])
+            state = parts[1]
         state = state.withColumn("accepted", F.col("verdict")).drop(
             "verdict", "k_owner", "k_next", "e_owner", "k_taken", "e_taken"
         )
 
 
+def _split(
+    state: DataFrame, changed: DataFrame, has_hot: dict[str, bool], minimum: int
+) -> tuple[DataFrame, DataFrame] | None:
+    """(settled, open) events, or None where splitting them does not pay.
+
+    Events that share a key, directly or through others, form a group. A group in which
+    nothing changed is settled. The open ones are reached from the changes key by key.
+    """
+    total = state.count()
+    if total < minimum:
+        return None
+    columns = ["ord", "k", "e", "k_hot", "e_hot"]
+    reached = materialize(changed.select(columns), "reached")
+    size = reached.count()
+    while size * 2 < total:
+        found = []
+        for side in ("k", "e"):
+            keys = reached.select(side, f"{side}_hot").distinct()
+            cold = f"not {side}_hot"
+            found.append(state.where(cold).join(keys.where(cold).select(side), side, "left_semi"))
+            if has_hot[side]:
+                # Fewer than a thousand, see plans/skew.py.
+                hot = F.broadcast(keys.where(f"{side}_hot").select(side))
+                found.append(state.where(f"{side}_hot").join(hot, side, "left_semi"))
+        found = [part.select(columns) for part in found]
+        reached = materialize(reduce(DataFrame.unionByName, found).distinct(), "reached")
+        grown = reached.count()
+        if grown == size:
+            still_open = reached.select("ord")
+            return (
+                materialize(state.join(still_open, "ord", "left_anti"), "settled"),
+                materialize(state.join(still_open, "ord", "left_semi"), "open"),
+            )
+        size = grown
+    return None
+
+
 def _still(owner: str) -> Column:
     """The previous owner is there and nothing took its row away before this event."""
     gone = F.col(f"{owner}.gone")
@@ -349,7 +403,7 @@ def _outcomes(
 
 
 def _written_rows(
-    stored: DataFrame, writes: DataFrame, final: DataFrame, now: Column
+    stored: DataFrame, touched: DataFrame, writes: DataFrame, final: DataFrame, now: Column
 ) -> DataFrame:
     """Payload of the last write of every row that any write reached."""
     changed = final.where("last >= 0").select(
@@ -358,7 +412,9 @@ def _written_rows(
         F.when(F.col("root") < 0, F.col("root") - F.lit(STORED)).alias("old_id"),
     )
     largest = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("largest")).scalar()
-    known = stored.select(F.col("id").alias("old_id"), F.col("created_at").alias("old_created"))
+    known = touched.select(
+        (F.col("ord") - F.lit(STORED)).alias("old_id"), F.col("created_at").alias("old_created")
+    )
     kept = [c for c in WRITTEN_COLUMNS if c in writes.columns]
     # Both sides of these joins are unique on their key.
     placed = changed.join(known, "old_id", "left")

@@ -227,9 +227,10 @@ def present_hits(hits: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def evaluated(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """Number of rows returned per query."""
-    return hits.groupBy(query_id).agg(F.count("*").alias("total_evaluated"))
+def with_totals(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """Add the number of rows returned for the query, at most k."""
+    returned = F.count("*").over(Window.partitionBy(query_id))
+    return hits.withColumn("total_evaluated", returned)
 
 
 def search(

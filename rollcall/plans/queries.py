@@ -61,14 +61,14 @@ def topk_calibrated(spark, sf_dir):
     corpus = _embeddings(spark, sf_dir)
     hits = search.top_k(corpus, _label_centers(spark, sf_dir), 5, id_column="vec_id")
     s = F.col("similarity")
-    shown = hits.select(
+    return search.with_totals(hits).select(
         "query_id",
         "vec_id",
         F.round(s, 3).alias("raw_similarity"),
         scores.match_score(s).alias("match_score"),
         scores.confidence_tier(s).alias("confidence_tier"),
+        "total_evaluated",
     )
-    return shown.join(search.evaluated(hits), "query_id")
 
 
 def topk_filtered(spark, sf_dir):

@@ -134,12 +134,12 @@ def many_histories(count, **shape):
     return stored, incoming
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 3])
-def test_random_histories(spark, hot):
+@pytest.mark.parametrize("hot,split", [(1_000_000, 1_000_000), (1_000_000, 0), (3, 0)])
+def test_random_histories(spark, hot, split):
     stored, incoming = many_histories(
         60, n_stored=4, n_writes=14, n_phones=4, n_emails=4
     )
-    check(spark, stored, incoming, hot_minimum=hot)
+    check(spark, stored, incoming, hot_minimum=hot, split_minimum=split)
 
 
 def test_dense_conflicts_take_several_rounds(spark):
