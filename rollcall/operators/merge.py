@@ -203,8 +203,8 @@ def _flag(events: DataFrame, narrow: DataFrame, side: str, hot: DataFrame | None
     if hot is None:
         return events.withColumn(flag, F.lit(False)).withColumn(block, none)
     low, high = narrow.agg(F.min("seq"), F.max("seq")).first()
-    width = F.lit(block_width(low, high))
-    place = F.when(F.col("ord") < 0, -1).otherwise(F.floor((F.col("ord") - low) / width))
+    width = block_width(low, high)
+    place = F.when(F.col("ord") < 0, -1).otherwise(F.expr(f"(ord - {low}) div {width}"))
     marked = skew.flag_hot(events, hot, side, flag)
     return marked.withColumn(block, F.when(F.col(flag), place).otherwise(none))
 

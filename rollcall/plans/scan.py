@@ -82,7 +82,7 @@ def position_within(
     A block covers `width` values of the order column, so it holds at most that many
     rows however many the key has.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
+    blocked = df.withColumn("_block", F.expr(f"`{order}` div {width}"))
     per_block = blocked.groupBy(key, "_block").agg(F.count("*").alias("_rows"))
     earlier = (
         Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

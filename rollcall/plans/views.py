@@ -45,7 +45,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates_from(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    q, r = F.floor(k / 20), k % 20
+    q, r = F.expr("c_custkey div 20"), k % 20
     phone_slot, email_slot = _slot(PHONE_SLOTS, r), _slot(EMAIL_SLOTS, r)
     fictional = F.concat(F.lit("(918) 555-01"), F.lpad((q % 100).cast("string"), 2, "0"))
     phone = (
@@ -112,7 +112,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(n, F.lit(".exe")),
         F.concat(F.lit("cv/"), n, F.lit("/")),
     ]
-    packed = F.floor(F.col("n_chars") / (1 + d % 120))
+    packed = F.expr("n_chars div (1 + doc_id % 120)")
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("archive"),
         d.alias("pos"),

@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 
 from rollcall.functions import files
 from rollcall.operators.archives import Limits, accepted_members, check_limits
+from rollcall.plans.scratch import exists
 from rollcall.schemas import ARCHIVE_MEMBER, CANDIDATE
 
 
 def list_resumes(spark: SparkSession, folder: str) -> DataFrame:
     """Supported files directly in a folder, as (path, source_file, length, modified).
 
-    Spark skips names that begin with a dot or an underscore. Sort by `source_file` where
-    an order is wanted; the contents are not read.
+    Sorted by name. Spark skips names that begin with a dot or an underscore. The
+    contents are not read.
     """
     found = spark.read.format("binaryFile").load(folder)
     return found.select(
@@ -29,7 +30,7 @@ def list_resumes(spark: SparkSession, folder: str) -> DataFrame:
         files.leaf_name(F.col("path")).alias("source_file"),
         "length",
         F.col("modificationTime").alias("modified"),
-    ).where(files.is_supported(F.col("source_file")))
+    ).where(files.is_supported(F.col("source_file"))).orderBy("source_file")
 
 
 def read_resumes(spark: SparkSession, folder: str, streaming: bool = False, **options) -> DataFrame:
@@ -140,9 +141,7 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT)
     A resumable run can so always start. Whole files are parsed one per row, as a JSON
     array has no record boundaries to split at; large results belong in JSON lines.
     """
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     whole = spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("["))
     parsed = whole.select(
@@ -153,5 +152,12 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT)
     return rows.where("r is not null").select("r.*")
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = RESULT) -> DataFrame:
+    """Records written as JSON lines; none where nothing was written yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)

@@ -12,7 +12,7 @@ from rollcall.operators.encode import Encoder, encode_candidates
 from rollcall.operators.merge import merge
 from rollcall.operators.records import Extractor, call_extractor, failures, records, validate_replies
 from rollcall.operators.tables import pending
-from rollcall.plans.scratch import materialize
+from rollcall.plans.scratch import exists, materialize
 from rollcall.sources.snapshots import Snapshots
 
 FILES_PER_MINUTE = 14
@@ -92,8 +92,6 @@ class SearchResults:
     def get(self, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The stored result of `key` for the present version, computed if there is none."""
         path = f"{self.root}/{self.store.version()}/{key.replace(':', '_')}"
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        if not hadoop.getFileSystem(conf).exists(hadoop):
+        if not exists(self.spark, f"{path}/_SUCCESS"):
             compute(self.store.read()).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)

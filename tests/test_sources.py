@@ -3,6 +3,7 @@
 import json
 import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.cloudpickle import register_pickle_by_value
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import batches, records, tables
 from rollcall.operators.archives import Limits, upload_receipts
+from rollcall.operators.encode import HashingEncoder
+from rollcall.operators.folder_run import process_folder
 from rollcall.operators.quality import assert_unique_phones, duplicate_rows
 from rollcall.operators.tables import last_write_wins
 from rollcall.plans.scan import position_within
@@ -31,7 +34,7 @@ def test_folder_listing(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     (tmp_path / "deeper").mkdir()
     (tmp_path / "deeper" / "z.pdf").write_bytes(b"x")
-    found = files.list_resumes(spark, str(tmp_path)).orderBy("source_file")
+    found = files.list_resumes(spark, str(tmp_path))
     assert [r["source_file"] for r in found.collect()] == ["a.PDF", "b.pdf", "c.txt", "e.docx"]
 
 
@@ -205,6 +208,40 @@ def test_extraction_never_gives_a_partial_record(spark):
     assert records.public_failures(records.failures(validated)).columns == ["source_file", "error_class"]
 
 
+def test_folder_run_resumes(spark, tmp_path):
+    folder, results, calls = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "calls")
+    folder.mkdir()
+    Path(calls).mkdir()
+    for name in ("a.txt", "b.txt", "busy.txt", "bad.txt", "later.txt"):
+        (folder / name).write_text(name)
+
+    def extractor(name, mime, text):
+        number = len(list(Path(calls).glob(f"{name}-*")))
+        (Path(calls) / f"{name}-{number}").write_text("")
+        if name == "bad.txt":
+            raise records.PermanentError("unreadable")
+        if name == "busy.txt" or (name == "later.txt" and number < 2):
+            raise records.TransientError("quota")
+        return json.dumps({"name": name, "raw_title": None, "experience_years": None, "phone": None,
+                           "email": None, "skills": []})
+
+    waits = []
+    failed = process_folder(spark, str(folder), results, extractor, HashingEncoder(4), attempts=4, wait=waits.append)
+    assert {r["source_file"]: r["error_class"] for r in failed.collect()} == {
+        "bad.txt": records.PERMANENT, "busy.txt": records.TRANSIENT
+    }
+    assert waits == [3, 4, 6]
+
+    def saved():
+        return sorted((r["source_file"], len(r["embedding"])) for r in files.read_json_lines(spark, results).collect())
+
+    assert saved() == [("a.txt", 4), ("b.txt", 4), ("later.txt", 4)]
+    (folder / "new.txt").write_text("new")
+    process_folder(spark, str(folder), results, extractor, HashingEncoder(4), attempts=1, wait=waits.append)
+    assert saved() == [("a.txt", 4), ("b.txt", 4), ("later.txt", 4), ("new.txt", 4)]
+    assert len(list(Path(calls).glob("a.txt-*"))) == 1
+
+
 def test_bulk_load_keeps_the_stale_vector(spark):
     schema = ("id long, name string, raw_title string, experience_years int, skills array<string>, phone string, "
               "phone_normalized string, email string, embedding array<float>, source_file string, batch_id string, "
