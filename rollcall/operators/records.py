@@ -82,50 +82,50 @@ def call_extractor(documents: DataFrame, extractor: Extractor) -> DataFrame:
     return routed.mapInPandas(run, f"{fields}, reply string, error_class string, message string")
 
 
+REPLY_TYPE = f"array<struct<{', '.join(f'{key}: variant' for key in REPLY_KEYS)}>>"
+
+
 def parse_replies(df: DataFrame, reply: str = "reply", record: str = "record") -> DataFrame:
     """Add the record of a valid reply, or null.
 
     All six keys are required. The four texts are a string or null, the years a whole
     number, such a number as text, a flag, or null, and the skills a list of strings.
-    The reply is parsed into its own column first, so once and not for every rule.
-    """
-    parsed = F.col("_parsed")
-
-    def part(key: str) -> Column:
-        return F.try_variant_get(parsed, f"$.{key}", "variant")
-
-    def text(key: str) -> Column:
-        return F.try_variant_get(parsed, f"$.{key}", "string")
 
-    required = F.array(*[F.lit(key) for key in REPLY_KEYS])
-    prepared = df.withColumn("_parsed", F.try_parse_json(reply)).withColumn(
-        "_complete",
-        F.size(F.array_intersect(F.json_object_keys(reply), required)) == len(REPLY_KEYS),
-    )
-    kinds = F.struct(*[F.schema_of_variant(part(key)).alias(key) for key in REPLY_KEYS])
-    prepared = prepared.withColumn("_kinds", kinds).withColumn(
-        "_skills", F.try_variant_get(parsed, "$.skills", "array<string>")
+    A reply is read once, as the one element of a list, since a parser stops at the end
+    of an object but not of a list that something else follows in. A key with a JSON null
+    has the type VOID, a missing one none.
+    """
+    wrapped = F.concat(F.lit("["), F.col(reply), F.lit("]"))
+    kinds = F.struct(*[F.schema_of_variant(f"_parsed.{key}").alias(key) for key in REPLY_KEYS])
+    prepared = (
+        df.withColumn("_list", F.from_json(wrapped, REPLY_TYPE))
+        .withColumn("_parsed", F.when(F.size("_list") == 1, F.get("_list", F.lit(0))))
+        .withColumn("_kinds", kinds)
+        .withColumn("_written", F.try_variant_get("_parsed.experience_years", "$", "string"))
+        .withColumn("_skills", F.try_variant_get("_parsed.skills", "$", "array<string>"))
     )
-
-    written = F.regexp_extract(F.trim(text("experience_years")), r"^([+-]?[0-9]+)(\.0*)?$", 1)
-    flag = F.when(text("experience_years") == "true", 1).otherwise(0)
+    number = F.regexp_extract(F.trim("_written"), r"^([+-]?[0-9]+)(\.0*)?$", 1)
+    flag = F.when(F.col("_written") == "true", 1).otherwise(0)
     years = F.when(F.col("_kinds.experience_years") == "BOOLEAN", flag).otherwise(
-        F.nullif(written, F.lit("")).try_cast("int")
+        F.nullif(number, F.lit("")).try_cast("int")
     )
     valid = (
-        F.col("_complete")
-        & ((F.col("_kinds.experience_years") == "VOID") | F.col("_years").isNotNull())
+        ((F.col("_kinds.experience_years") == "VOID") | F.col("_years").isNotNull())
         & F.col("_kinds.skills").isin("ARRAY<STRING>", "ARRAY<VOID>")
         & F.forall("_skills", lambda s: s.isNotNull())
     )
     for key in TEXT_KEYS:
         valid = valid & F.col(f"_kinds.{key}").isin("STRING", "VOID")
+
+    def text(key: str) -> Column:
+        return F.try_variant_get(f"_parsed.{key}", "$", "string").alias(key)
+
     found = F.struct(
-        text("name").alias("name"),
-        text("raw_title").alias("raw_title"),
+        text("name"),
+        text("raw_title"),
         F.col("_years").alias("experience_years"),
-        text("phone").alias("phone"),
-        text("email").alias("email"),
+        text("phone"),
+        text("email"),
         normalize_skills(F.col("_skills")).alias("skills"),
     )
     return prepared.withColumn("_years", years).select(

@@ -29,43 +29,37 @@ def bulk_load_by_email(stored: DataFrame, incoming: DataFrame, order: str, now:
     as they were; a new one is inserted with none of these; the last record of an email
     wins, and records without an email are all inserted.
     """
-    email = F.col("email")
-    by_email = incoming.where(email.isNotNull()).groupBy("email").agg(
+    known, unknown = F.col("email").isNotNull(), F.col("email").isNull()
+    spans = incoming.where(known).groupBy("email").agg(
         F.max(order).alias("last"), F.min(order).alias("first")
     )
-    loose = incoming.where(email.isNull()).select(
-        email, F.col(order).alias("last"), F.col(order).alias("first")
-    )
-    chosen = by_email.unionByName(loose).withColumnRenamed("email", "_email")
     payload = incoming.select(F.col(order).alias("last"), "email", *BULK_COLUMNS)
-    latest = payload.join(chosen.drop("_email"), "last")
-
-    fresh = [F.col(f"new.{c}").alias(c) for c in BULK_COLUMNS]
-    kept = [c for c in stored.columns if c not in BULK_COLUMNS]
-    matched = stored.alias("old").join(latest.alias("new"), email_match(), "left")
-    was_hit = F.col("new.last").isNotNull()
-    updated = matched.select(
-        *[F.col(f"old.{c}") for c in kept],
+    latest = payload.join(spans.drop("email"), "last")
+
+    # Rows without an email match nothing and stay out of the joins, where they would all
+    # meet in one task.
+    old, new = stored.where(known).alias("old"), latest.alias("new")
+    same = F.col("old.email") == F.col("new.email")
+    hit = F.col("new.last").isNotNull()
+    updated = old.join(new, same, "left").select(
         *[
-            F.when(was_hit, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
-            for c in BULK_COLUMNS
-        ],
+            F.when(hit, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
+            if c in BULK_COLUMNS
+            else F.col(f"old.{c}")
+            for c in stored.columns
+        ]
     )
     largest = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("largest")).scalar()
-    unseen = latest.alias("new").join(
-        stored.select(F.col("email")).alias("old"), email_match(), "left_anti"
+    loose = payload.where(unknown).withColumn("first", F.col("last"))
+    inserted = latest.join(stored.where(known).select("email"), "email", "left_anti").unionByName(loose)
+    inserted = inserted.select(
+        (largest + 1 + F.col("first")).alias("id"), "email", *BULK_COLUMNS, now.alias("created_at")
     )
-    inserted = unseen.select(
-        (largest + 1 + F.col("first")).alias("id"),
-        F.col("new.email").alias("email"),
-        *fresh,
-        now.alias("created_at"),
+    return (
+        updated.unionByName(stored.where(unknown))
+        .unionByName(inserted, allowMissingColumns=True)
+        .select(*stored.columns)
     )
-    return updated.select(*stored.columns).unionByName(inserted, allowMissingColumns=True)
-
-
-def email_match() -> Column:
-    return F.col("old.email") == F.col("new.email")
 
 
 def backfill_phone_keys(df: DataFrame) -> DataFrame:

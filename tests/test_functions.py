@@ -59,7 +59,7 @@ def test_mask(spark):
         (None, ["Other"]),
         ([], ["Other"]),
         (["", "  ", None], ["Other"]),
-        (["\t Welder  \n"], ["Welder"]),
+        (["\t Welder  \n", "\u00a0Fitter\u3000"], ["Welder", "Fitter"]),
         (skills.TAXONOMY, skills.TAXONOMY),
     ],
 )
@@ -197,11 +197,13 @@ def test_replies(spark):
         reply(experience_years=7.0): (None, 7, ["Other"]),
         reply(experience_years=True): (None, 1, ["Other"]),
         reply(extra=1): (None, None, ["Other"]),
+        f"\n {reply(experience_years=-1)} \n": (None, -1, ["Other"]),
     }
     broken = [
         "not json at all", "", "[]", "null", None, reply(skills="drop"), reply(phone="drop"), reply(skills=None),
         reply(skills=[1]), reply(skills=["a", None]), reply(skills=[None]), reply(skills="Welder"),
         reply(experience_years=7.5), reply(experience_years="many"), reply(name=5), reply()[:-1],
+        reply() + " and more", reply() + reply(), f"{reply()},{reply()}", f"[{reply()}]", "7", "{}",
     ]
 
     def parsed(replies):
