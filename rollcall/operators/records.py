@@ -36,7 +36,9 @@ class PermanentError(Exception):
 Extractor = Callable[[str, str | None, str | bytes], str]
 
 
-def call_extractor(documents: DataFrame, extractor: Extractor) -> DataFrame:
+def call_extractor(
+    documents: DataFrame, extractor: Extractor, keep_content: bool = False
+) -> DataFrame:
     """Run the extractor on `source_file, content`, one attempt per file.
 
     Adds `reply`, or `error_class` and `message` where it failed. Unsupported formats
@@ -50,7 +52,7 @@ def call_extractor(documents: DataFrame, extractor: Extractor) -> DataFrame:
             files.route(F.col("source_file")) == "text", files.decode_text(F.col("content"))
         ).alias("_text"),
     )
-    passed = [c for c in documents.columns if c != "content"]
+    passed = [c for c in documents.columns if keep_content or c != "content"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in passed)
 
     def attempt(name, route, mime, text, content):

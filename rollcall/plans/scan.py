@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.plans.scratch import materialize
+
 BLOCKS = 1024
 
 
@@ -97,3 +99,28 @@ def position_within(
         .withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long"))
         .select(*df.columns, name)
     )
+
+
+def number_rows(df: DataFrame, order: str, name: str = "seq") -> DataFrame:
+    """Number all rows from 0 in the order of a column, without a single-task sort.
+
+    Rows are sorted by range partition; a partition's first number is the count of the
+    rows in the partitions before it.
+    """
+    shift, mask = 33, (1 << 33) - 1  # how monotonically_increasing_id() is made up
+    placed = materialize(
+        df.repartitionByRange(F.col(order))
+        .sortWithinPartitions(order)
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "numbered",
+    )
+    placed = placed.withColumn("_part", F.shiftright("_place", shift))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition of the range sort.
+    starts = (
+        placed.groupBy("_part")
+        .agg(F.count("*").alias("_rows"))
+        .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    )
+    number = F.col("_start") + F.col("_place").bitwiseAND(F.lit(mask))
+    return placed.join(starts, "_part").select(*df.columns, number.cast("long").alias(name))

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,12 +40,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to the shared folder once and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables materialized in the block when it ends.
+
+    For a block that writes its result elsewhere, such as one micro-batch: a stream would
+    otherwise fill the shared folder. Nothing but these tables is deleted.
+    """
+    written: list[str] = []
+    token = _written.set(written)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in written:
+            location, files = _locate(spark, path)
+            files.delete(location, True)
+
+
+def _locate(spark: SparkSession, path: str):
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return location.getFileSystem(conf).exists(location)
+    location, files = _locate(spark, path)
+    return files.exists(location)

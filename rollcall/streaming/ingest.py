@@ -10,9 +10,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.operators.encode import Encoder, encode_candidates
 from rollcall.operators.merge import merge
-from rollcall.operators.records import Extractor, call_extractor, failures, records, validate_replies
+from rollcall.operators.records import (
+    TRANSIENT,
+    Extractor,
+    call_extractor,
+    failures,
+    records,
+    validate_replies,
+)
 from rollcall.operators.tables import pending
-from rollcall.plans.scratch import exists, materialize
+from rollcall.plans.scan import number_rows
+from rollcall.plans.scratch import exists, materialize, temporary_tables
 from rollcall.sources.snapshots import Snapshots
 
 FILES_PER_MINUTE = 14
@@ -38,13 +46,14 @@ class CandidateIngest:
             known = self.outcomes()
             if known is not None:
                 writes = pending(writes, known)
-        writes = materialize(writes, "micro-batch")
-        result = merge(self.store.read(), writes, self.now())
-        names = writes.select("seq", "source_file")
-        result.outcomes.join(names, "seq").write.mode("overwrite").parquet(
-            f"{self.outcome_root}/{batch}"
-        )
-        self.store.publish(result.rows, batch)
+        with temporary_tables(self.store.spark):
+            writes = materialize(writes, "micro-batch")
+            result = merge(self.store.read(), writes, self.now())
+            names = writes.select("seq", "source_file")
+            result.outcomes.join(names, "seq").write.mode("overwrite").parquet(
+                f"{self.outcome_root}/{batch}"
+            )
+            self.store.publish(result.rows, batch)
 
     def outcomes(self) -> DataFrame | None:
         done = [m["batch"] for m in self.store.markers() if m["batch"].startswith(f"{self.stream}-")]
@@ -70,17 +79,38 @@ def start(
     return writer.trigger(**trigger).start()
 
 
+def extraction_attempt(extractor: Extractor) -> Callable[[DataFrame], DataFrame]:
+    """The attempt of a RetryingStream over `file, content`: adds `reply` and the kind of error."""
+
+    def attempt(work: DataFrame) -> DataFrame:
+        named = work.withColumnRenamed("file", "source_file")
+        answers = call_extractor(named, extractor, keep_content=True)
+        kind = F.when(F.col("error_class") == TRANSIENT, "transient").when(
+            F.col("error_class").isNotNull(), "permanent"
+        )
+        return answers.withColumnRenamed("source_file", "file").withColumn("error_class", kind)
+
+    return attempt
+
+
+def replies_to_writes(
+    replies: DataFrame, encoder: Encoder, batch_id: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(rows to merge in the order of their file names, dead letters)."""
+    validated = validate_replies(replies)
+    good = number_rows(records(validated).withColumn("batch_id", batch_id), "source_file")
+    return encode_candidates(good, encoder), failures(validated)
+
+
 def documents_to_writes(
-    documents: DataFrame, extractor: Extractor, encoder: Encoder, batch_id: Column, seq: Column
+    documents: DataFrame, extractor: Extractor, encoder: Encoder, batch_id: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows to merge, dead letters) of one micro-batch of `source_file, content`.
+    """The same for a micro-batch of `source_file, content`.
 
     The extractor's answers are written down first: each file is sent to it once.
     """
     answers = materialize(call_extractor(documents, extractor), "replies")
-    validated = validate_replies(answers)
-    good = records(validated).withColumn("batch_id", batch_id).withColumn("seq", seq)
-    return encode_candidates(good, encoder), failures(validated)
+    return replies_to_writes(answers, encoder, batch_id)
 
 
 class SearchResults:

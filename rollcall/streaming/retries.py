@@ -32,7 +32,8 @@ class RetryingStream:
         return rows.where(F.col("part") == part).drop("part")
 
     def waiting(self, step: int) -> DataFrame:
-        return self._folder(step, "waiting").drop("outcome", "error_class")
+        """The retries left over by a step, without what the failed attempt gave."""
+        return self._folder(step, "waiting").drop("outcome", "result")
 
     def step(self, files: DataFrame | None, step: int, now: Column) -> DataFrame:
         """One round; returns the retries still waiting."""
@@ -52,12 +53,15 @@ class RetryingStream:
             .otherwise("failed")
         )
         delay = retry_delay(F.col("attempt"), F.col("file"))
+        tried = self.attempt(work)
+        given = [c for c in tried.columns if c not in work.columns]
         done = (
-            self.attempt(work)
-            .withColumn("part", F.when(again, "waiting").otherwise("ended"))
+            tried.withColumn("part", F.when(again, "waiting").otherwise("ended"))
             .withColumn("outcome", F.when(~again, outcome))
             .withColumn("next_at", F.when(again, F.timestamp_seconds(F.unix_timestamp(now) + delay)))
             .withColumn("attempt", F.col("attempt") + again.cast("int"))
+            .withColumn("result", F.struct(*given))
+            .drop(*given)
         )
         if later is not None:
             done = done.unionByName(
@@ -77,6 +81,9 @@ class RetryingStream:
             self.step(None, step, clock)
         return step
 
+    def ended_in(self, step: int) -> DataFrame:
+        """Files that succeeded or failed for good in one step."""
+        return self._folder(step, "ended").drop("next_at").select("*", "result.*").drop("result")
+
     def ended(self, last_step: int) -> DataFrame:
-        parts = [self._folder(s, "ended") for s in range(last_step + 1)]
-        return reduce(DataFrame.unionByName, parts).drop("next_at")
+        return reduce(DataFrame.unionByName, [self.ended_in(s) for s in range(last_step + 1)])

@@ -2,6 +2,7 @@
 
 import json
 import sys
+from pathlib import Path
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from rollcall.operators.batches import finished_files
 from rollcall.operators.encode import HashingEncoder
 from rollcall.plans import views
 from rollcall.plans.queries import fixed_now
-from rollcall.plans.scratch import materialize
+from rollcall.plans.scan import number_rows
+from rollcall.plans.scratch import exists, materialize, temporary_tables
 from rollcall.sources.files import read_resumes
 from rollcall.sources.snapshots import Snapshots
 from rollcall.streaming import ingest, progress, retries
@@ -93,11 +95,7 @@ def test_files_to_searchable_rows(spark, tmp_path):
     sink = ingest.CandidateIngest(store, "files", fixed_now)
 
     def process(documents, epoch):
-        order = documents.select("source_file").orderBy("source_file").collect()
-        seq = F.create_map(*[F.lit(p) for i, r in enumerate(order) for p in (r[0], i)])[F.col("source_file")]
-        writes, dead = ingest.documents_to_writes(
-            documents, reply, HashingEncoder(16), F.lit("batch"), seq.cast("long")
-        )
+        writes, dead = ingest.documents_to_writes(documents, reply, HashingEncoder(16), F.lit("batch"))
         dead.write.mode("overwrite").parquet(f"{letters}/{epoch}")
         sink(writes, epoch)
 
@@ -189,6 +187,57 @@ def test_retries_have_a_budget_and_wait(spark, tmp_path):
     }
 
 
+def busy(name, mime, payload):
+    tries = Path(payload.split("|")[1]) / name
+    tries.mkdir(parents=True, exist_ok=True)
+    number = len(list(tries.iterdir()))
+    (tries / str(number)).write_text("")
+    if number < {"b.txt": 2, "c.txt": 99}.get(name, 0):
+        raise records.TransientError("quota")
+    return reply(name, mime, payload.split("|")[0])
+
+
+def test_retried_files_are_merged_in_a_later_step(spark, tmp_path):
+    texts = {"a.txt": "Ann,9182468135", "b.txt": "Bob,2015550300", "c.txt": "Cy,2015550400", "d.rtf": "no"}
+    rows = [(n, f"{t}|{tmp_path}/tries".encode()) for n, t in texts.items()]
+    files = spark.createDataFrame(rows, "file string, content binary")
+    store = Snapshots(spark, str(tmp_path / "store"))
+    sink = ingest.CandidateIngest(store, "files", fixed_now)
+    stream = retries.RetryingStream(spark, str(tmp_path / "steps"), ingest.extraction_attempt(busy))
+
+    def merge_step(step):
+        ended = stream.ended_in(step).where("outcome = 'done'")
+        answers = ended.select(F.col("file").alias("source_file"), "reply", "error_class", "message")
+        writes, dead = ingest.replies_to_writes(answers, HashingEncoder(4), F.lit("b"))
+        assert dead.count() == 0
+        sink(writes, step)
+
+    stream.step(files, 0, fixed_now())
+    merge_step(0)
+    assert [r["name"] for r in store.read().collect()] == ["Ann"]
+    end = stream.drain(0, fixed_now())
+    for step in range(1, end + 1):
+        merge_step(step)
+    assert sorted(r["name"] for r in store.read().collect()) == ["Ann", "Bob"]
+    outcomes = {r["file"]: r["outcome"] for r in stream.ended(end).collect()}
+    assert outcomes == {"a.txt": "done", "b.txt": "done", "c.txt": "exhausted", "d.rtf": "failed"}
+
+
+def test_rows_are_numbered_in_order(spark):
+    names = [f"n{i:03d}" for i in range(500)]
+    frame = spark.createDataFrame([(n,) for n in reversed(names)], "name string").repartition(7)
+    got = number_rows(frame, "name").orderBy("seq").collect()
+    assert [(r["name"], r["seq"]) for r in got] == [(n, i) for i, n in enumerate(names)]
+
+
+def test_temporary_tables_are_deleted(spark):
+    kept = materialize(spark.range(3).toDF("n"), "kept")
+    with temporary_tables(spark):
+        gone = materialize(spark.range(3).toDF("n"), "gone").inputFiles()[0]
+        assert exists(spark, gone)
+    assert not exists(spark, gone) and kept.count() == 3
+
+
 def test_materialized_tables_survive_in_the_shared_folder(spark, tmp_path):
     frame = materialize(spark.range(5).toDF("n"), "check")
     assert frame.count() == 5 and "check-" in frame.inputFiles()[0]
