@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ QUERY_BLOCK = 2048
 PRODUCT_CELLS = 4_000_000
 DEFAULT_K = 5
 
+Queries = DataFrame | list[tuple[int | str, Sequence[float]]]
+
 
 def unpack(column: pa.Array, dimensions: int) -> np.ndarray:
     """Vectors of one Arrow batch, as lists of floats or as packed float32 bytes."""
@@ -116,18 +118,27 @@ def rank_batches(
         yield from named.combine_chunks().to_batches()
 
 
-def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, size: int):
+def _query_blocks(queries: Queries, query_id: str, query_vector: str, size: int):
     """Blocks of (ids, matrix) on the driver, one at a time."""
-    rows = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    first = rows.limit(size + 1).collect()
-    stream = iter(first) if len(first) <= size else rows.toLocalIterator()
+    if isinstance(queries, list):
+        stream = iter(queries)
+    else:
+        rows = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
+        first = rows.limit(size + 1).collect()
+        stream = iter(first) if len(first) <= size else rows.toLocalIterator()
     while block := list(itertools.islice(stream, size)):
         yield [row[0] for row in block], np.array([row[1] for row in block], dtype=np.float64)
 
 
+def _id_type(queries: Queries, query_id: str) -> T.DataType:
+    if isinstance(queries, list):
+        return T.StringType() if queries and isinstance(queries[0][0], str) else T.LongType()
+    return queries.schema[query_id].dataType
+
+
 def top_k(
     corpus: DataFrame,
-    queries: DataFrame,
+    queries: Queries,
     k: int = DEFAULT_K,
     id_column: str = "id",
     vector_column: str = "embedding",
@@ -138,6 +149,7 @@ def top_k(
 ) -> DataFrame:
     """The k most similar corpus rows of every query, with `similarity` and `rank`.
 
+    Queries are a frame, or a list of (id, vector) where the driver has them at hand.
     Equal similarities are ordered by `id_column`, an integer. Rows without a vector and
     zero vectors are no hits. One block of queries gives a lazy plan; further blocks are
     further passes over the corpus, each written before the next one starts, so the
@@ -145,7 +157,7 @@ def top_k(
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    id_type = queries.schema[query_id].dataType
+    id_type = _id_type(queries, query_id)
     corpus = corpus.where(F.col(vector_column).isNotNull())
     blocks = _query_blocks(queries, query_id, query_vector, block)
     first = next(blocks, None)
@@ -234,10 +246,11 @@ def with_totals(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
 
 
 def search(
-    candidates: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_id: str = "query_id"
+    candidates: DataFrame, queries: Queries, k: int = DEFAULT_K, query_id: str = "query_id"
 ) -> DataFrame:
     """Candidate search: named rows only, calibrated score, tier and number of hits."""
-    if "encoder_id" in candidates.columns and "encoder_id" in queries.columns:
+    framed = isinstance(queries, DataFrame)
+    if framed and "encoder_id" in candidates.columns and "encoder_id" in queries.columns:
         mine, theirs = (
             [r[0] for r in df.select("encoder_id").distinct().limit(2).collect()]
             for df in (candidates, queries)
@@ -343,7 +356,7 @@ def write_index(
 
 
 def approximate_top_k(
-    index: DataFrame, queries: DataFrame, probes: Probes, k: int = DEFAULT_K, **options
+    index: DataFrame, queries: Queries, probes: Probes, k: int = DEFAULT_K, **options
 ) -> DataFrame:
     """`top_k` over the probed cells of an index."""
     return top_k(index, queries, k, probes=probes, **options)

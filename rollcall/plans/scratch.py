@@ -8,15 +8,16 @@ way back, and is still there when an executor goes away.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+# Tables to delete, per thread with an open temporary_tables() block.
+_written: dict[int, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,9 +41,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the frame to the shared folder once and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    written = _written.get()
-    if written is not None:
-        written.append(path)
+    if threading.get_ident() in _written:
+        _written[threading.get_ident()].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,12 +54,15 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     For a block that writes its result elsewhere, such as one micro-batch: a stream would
     otherwise fill the shared folder. Nothing but these tables is deleted.
     """
-    written: list[str] = []
-    token = _written.set(written)
+    thread = threading.get_ident()
+    outer = _written.pop(thread, None)
+    _written[thread] = []
     try:
         yield
     finally:
-        _written.reset(token)
+        written = _written.pop(thread)
+        if outer is not None:
+            _written[thread] = outer
         for path in written:
             location, files = _locate(spark, path)
             files.delete(location, True)

@@ -137,7 +137,7 @@ def many_histories(count, **shape):
 @pytest.mark.parametrize("hot,split", [(1_000_000, 1_000_000), (1_000_000, 0), (3, 0)])
 def test_random_histories(spark, hot, split):
     stored, incoming = many_histories(
-        60, n_stored=4, n_writes=14, n_phones=4, n_emails=4
+        50, n_stored=4, n_writes=11, n_phones=4, n_emails=4
     )
     check(spark, stored, incoming, hot_minimum=hot, split_minimum=split)
 

@@ -63,6 +63,15 @@ def test_single_query_and_small_corpus(spark):
     assert found(search.top_k(corpus, asked, 10)) == brute_force(vectors, queries, 10)
 
 
+def test_queries_from_the_driver(spark):
+    vectors, queries = corpus_and_queries(8)
+    corpus, _ = frames(spark, vectors, queries)
+    asked = [(f"q{j}", [float(x) for x in q]) for j, q in enumerate(queries)]
+    assert found(search.top_k(corpus, asked, 5, block=4)) == brute_force(vectors, queries, 5)
+    numbered = search.top_k(corpus, [(3, asked[0][1])], 5)
+    assert {r["query_id"] for r in numbered.collect()} == {3}
+
+
 def test_zero_vectors_are_no_hits(spark):
     corpus, asked = frames(spark, np.array([[0, 0], [1, 0]], "f4"), np.array([[1, 1]], "f4"))
     assert found(search.top_k(corpus, asked, 5)) == {"q0": [1]}
