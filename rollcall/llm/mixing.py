@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.plans.scratch import materialize
+
 HEX_DIGITS = 13
 
 
@@ -82,6 +84,7 @@ def mix(
     rates = source_rates(documents, weights, rows).select(
         "_source", cumulative_poisson(F.col("_mean")).alias("_sums")
     )
+    rates = materialize(rates, "source-rates")  # Spark then knows its size before it plans the join
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     at = uniform(F.lit(str(seed)), name)
     placed = documents.select(*[F.col(f"`{c}`") for c in kept], at.alias("_at"))
