@@ -53,6 +53,27 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+op10_window_dedup = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+p AS MATERIALIZED (
+  SELECT doc_id, i AS pos, array_to_string(words[i:i + 19], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)
+),
+l AS MATERIALIZED (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM p) WHERE k > 1
+),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM l),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY 1),
+k AS (
+  SELECT w.doc_id, len(words) AS n_words, len(coalesce(gone, [])) AS n_removed,
+         list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept
+  FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
 
 def registered() -> dict[str, str]:
     return {name: sql for name, sql in globals().items() if name.startswith("op")}

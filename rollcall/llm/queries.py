@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import exact_dedup, minhash_forest, mixing
+from rollcall.llm import exact_dedup, minhash_forest, mixing, window_dedup
 from rollcall.llm.common import table
 from rollcall.plans.scratch import scratch_path
 
@@ -26,6 +26,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def registered() -> dict[str, Query]:
     found = {name: item for name, item in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
