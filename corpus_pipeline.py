@@ -5,25 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollcall.llm import exact_dedup, mixing
+from rollcall.llm import exact_dedup, language_id, minhash_forest, mixing, sentencepiece_index
 from rollcall.llm.common import table
+from rollcall.llm.queries import TOKENIZER
 from rollcall.plans.scratch import materialize, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told, learnt from the labels among them."""
+    return language_id.keep_identified(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, against an index that begins empty."""
     return exact_dedup.keep_new(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index")))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    decided = minhash_forest.near_duplicates(docs)
+    gone = materialize(decided.where("not kept and doc_id is not null").select("doc_id"), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(docs.columns)
+    """All sources at the same weight, in a global random order."""
+    return mixing.mix(docs).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, checked by decoding them."""
+    return sentencepiece_index.encode(docs, TOKENIZER)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language id", languages),
     ("exact dedup", exact),
+    ("near dedup", near),
     ("mix sources", mixed),
+    ("sentencepiece", tokens),
 ]
 
 # SQL cannot express every stage; tests hold the result against a brute-force version.

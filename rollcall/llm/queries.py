@@ -6,18 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import exact_dedup, minhash_forest, mixing, window_dedup
+from rollcall.llm import (
+    exact_dedup,
+    language_id,
+    minhash_forest,
+    mixing,
+    sentencepiece_index,
+    window_dedup,
+)
 from rollcall.llm.common import table
 from rollcall.plans.scratch import scratch_path
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"))
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_index.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
