@@ -29,6 +29,16 @@ SELECT doc_id, text, lang, source, n_chars, n_copies, copy_index,
 FROM (SELECT *, unnest(range(0, n_copies)) AS copy_index FROM e)
 """
 
+op9_warc = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY 1, 2)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest, payload_bytes)
+"""
+
 op8_near_dedup = r"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, list_filter(regexp_split_to_array(
