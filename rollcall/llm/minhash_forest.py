@@ -222,7 +222,8 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     classes = materialize(classes, "classes")
     pairs = materialize(candidates(classes, forest), "candidates")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = ids_and_texts.join(involved, "doc_id")
+    # By sort-merge at every size: the ids grow with the table, so they are never broadcast.
+    texts = ids_and_texts.join(involved.hint("merge"), "doc_id")
     sets = materialize(texts.mapInPandas(_pack(forest.words), "id long, shingles binary"), "sets")
 
     first = materialize(confirmed(pairs.where("early"), sets, forest.threshold), "links")
