@@ -57,7 +57,7 @@ def _record(kind: str, headers: list[tuple[str, object]], block: str) -> str:
 
 
 def _page_uri(number: int, page_id: object) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}:{number}>"
+    return f"<urn:page:{'none' if page_id is None else int(page_id)}:{number}>"
 
 
 def records(number: int, page: dict, layout: Layout) -> Iterator[str]:
@@ -93,11 +93,18 @@ def write(pages: DataFrame, path: str, layout: Layout = Layout()) -> None:
     """Write (page_id, url, html) as gzip-compressed WARC files under `path`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["number", "page_id", "url", "payload", "digest", "refers_to"]
         for batch in batches:
-            rows = batch[["number", "page_id", "url", "payload", "digest", "refers_to"]].astype(object)
-            rows = rows.where(rows.notna(), None).to_dict("records")
-            for row in rows:
-                yield pd.DataFrame({"value": list(records(int(row["number"]), row, layout))})
+            held, size = [], 0
+            columns = [batch[n].astype(object).where(batch[n].notna(), None).tolist() for n in names]
+            for row in zip(*columns, strict=True):
+                own = list(records(row[0], dict(zip(names, row, strict=True)), layout))
+                held += own
+                size += sum(map(len, own))
+                if size > 4 << 20:
+                    yield pd.DataFrame({"value": held})
+                    held, size = [], 0
+            yield pd.DataFrame({"value": held})
 
     number = F.when(F.col("referred"), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
     marked = with_roles(pages, layout).withColumn("number", number)
