@@ -34,7 +34,7 @@ class Windows:
     words: int = 20
     run: int = 10
     rows: int = 2
-    cells: float = 4.0
+    cells: float = 8.0
     part: int = 20
     broadcast_bytes: int = 64 << 20
     flush: int = 2_000_000
@@ -131,7 +131,25 @@ def _loaded(sketch: DataFrame, spec: Windows, parts: int) -> Broadcast:
 def _windows(hashes: np.ndarray, at: np.ndarray, ids: np.ndarray, starts: np.ndarray, spec: Windows) -> pd.DataFrame:
     text = np.searchsorted(starts, at, side="right") - 1
     first, second = (window_hashes(hashes, spec.words, seed=s)[at].view(np.int64) for s in (2, 3))
-    return pd.DataFrame({"h1": first, "h2": second, "id": ids[text], "at": (at - starts[text]).astype(np.int32)})
+    return _sorted_out(first, second, ids[text], (at - starts[text]).astype(np.int32))
+
+
+def _sorted_out(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """Of equal windows of one block the earliest, and the places of the others.
+
+    A document is in one block as a whole, so a window that is met in several rows of the
+    result is in several blocks, and the smallest id tells the earliest.
+    """
+    order = np.lexsort((at, ids, h2, h1))
+    h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
+    later = (ids != ids[lead]) | (at != at[lead])
+    keep = new | later
+    frame = pd.DataFrame({"h1": h1, "h2": h2, "id": ids, "at": at, "later": later})[keep]
+    frame.loc[frame["later"], ["h1", "h2"]] = 0
+    return frame
 
 
 def _repeated(spec: Windows, parts: int, sketch: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -207,13 +225,15 @@ def _at_places(spec: Windows) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 
 def candidate_windows(texts: DataFrame, spec: Windows, words: int) -> DataFrame:
-    """(h1, h2, id, at): every window that occurs twice or more, and a few that do not.
+    """(h1, h2, id, at, later): every window that occurs twice or more, and a few that do not.
 
-    `texts` is (id, text) with `words` words in all. h1 and h2 are two 64-bit hashes.
+    `texts` is (id, text) with `words` words in all. h1 and h2 are two 64-bit hashes. `later`
+    marks windows that begin earlier in the same block of texts; of them only the place is
+    told, so a window has one row with its hashes for each block, however common it is.
     """
     parts = spec.parts(words)
     sketch = merged_sketch(texts, spec, parts)
-    schema = "h1 long, h2 long, id long, at int"
+    schema = "h1 long, h2 long, id long, at int, later boolean"
     if spec.rows * parts << (spec.part - 3) <= spec.broadcast_bytes:
         return texts.mapInPandas(_repeated(spec, parts, _loaded(sketch, spec, parts)), schema)
     again = sketch.where("row = 0").select("part", "bits").mapInPandas(_cells(spec), "cell long")
@@ -276,9 +296,11 @@ def remove_repeats(documents: DataFrame, spec: Windows = Windows()) -> DataFrame
 
     texts = rows.select("id", "text").join(copies, "id", "left_anti")
     windows = materialize(candidate_windows(texts, spec, total), "windows")
-    spot = F.struct("id", "at")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(spot).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = windows.join(firsts.drop("_n"), ["h1", "h2"]).where(spot > F.col("_first"))
+    met = windows.where(~F.col("later")).select("h1", "h2", "id", "at")
+    firsts = met.groupBy("h1", "h2").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+    firsts = firsts.where("_first < _last").drop("_last")
+    elsewhere = met.join(firsts, ["h1", "h2"]).where("id > _first").select("id", "at")
+    later = windows.where("later").select("id", "at").union(elsewhere)
     places = later.groupBy("id").agg(F.collect_set("at").alias("places"))
     marked = places.withColumn("copy", F.lit(False)).unionByName(
         copies.withColumn("copy", F.lit(True)), allowMissingColumns=True
