@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import letters
+from rollcall.plans.scratch import materialize
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -32,7 +33,7 @@ class Settings:
     n-grams of 1 to `longest` bytes, and `ambiguous` the relative lead over the second."""
 
     sample: int = 2000
-    features: int = 1 << 13
+    features: int = 1 << 12
     longest: int = 3
     ridge: float = 0.01
     sharpness: float = 2.0
@@ -104,7 +105,8 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
     without a language or a letter teach nothing.
     """
     usable = labelled.where(F.col("lang").isNotNull() & letters(F.col("text"))).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
+    # Stored, so that Spark knows its size before it plans the join with the texts.
+    counts = materialize(usable.groupBy("lang").agg(F.count("*").alias("_n")), "language-counts")
     languages = max(1, counts.count())
     at = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(max(1, s.sample // languages)) / F.col("_n")
@@ -114,21 +116,25 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
     bounded = chosen.mapInPandas(_featurise(s), "lang string, at double, row binary")
     rows = bounded.orderBy("at", "lang", "row").limit(s.sample).collect()
     names = sorted({r["lang"] for r in rows})
+    langs = [r["lang"] for r in rows]
     codes = codewords(len(names))
     if not names:
         return Model((), codes, np.zeros((s.features, 1), np.float32), np.zeros(1), np.ones(1))
-    x = np.frombuffer(b"".join(r["row"] for r in rows), np.float32).reshape(len(rows), s.features)
-    label = np.array([names.index(r["lang"]) for r in rows])
+    x = np.empty((len(rows), s.features), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["row"], np.float32)
+    del rows
+    label = np.array([names.index(lang) for lang in langs])
     y = codes[label]
     # One regularised least-squares classifier per bit; balanced over languages.
-    weight = (len(rows) / len(names) / np.bincount(label, minlength=len(names)))[label]
+    weight = (len(label) / len(names) / np.bincount(label, minlength=len(names)))[label]
     offset = (weight[:, None] * x).sum(0) / weight.sum()
     middle = (weight[:, None] * y).sum(0) / weight.sum()
-    centred = (x - offset).astype(np.float64)
-    gram = centred @ centred.T + s.ridge * np.diag(1 / weight)
+    x -= offset.astype(np.float32)
+    gram = (x @ x.T).astype(np.float64) + s.ridge * np.diag(1 / weight)
     inverse = np.linalg.inv(gram)
     alpha = inverse @ (y - middle)
-    weights = centred.T @ alpha
+    weights = x.T @ alpha.astype(np.float32)
     left_out = y - alpha / np.diag(inverse)[:, None]  # margins by models without the row
     trust = np.maximum(((left_out * y > 0) * weight[:, None]).sum(0) / weight.sum() - 0.5, 1e-3)
     return Model(
