@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 BLANKS = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4 << 20
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)

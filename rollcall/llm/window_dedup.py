@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import WordHashes, blocks, inside, mix64, window_hashes
-from rollcall.plans.scratch import materialize
+from rollcall.plans.scratch import materialize, scratch_path, temporary_tables
 
 LAST = (1 << 63) - 1
 
@@ -37,7 +37,7 @@ class Windows:
     cells: float = 8.0
     part: int = 20
     broadcast_bytes: int = 64 << 20
-    flush: int = 2_000_000
+    flush: int = 1_000_000
 
     def parts(self, words: int) -> int:
         anchors = 2 * words / (self.words - self.run + 2) + 1
@@ -50,8 +50,11 @@ def anchor_hashes(hashes: np.ndarray, starts: np.ndarray, spec: Windows) -> tupl
     runs = window_hashes(hashes, spec.run, seed=1)
     if not len(valid):
         return valid, valid, runs
-    wide = np.lib.stride_tricks.sliding_window_view(runs, spec.words - spec.run + 1)
-    anchors = valid + wide[valid].argmin(axis=1)
+    anchors, least = valid.copy(), runs[valid]
+    for k in range(1, spec.words - spec.run + 1):
+        here = runs[valid + k]
+        lower = here < least
+        anchors[lower], least[lower] = valid[lower] + k, here[lower]
     return valid, anchors, runs
 
 
@@ -267,21 +270,9 @@ def _kept(spec: Windows) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     return run
 
 
-def remove_repeats(documents: DataFrame, spec: Windows = Windows()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256 per input row.
-
-    Words covered by a window of `spec.words` words that starts earlier (smaller doc_id, or
-    same document and earlier) are removed. Windows are judged on the input. A null text has
-    no words. Rows without an id are one document with the largest id. Rows that repeat an id
-    are one document, so a window at the same place in both is not earlier in either; if their
-    texts differ, a place found in one of them counts in the others as well. Other columns are
-    ignored. An empty table gives no rows.
-
-    Texts with equal words are copies: all of a later copy is removed if it is as long as a
-    window, so only the first takes part in the search.
-    """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = documents.select("doc_id", key.alias("id"), "text")
+def marked_texts(rows: DataFrame, spec: Windows) -> DataFrame:
+    """(id, places, copy) of the texts that lose words: the starts of their windows that begin
+    earlier elsewhere, or that the whole text is a copy. `rows` is (id, text)."""
     normal = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     size = F.when(normal == "", 0).otherwise(F.length(normal) - F.length(F.replace(normal, F.lit(" "))) + 1)
     seen = materialize(
@@ -302,10 +293,30 @@ def remove_repeats(documents: DataFrame, spec: Windows = Windows()) -> DataFrame
     elsewhere = met.join(firsts, ["h1", "h2"]).where("id > _first").select("id", "at")
     later = windows.where("later").select("id", "at").union(elsewhere)
     places = later.groupBy("id").agg(F.collect_set("at").alias("places"))
-    marked = places.withColumn("copy", F.lit(False)).unionByName(
+    return places.withColumn("copy", F.lit(False)).unionByName(
         copies.withColumn("copy", F.lit(True)), allowMissingColumns=True
     )
-    marked = materialize(marked, "places")
+
+
+def remove_repeats(documents: DataFrame, spec: Windows = Windows()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text, kept_sha256 per input row.
+
+    Words covered by a window of `spec.words` words that starts earlier (smaller doc_id, or
+    same document and earlier) are removed. Windows are judged on the input. A null text has
+    no words. Rows without an id are one document with the largest id. Rows that repeat an id
+    are one document, so a window at the same place in both is not earlier in either; if their
+    texts differ, a place found in one of them counts in the others as well. Other columns are
+    ignored. An empty table gives no rows.
+
+    Texts with equal words are copies: all of a later copy is removed if it is as long as a
+    window, so only the first takes part in the search.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    rows = documents.select("doc_id", key.alias("id"), "text")
+    path = scratch_path(documents.sparkSession, "places")
+    with temporary_tables(documents.sparkSession):  # the windows are large and done with
+        marked_texts(rows, spec).write.parquet(path)
+    marked = documents.sparkSession.read.parquet(path)
     joined = rows.join(marked, "id", "left").select("doc_id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
     schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     return joined.mapInPandas(_kept(spec), schema)
