@@ -1,0 +1,230 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+
+import pytest
+
+import corpus_pipeline
+from rollcall.llm import (
+    exact_dedup,
+    language_id,
+    minhash_forest,
+    mixing,
+    quality,
+    secret_scan,
+    sentencepiece_index,
+    toxicity,
+    warc,
+    window_dedup,
+)
+from rollcall.llm.queries import TOKENIZER
+
+CLASHES = "digest string, kept boolean, id long, row long, signature string, _row string, n_copies long, copy int"
+SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
+EXTRA = ("x", True, 7, 7, "x", "x", 7, 7)
+WORDS = " ".join(f"word{i}" for i in range(60))
+
+
+def rows():
+    texts = [
+        (1, WORDS, "en", "a"), (2, WORDS, "en", "a"), (2, WORDS, "en", "a"), (3, WORDS + " more", None, None),
+        (4, None, "en", "a"), (5, "", None, "b"), (6, " \t\n", "fr", "b"), (7, "short", "en", None),
+        (8, "x" * 50_000, "en", "a"), (9, "many words here " * 20_000, "en", "a"), (None, WORDS, "en", "a"),
+        (None, None, None, None), (11, "1234 5678", "de", "a"), (12, "émile \U0001f600 ▁ \x00 z", "fr", "b"),
+    ]
+    return [(i, t, lang, s, None, *EXTRA) for i, t, lang, s in texts]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 0), (7, 1), (None, 1), (8, None), (1, 0)], "doc_id long, toxic int")
+
+
+def by_id(frame):
+    found = {}
+    for r in frame.collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, found.values())) == len(rows())
+    return found
+
+
+def test_language(odd, empty):
+    found = by_id(language_id.identify(odd))
+    assert {found[i][0].lang_pred for i in (4, 5, 6, 11)} == {"und"}
+    assert found[1][0].lang_pred in ("en", "fr", "de") and found[None][0].held_out is False
+    assert language_id.identify(empty).count() == 0
+    nothing = odd.selectExpr("doc_id", "text", "cast(null as string) lang")
+    assert {r.lang_pred for r in language_id.identify(nothing).collect()} == {"und"}
+
+
+def test_quality(odd, empty):
+    found = by_id(quality.judge(odd))
+    assert found[4][0].n_words == 0 and found[4][0].base_failed and not found[4][0].kept
+    assert found[9][0].base_failed and found[9][0].n_words == 60_000
+    assert found[1][0].kept and found[8][0].n_words == 1
+    assert quality.judge(empty).count() == 0
+
+
+def test_exact(spark, odd, empty, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=3)
+    found = by_id(exact_dedup.deduplicate(odd, index))
+    assert found[1][0].kept and found[1][0].group_size == 4
+    assert [r.kept for r in found[2]] == [False, False] and {r.keep_id for r in found[None]} == {1, 4}
+    assert found[4][0].keep_id == 4 and found[5][0].keep_id == 4 and found[6][0].keep_id == 6
+    assert found[4][0].text_sha256 == hashlib.sha256(b"").hexdigest()
+    again = by_id(exact_dedup.deduplicate(odd, index))
+    assert {k: sorted(map(str, v)) for k, v in again.items()} == {k: sorted(map(str, v)) for k, v in found.items()}
+    assert exact_dedup.deduplicate(empty, index).count() == 0
+
+
+def test_exact_batches(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = spark.createDataFrame([(5, "a  b"), (6, "c")], "doc_id long, text string")
+    later = spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")
+    exact_dedup.deduplicate(first, exact_dedup.DigestIndex(spark, path, buckets=2)).collect()
+    index = exact_dedup.DigestIndex(spark, path)  # read back from its folder
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(later, index).collect()}
+    assert got == {1: (5, False), 2: (2, True), 3: (2, False)}
+    index.compact()
+    reread = exact_dedup.DigestIndex(spark, path)
+    assert reread.buckets == 2 and reread.version == 1 and reread.rows().count() == 3
+    plan = reread.rows().hint("merge").join(reread.rows().hint("merge"), "digest")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("Physical Plan")[1]
+
+
+def test_exact_keeps_one_row_of_each_text(spark, odd, tmp_path):
+    kept = exact_dedup.keep_new(odd, exact_dedup.DigestIndex(spark, str(tmp_path / "i")))
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6, 7, 8, 9, 11, 12]
+
+
+def test_toxicity(odd, empty, labels):
+    found = by_id(toxicity.detect(odd, labels))
+    assert found[4][0].score == found[5][0].score and 0 <= found[9][0].score <= 1
+    assert toxicity.detect(empty, labels).count() == 0
+    assert toxicity.detect(odd, labels.limit(0)).count() == len(rows())
+
+
+def test_misspelt_and_quoted_terms():
+    automaton = toxicity.Automaton([("idiot", True), ("pathet", False)], [1, 1])
+    best = lambda word: dict(automaton.match(word))
+    assert best("idiot") == {0: 0} and best("idoit") == {} and best("idiiot") == {0: 1}
+    assert best("1diot") == {0: 1} and best("idio") == {0: 1} and best("idiots") == {0: 1} and best("riot") == {}
+    assert best("pathetic") == {1: 0} and best("pahetically") == {1: 1} and best("path") == {}
+    assert toxicity.quoted('he said "you idiot" and left', 13, 18, 80)
+    assert not toxicity.quoted('"he" is an idiot "so"', 11, 16, 80)
+    assert toxicity.quoted("er sagte «du idiot» dann", 13, 18, 80)
+
+
+def test_tokens(odd, empty):
+    found = by_id(sentencepiece_index.encode(odd, TOKENIZER))
+    assert found[4][0].token_ids == [] and found[5][0].n_tokens == 0 and found[4][0].round_trip
+    assert found[8][0].round_trip and found[9][0].round_trip and not found[12][0].round_trip
+    assert sentencepiece_index.encode(empty, TOKENIZER).count() == 0
+    back = sentencepiece_index.decode(sentencepiece_index.encode(odd, TOKENIZER), TOKENIZER)
+    assert {r.text for r in back.collect() if r.doc_id == 3} == {WORDS + " more"}
+
+
+def test_mixing(odd, empty):
+    mixed = mixing.mix(odd, rows=200)
+    assert mixed.columns == [c for c in odd.columns if c != "n_copies"] + ["n_copies", "copy_index", "mix_key"]
+    got = mixed.collect()
+    per_row = {}
+    for r in got:
+        per_row.setdefault((r.doc_id, r.source, r.text), []).append(r.copy_index)
+    assert all(len(v) % (max(v) + 1) == 0 for v in per_row.values())
+    keys = [r.mix_key for r in got]
+    assert len(set(keys)) >= len(got) // 2
+    only = mixing.mix(odd, {"b": 1.0, "absent": 5.0}, rows=3000).collect()
+    assert {r.source for r in only} == {"b"} and 2700 < len(only) < 3300
+    assert mixing.mix(odd, {"b": 0.0}).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_large_means_do_not_underflow(spark):
+    few = spark.range(40).selectExpr("id doc_id", "'t' text", "'s' source")
+    counts = [r.n_copies for r in mixing.mix(few, rows=40 * 2000).where("copy_index = 0").collect()]
+    assert len(counts) == 40 and abs(sum(counts) / 40 - 2000) < 40
+
+
+def test_secrets(spark, odd, empty):
+    found = by_id(secret_scan.scan(odd))
+    assert found[4][0].spans == "" and found[4][0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert found[8][0].n_hex == 0 and secret_scan.scan(empty).count() == 0
+    token = "aZ3kQ9xW7bT5mN1pL8vR2cY6"
+    many = [(i, f"see {token} and password=abcdefabcdef1234", f"s{i % 4}") for i in range(8)]
+    own = [(90, f"my Q{token[::-1]}", "s1"), (91, f"my Q{token[::-1]}", "s1")]
+    scanned = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(many + own, "doc_id long, text string, source string")).collect()}
+    assert scanned[0].spans == "assign:33:58,hex:42:58" and scanned[0].n_example == 3 and scanned[0].n_live == 0
+    assert scanned[90].spans == "entropy:3:28" and scanned[90].n_live == 1
+
+
+def test_near(odd, empty):
+    found = by_id(minhash_forest.near_duplicates(odd))
+    assert {r.component_id for i in (1, 2, 3, None) for r in found[i] if r.n_shingles} == {1}
+    assert found[4][0].n_shingles == 0 and found[4][0].component_id == 4 and found[6][0].kept
+    assert found[7][0].n_shingles == 1 and found[8][0].n_shingles == 1 and found[9][0].n_shingles == 3
+    assert minhash_forest.near_duplicates(empty).count() == 0
+
+
+def test_a_large_group_of_near_copies_is_one_component(spark):
+    base = [f"w{i}" for i in range(200)]
+    copies = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(200)]
+    other = [(1000 + k, " ".join(f"o{k}x{i}" for i in range(50))) for k in range(50)]
+    docs = spark.createDataFrame(copies + other, "doc_id long, text string").repartition(5)
+    rows_ = minhash_forest.near_duplicates(docs).collect()
+    assert {r.component_id for r in rows_ if r.doc_id < 1000} == {0}
+    assert sum(r.kept for r in rows_) == 51
+
+
+def test_repeats(odd, empty):
+    found = by_id(window_dedup.remove_repeats(odd))
+    assert found[1][0].n_removed == 0 and [r.n_removed for r in found[2]] == [60, 60]
+    assert found[3][0].kept_text == "more" and found[4][0].n_words == 0
+    assert found[9][0].n_removed == 60_000 - 3
+    assert sorted(r.n_removed for r in found[None]) == [0, 60]
+    assert window_dedup.remove_repeats(empty).count() == 0
+
+
+def test_repeats_without_broadcast(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    read = lambda spec: sorted(map(tuple, window_dedup.remove_repeats(docs, spec).collect()))
+    assert read(window_dedup.Windows()) == read(window_dedup.Windows(broadcast_bytes=0))
+
+
+def test_warc(spark, tmp_path):
+    page = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n</p>" * 100
+    data = [
+        (1, "u", page, 1), (2, "u", page, 1), (2, "u", page, 1), (3, None, None, 1), (4, "a\r\nb c", "", 1),
+        (None, None, page, 1), (5, "u", page + "x", 1), (5, "u", page + "y", 1), (6, "u", "small", 1), (7, "u", "small", 1),
+    ]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, digest long")
+    layout = warc.Layout(segment_chars=700, chunk_chars=300)
+    got = warc.archive(pages, str(tmp_path / "w"), layout).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got if r.refers_to) == [
+        (0, "revisit", 2), (1, "revisit", 2)
+    ]
+    want = sorted(hashlib.sha1((h or "").encode()).hexdigest() for _, _, h, _ in data)
+    assert sorted(r.payload_digest for r in got) == want
+    assert sorted(r.payload_bytes for r in got) == sorted(len((h or "").encode()) for _, _, h, _ in data)
+    back = warc.read(spark, str(tmp_path / "w")).where("type = 'response'").collect()
+    assert page.encode() in {bytes(r.payload) for r in back}
+    nothing = warc.archive(pages.limit(0), str(tmp_path / "none"))
+    assert nothing.count() == 0
+
+
+def test_pipeline_stages(spark, odd, small_dir):
+    state = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, small_dir).cache()
+        assert state.columns == odd.columns
+    assert all(isinstance(r.n_tokens, int) for r in corpus_pipeline.STAGES[-1][1](spark, state, small_dir).collect())
