@@ -12,6 +12,7 @@ MIME_TYPES = {
     ".jpeg": "image/jpeg",
     ".png": "image/png",
 }
+DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 TEXT_EXTENSIONS = [".docx", ".txt"]
 SUPPORTED_EXTENSIONS = [*MIME_TYPES, *TEXT_EXTENSIONS]
 
@@ -67,8 +68,8 @@ def decode_text(content: Column) -> Column:
 
 
 def spool_name(position: Column, name: Column) -> Column:
-    """Generated name, so an entry's own path is never used."""
-    return F.concat(F.lpad(position.cast("string"), 5, "0"), suffix(name))
+    """Generated name, so an entry's own path is never used. Longer numbers are never cut."""
+    return F.when(position.isNotNull(), F.format_string("%05d%s", position.cast("long"), suffix(name)))
 
 
 def compression_ratio(file_size: Column, compress_size: Column) -> Column:

@@ -42,14 +42,18 @@ def call_extractor(
     """Run the extractor on `source_file, content`, one attempt per file.
 
     Adds `reply`, or `error_class` and `message` where it failed. Unsupported formats
-    fail without a call. Any exception but TransientError is permanent.
+    fail without a call. Word documents are passed on as bytes with their type, not decoded.
+    Time-outs and connection failures are transient like TransientError, anything else is
+    permanent.
     """
     routed = documents.select(
         "*",
         files.route(F.col("source_file")).alias("_route"),
-        files.mime_type(F.col("source_file")).alias("_mime"),
+        F.when(files.suffix(F.col("source_file")) == ".docx", files.DOCX_TYPE)
+        .otherwise(files.mime_type(F.col("source_file")))
+        .alias("_mime"),
         F.when(
-            files.route(F.col("source_file")) == "text", files.decode_text(F.col("content"))
+            files.suffix(F.col("source_file")) == ".txt", files.decode_text(F.col("content"))
         ).alias("_text"),
     )
     passed = [c for c in documents.columns if keep_content or c != "content"]
@@ -59,10 +63,10 @@ def call_extractor(
         if route == "unsupported":
             return None, PERMANENT, "unsupported file type"
         try:
-            if route == "text":
+            if mime is None:
                 return extractor(name, None, text), None, None
             return extractor(name, mime, bytes(content)), None, None
-        except TransientError as failure:
+        except (TransientError, TimeoutError, ConnectionError) as failure:
             return None, TRANSIENT, str(failure)
         except Exception as failure:
             return None, PERMANENT, str(failure)

@@ -524,7 +524,11 @@ def registered() -> dict[str, str]:
             WITH {MEMBERS},
             numbered AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY pos) - 1 AS idx
                          FROM suffixes WHERE {USABLE})
-            SELECT archive, idx, member, lpad(idx::VARCHAR, 5, '0') || suffix AS spool_name FROM numbered""",
+            SELECT archive, idx, member, CASE WHEN idx > 9999 THEN idx::VARCHAR ELSE lpad(idx::VARCHAR, 5, '0') END || suffix AS spool_name
+            FROM numbered""",
+        "spool_names": """
+            SELECT event_id, CASE WHEN event_id + 95000 > 9999 THEN (event_id + 95000)::VARCHAR
+                                  ELSE lpad((event_id + 95000)::VARCHAR, 5, '0') END || '.pdf' AS spool_name FROM events""",
         "archive_limits": f"""
             WITH {CHECKED}
             SELECT archive, files, total_bytes, largest_file, largest_ratio, rejection, member FROM checked""",

@@ -163,9 +163,8 @@ def normalize_skills(spark, sf_dir):
 def map_skills_table(spark, sf_dir):
     """The vocabulary as a table: here the titles the candidates themselves carry."""
     people = views.candidates(spark, sf_dir)
-    lookup = skills.taxonomy_lookup_from(people, "raw_title")
-    known = skills.normalize_skills(F.col("skills"), lookup)
-    return people.select("id", F.array_join(known, "|").alias("skills"))
+    known = skills.normalize_skills_from(people.select("id", "skills"), "id", people, "raw_title")
+    return known.select("id", F.array_join("skills", "|").alias("skills"))
 
 
 def _texts(spark, sf_dir):
@@ -298,6 +297,12 @@ def archive_entries(spark, sf_dir):
     )
 
 
+def spool_names(spark, sf_dir):
+    """Generated names on both sides of 99,999."""
+    name = files.spool_name(F.col("event_id") + 95_000, F.lit("inbox/cv.PDF"))
+    return views.table(spark, sf_dir, "events").select("event_id", name.alias("spool_name"))
+
+
 def archive_limits(spark, sf_dir):
     checked = archives.check_limits(views.members(spark, sf_dir), LIMITS)
     return checked.withColumn("largest_ratio", F.round("largest_ratio", 6))
@@ -445,7 +450,7 @@ NAMES = [
     "map_skills_table", "embedding_text", "hash_encode", "missing_vectors", "merge_last_wins",
     "merge_full", "merge_outcomes", "merge_rejected", "merge_by_email", "pending_files",
     "pending_counts", "append_union", "batch_status", "batch_files", "batch_finished",
-    "archive_entries", "archive_limits", "upload_receipts", "route_by_extension",
+    "archive_entries", "spool_names", "archive_limits", "upload_receipts", "route_by_extension",
     "parse_json_records", "retry_delay", "error_classes", "cache_keys", "vector_text",
     "seed_candidates", "stream_ingest", "stream_status", "stream_retry",
 ]

@@ -56,14 +56,17 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_members(archives: DataFrame) -> DataFrame:
-    """Entries of each archive from its directory alone; a bad zip gives one null entry."""
+    """Entries of each archive from its directory alone.
+
+    A zip that cannot be read gives one null entry, an empty one a null entry at position -1.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for archive, content in zip(frame["archive"], frame["content"]):
                 try:
                     entries = zipfile.ZipFile(io.BytesIO(content)).infolist()
-                except zipfile.BadZipFile:
+                except Exception:  # whatever is wrong with one archive, the others go on
                     yield pd.DataFrame(
                         [(archive, None, None, None, None)], columns=ARCHIVE_MEMBER.names
                     )
@@ -71,14 +74,15 @@ def list_members(archives: DataFrame) -> DataFrame:
                 rows = [
                     (archive, i, e.filename, e.file_size, e.compress_size)
                     for i, e in enumerate(entries)
-                ]
+                ] or [(archive, -1, None, None, None)]
                 yield pd.DataFrame(rows, columns=ARCHIVE_MEMBER.names)
 
     return archives.select("archive", "content").mapInPandas(run, ARCHIVE_MEMBER)
 
 
 def invalid_archives(members: DataFrame) -> DataFrame:
-    return members.where("member is null").select("archive", F.lit("not a zip file").alias("rejection"))
+    reason = F.when(F.col("pos") == -1, "no supported files").otherwise("not a zip file")
+    return members.where("member is null").select("archive", reason.alias("rejection"))
 
 
 def rejected_archives(members: DataFrame, limits: Limits = Limits()) -> DataFrame:

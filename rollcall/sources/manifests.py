@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.plans.scratch import exists
 from rollcall.schemas import MANIFEST
 
 TTL_SECONDS = 24 * 3600
@@ -17,6 +18,8 @@ def save_manifest(manifest: DataFrame, path: str) -> None:
 
 def load_manifest(spark: SparkSession, path: str, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
     """Manifest rows that have not expired; an unknown batch simply has none."""
+    if not exists(spark, path):  # none written yet, so every batch is unknown
+        return spark.createDataFrame([], ROWS)
     rows = spark.read.schema(ROWS).parquet(path)
     return rows.where(F.col("created_at") > now - F.make_dt_interval(secs=F.lit(ttl)))
 

@@ -18,7 +18,6 @@ from rollcall.operators.records import (
     records,
     validate_replies,
 )
-from rollcall.operators.tables import pending
 from rollcall.plans.scan import number_rows
 from rollcall.plans.scratch import exists, materialize, temporary_tables
 from rollcall.sources.snapshots import Snapshots
@@ -30,13 +29,16 @@ class CandidateIngest:
     """Merges each micro-batch into the snapshots.
 
     A replayed micro-batch finds its id among the published versions and does nothing.
-    Outcomes are written in a folder per micro-batch before the version is published,
-    and only folders of published micro-batches are read.
+    Outcomes and rejected writes are written in folders per micro-batch before the version is
+    published, and only folders of published micro-batches are read. With `skip_known`, a
+    file is skipped if one of that name in the same upload batch was inserted or updated before;
+    a rejected one is tried again.
     """
 
     def __init__(self, store: Snapshots, stream: str, now: Callable[[], Column], skip_known: bool = False):
         self.store, self.stream, self.now, self.skip_known = store, stream, now, skip_known
         self.outcome_root = f"{store.root}/outcomes/{stream}"
+        self.rejected_root = f"{store.root}/rejected/{stream}"
 
     def __call__(self, writes: DataFrame, epoch: int) -> None:
         batch = f"{self.stream}-{epoch}"
@@ -45,21 +47,33 @@ class CandidateIngest:
         if self.skip_known:
             known = self.outcomes()
             if known is not None:
-                writes = pending(writes, known)
+                done = known.where(F.col("action").isin("insert", "update")).select(
+                    F.col("source_file").alias("_file"), F.col("batch_id").alias("_batch")
+                ).distinct()
+                same = F.col("source_file").eqNullSafe(F.col("_file")) & F.col("batch_id").eqNullSafe(F.col("_batch"))
+                writes = writes.join(done, same, "left_anti")
         with temporary_tables(self.store.spark):
             writes = materialize(writes, "micro-batch")
             result = merge(self.store.read(), writes, self.now())
-            names = writes.select("seq", "source_file")
+            names = writes.select("seq", "batch_id", "source_file")
+            result.rejected.write.mode("overwrite").parquet(f"{self.rejected_root}/{batch}")
             result.outcomes.join(names, "seq").write.mode("overwrite").parquet(
                 f"{self.outcome_root}/{batch}"
             )
             self.store.publish(result.rows, batch)
 
     def outcomes(self) -> DataFrame | None:
+        return self._published(self.outcome_root)
+
+    def rejected(self) -> DataFrame | None:
+        """The rejected writes with all their columns, as dead letters."""
+        return self._published(self.rejected_root)
+
+    def _published(self, root: str) -> DataFrame | None:
         done = [m["batch"] for m in self.store.markers() if m["batch"].startswith(f"{self.stream}-")]
         if not done:
             return None
-        return self.store.spark.read.parquet(*[f"{self.outcome_root}/{batch}" for batch in done])
+        return self.store.spark.read.parquet(*[f"{root}/{batch}" for batch in done])
 
 
 def start(

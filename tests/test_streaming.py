@@ -76,6 +76,29 @@ def test_known_files_are_skipped(spark, tmp_path):
     assert sorted(r["name"] for r in store.read().collect()) == ["A", "C"]
 
 
+def test_the_same_name_in_another_batch_is_another_file(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"))
+    sink = ingest.CandidateIngest(store, "s", fixed_now, skip_known=True)
+    schema = ("seq long, name string, raw_title string, experience_years int, skills array<string>, "
+              "phone string, email string, source_file string, batch_id string")
+    for epoch, batch in enumerate(["b1", "b2"]):
+        row = (0, f"of {batch}", None, 1, ["Other"], None, None, "cv.pdf", batch)
+        sink(spark.createDataFrame([row], schema), epoch)
+    assert sorted(r["name"] for r in store.read().collect()) == ["of b1", "of b2"]
+
+
+def test_rejected_writes_keep_their_payload(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"))
+    sink = ingest.CandidateIngest(store, "s", fixed_now)
+    people = views.candidates(spark, "/root/testdata/sf0.01").drop("id")
+    sink(people, 0)
+    refused = sink.outcomes().where("action not in ('insert', 'update')")
+    letters = sink.rejected()
+    assert refused.count() > 0 and letters.count() == refused.count()
+    whole = people.select("seq", "name", "phone", "email", "source_file")
+    assert letters.select(whole.columns).exceptAll(whole).count() == 0
+
+
 def reply(name, mime, payload):
     if "broken" in payload:
         raise records.PermanentError("unreadable")
