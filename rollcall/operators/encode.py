@@ -25,7 +25,9 @@ class HashingEncoder:
     """Counts of words hashed into buckets.
 
     Compares words, not meaning: it stands in where no model is at hand. The bucket is
-    taken from the md5 of the word so any SQL engine can check the result.
+    taken from the md5 of the word so any SQL engine can check the result. Counts are whole
+    numbers and not scaled to unit length, so that equal similarities stay equal; cosines do not
+    depend on the length.
     """
 
     def __init__(self, dimensions: int = EMBEDDING_DIMENSIONS):
@@ -42,11 +44,14 @@ class HashingEncoder:
         return self._buckets[word]
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), self.dimensions), dtype=np.float32)
-        for row, text in enumerate(texts):
-            buckets = [self.bucket(word) for word in TOKEN.findall(text.lower())]
-            np.add.at(vectors[row], buckets, 1)
-        return vectors
+        cells = [
+            row * self.dimensions + self.bucket(word)
+            for row, text in enumerate(texts)
+            for word in TOKEN.findall(text.lower())
+        ]
+        size = len(texts) * self.dimensions
+        counts = np.bincount(np.array(cells, np.int64), minlength=size)
+        return counts.reshape(len(texts), self.dimensions).astype(np.float32)
 
 
 def encode(
