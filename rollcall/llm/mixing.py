@@ -56,7 +56,7 @@ def source_rates(
     weighted = weighted.withColumn("_weight", F.greatest(F.coalesce("_weight", F.lit(0.0)), F.lit(0.0)))
     all_weight = weighted.agg(F.sum("_weight").alias("w")).scalar()
     wanted = F.lit(rows) if rows is not None else counts.agg(F.sum("_rows").alias("n")).scalar()
-    mean = F.col("_weight") / all_weight * wanted / F.col("_rows")
+    mean = F.try_divide(F.col("_weight"), all_weight) * wanted / F.col("_rows")
     return weighted.select("_source", F.coalesce(mean, F.lit(0.0)).alias("_mean"))
 
 
