@@ -28,9 +28,9 @@ How it is computed without replaying the writes one by one:
 *   The history of a row is a chain of accepted writes. Runs on one key are shortened
     to their first write by a scan, the few links that remain by pointer doubling.
 
-No group is ever collected: aggregations combine before the shuffle, ordered scans of
-hot keys are cut into blocks, and lookups on hot keys are salted. Only keys and
-positions travel until the last write of each row is known.
+No group is ever collected: aggregations combine before the shuffle, and ordered scans and
+lookups cut every key into blocks of a bounded number of positions. Only keys and positions
+travel until the last write of each row is known.
 """
 
 from __future__ import annotations
@@ -42,16 +42,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.phones import normalize_phone
-from rollcall.plans import skew
-from rollcall.plans.scan import block_width, nearest
+from rollcall.plans.scan import BLOCK_ROWS, flag_keys, nearest
 from rollcall.plans.scratch import materialize
 from rollcall.schemas import WRITTEN_COLUMNS
 
 # Stored rows come before all writes: they get positions below zero.
 STORED = -(1 << 62)
 
-# From this many contested events on, groups that are settled leave the rounds.
-SPLIT_MINIMUM = 1_000_000
+# After this many rounds, and twice as many each time, groups that are settled leave.
+SPLIT_AFTER = 2
 
 
 @dataclass
@@ -94,8 +93,8 @@ def merge(
     stored: DataFrame,
     incoming: DataFrame,
     now: Column,
-    hot_minimum: int = skew.HOT_MINIMUM,
-    split_minimum: int = SPLIT_MINIMUM,
+    block_rows: int = BLOCK_ROWS,
+    split_after: int = SPLIT_AFTER,
 ) -> MergeResult:
     """Apply `incoming`, ordered by its unique `seq` of 0 and up, to `stored`.
 
@@ -112,15 +111,15 @@ def merge(
     )
     narrow = materialize(narrow, "writes")
     touched = materialize(_touched(stored, narrow), "touched")
-    events, has_hot = _events(touched, narrow, hot_minimum)
-    events = materialize(events, "events")
+    events = materialize(_events(touched, narrow, block_rows), "events")
 
     contested = events.where("contested")
     if contested.isEmpty():
         final, rejects, moved = _uncontested(events), None, None
     else:
-        settled = _settle(contested, has_hot, split_minimum)
-        chains = materialize(_chains(settled, has_hot), "chains")
+        blocked = contested.agg(F.max("block")).first()[0] > 0
+        settled = _settle(contested, blocked, split_after)
+        chains = materialize(_chains(settled, blocked), "chains")
         final = _uncontested(events.where("not contested")).unionByName(_owners(chains))
         rejects = settled.where("not accepted").select(F.col("ord").alias("seq"))
         moved = chains.where("accepted and ord >= 0").select(
@@ -160,53 +159,21 @@ def _touched(stored: DataFrame, narrow: DataFrame) -> DataFrame:
     return by_key.unionByName(kept.join(emails, "e", "left_semi")).distinct()
 
 
-def _events(
-    touched: DataFrame, narrow: DataFrame, hot_minimum: int
-) -> tuple[DataFrame, dict[str, bool]]:
-    """Stored rows and writes in one order, as (ord, k, e), with skew flags."""
+def _events(touched: DataFrame, narrow: DataFrame, block_rows: int) -> DataFrame:
+    """Stored rows and writes in one order, as (ord, k, e, block, contested).
+
+    Stored rows lie in the first block; a key has one of them at most.
+    """
     writes = narrow.select(F.col("seq").alias("ord"), "k", "e")
-    events = touched.select("ord", "k", "e").unionByName(writes)
-    by_email = materialize(
-        events.where("e is not null")
-        .groupBy("e")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.coalesce("k", F.lit(""))).alias("low"),
-            F.max(F.coalesce("k", F.lit(""))).alias("high"),
-        ),
-        "emails",
+    block = F.expr(f"greatest(ord, 0L) div {block_rows}")
+    events = touched.select("ord", "k", "e").unionByName(writes).withColumn("block", block)
+    events = materialize(events, "ordered")
+    keys = F.coalesce("k", F.lit(""))
+    marked = materialize(
+        flag_keys(events, "e", "block", "shared", keys, lambda low, high: low != high), "marked"
     )
-    hot_k, hot_e = None, None
-    if events.count() >= hot_minimum:
-        by_key = skew.key_counts(events, "k")
-        hot_k = materialize(skew.hot_keys(by_key, "k", hot_minimum), "hot-keys")
-        hot_e = materialize(skew.hot_keys(by_email, "e", hot_minimum), "hot-emails")
-    has_hot = {side: hot is not None and not hot.isEmpty() for side, hot in (("k", hot_k), ("e", hot_e))}
-    flagged = _flag(events, narrow, "k", hot_k if has_hot["k"] else None)
-    flagged = _flag(flagged, narrow, "e", hot_e if has_hot["e"] else None)
-
-    shared = by_email.where("low <> high").select("e", F.lit(True).alias("shared"))
-    if shared.isEmpty():
-        return flagged.withColumn("contested", F.lit(False)), has_hot
-    spread = F.col("ord")
-    marked = materialize(skew.salted_lookup(flagged, shared, "e", hot_e, spread), "marked")
-    fought = marked.where("shared and k is not null").select("k").distinct()
-    fought = fought.withColumn("fought", F.lit(True))
-    found = skew.salted_lookup(marked, fought, "k", hot_k, spread)
-    contested = F.col("shared").isNotNull() | F.col("fought").isNotNull()
-    return found.withColumn("contested", contested).drop("shared", "fought"), has_hot
-
-
-def _flag(events: DataFrame, narrow: DataFrame, side: str, hot: DataFrame | None) -> DataFrame:
-    """Mark events on a hot key and give them the block of positions they lie in."""
-    flag, block, none = f"{side}_hot", f"{side}_block", F.lit(0).cast("long")
-    if hot is None:
-        return events.withColumn(flag, F.lit(False)).withColumn(block, none)
-    low, high = narrow.agg(F.min("seq"), F.max("seq")).first()
-    width = block_width(low, high)
-    place = F.when(F.col("ord") < 0, -1).otherwise(F.expr(f"(ord - {low}) div {width}"))
-    marked = skew.flag_hot(events, hot, side, flag)
-    return marked.withColumn(block, F.when(F.col(flag), place).otherwise(none))
+    fought = flag_keys(marked, "k", "block", "fought", F.col("shared"), lambda low, high: high)
+    return fought.withColumn("contested", F.col("shared") | F.col("fought")).drop("shared", "fought")
 
 
 def _uncontested(events: DataFrame) -> DataFrame:
@@ -220,39 +187,36 @@ def _uncontested(events: DataFrame) -> DataFrame:
     )
 
 
-def _scan(df: DataFrame, side: str, has_hot: dict[str, bool], **columns) -> DataFrame:
+def _scan(df: DataFrame, side: str, blocked: bool, **columns) -> DataFrame:
     """One ordered scan by primary key ("k") or email ("e")."""
-    hot = f"{side}_hot" if has_hot[side] else None
-    if hot:
+    if blocked:
         df = materialize(df, "scan")
-    return nearest(df, side, f"{side}_block", "ord", hot, **columns)
+    return nearest(df, side, "ord", "block" if blocked else None, **columns)
 
 
-def _settle(contested: DataFrame, has_hot: dict[str, bool], split_minimum: int) -> DataFrame:
+def _settle(contested: DataFrame, blocked: bool, split_after: int) -> DataFrame:
     """Find which contested events are accepted; adds the owners each one meets."""
     closed = []
+    rounds = 0
     # A missing key never meets another: give each its own.
     alone = F.concat(F.lit("n:"), F.col("ord").cast("string"))
     state = contested.select(
         "ord",
         F.coalesce("k", alone).alias("k"),
         F.coalesce("e", alone).alias("e"),
-        "k_hot",
-        "e_hot",
-        "k_block",
-        "e_block",
+        "block",
         F.lit(True).alias("accepted"),
     )
     own = F.when(F.col("accepted"), F.struct("ord"))
-    state = materialize(_scan(state, "e", has_hot, after={"e_next": own}), "round")
+    state = materialize(_scan(state, "e", blocked, after={"e_next": own}), "round")
     while True:
         # By primary key: the accepted write before this one, and whether a write on
         # that one's email has taken its row elsewhere by now.
         owner = F.when(F.col("accepted"), F.struct("ord", F.col("e_next.ord").alias("gone")))
-        state = _scan(state, "k", has_hot, before={"k_owner": owner}, after={"k_next": own})
+        state = _scan(state, "k", blocked, before={"k_owner": owner}, after={"k_next": own})
         # By email: the same, the other way round.
         owner = F.when(F.col("accepted"), F.struct("ord", F.col("k_next.ord").alias("gone")))
-        state = _scan(state, "e", has_hot, before={"e_owner": owner})
+        state = _scan(state, "e", blocked, before={"e_owner": owner})
         k_taken, e_taken = _still("k_owner"), _still("e_owner")
         verdict = ~(k_taken & e_taken & (F.col("k_owner.ord") != F.col("e_owner.ord")))
         state = (
@@ -262,53 +226,45 @@ def _settle(contested: DataFrame, has_hot: dict[str, bool], split_minimum: int)
             .drop("e_next")
         )
         next_own = F.when(F.col("verdict"), F.struct("ord"))
-        state = materialize(_scan(state, "e", has_hot, after={"e_next": next_own}), "round")
+        state = materialize(_scan(state, "e", blocked, after={"e_next": next_own}), "round")
         changed = state.where("accepted <> verdict")
         if changed.isEmpty():
             return reduce(DataFrame.unionByName, closed, state)
-        parts = _split(state, changed, has_hot, split_minimum)
-        if parts:
-            closed.append(parts[0])
-            state = parts[1]
+        rounds += 1
+        if rounds == split_after:
+            split_after *= 2
+            parts = _split(state, hops=2 * rounds)
+            if parts:
+                closed.append(parts[0])
+                state = parts[1]
         state = state.withColumn("accepted", F.col("verdict")).drop(
             "verdict", "k_owner", "k_next", "e_owner", "k_taken", "e_taken"
         )
 
 
-def _split(
-    state: DataFrame, changed: DataFrame, has_hot: dict[str, bool], minimum: int
-) -> tuple[DataFrame, DataFrame] | None:
-    """(settled, open) events, or None where splitting them does not pay.
+def _split(state: DataFrame, hops: int) -> tuple[DataFrame, DataFrame] | None:
+    """(settled, open) events, or None where most are open or not found in so many hops.
 
     Events that share a key, directly or through others, form a group. A group in which
     nothing changed is settled. The open ones are reached from the changes key by key.
     """
-    total = state.count()
-    if total < minimum:
-        return None
-    columns = ["ord", "k", "e", "k_hot", "e_hot"]
-    reached = materialize(changed.select(columns), "reached")
-    size = reached.count()
-    while size * 2 < total:
-        found = []
-        for side in ("k", "e"):
-            keys = reached.select(side, f"{side}_hot").distinct()
-            cold = f"not {side}_hot"
-            found.append(state.where(cold).join(keys.where(cold).select(side), side, "left_semi"))
-            if has_hot[side]:
-                # Fewer than a thousand, see plans/skew.py.
-                hot = F.broadcast(keys.where(f"{side}_hot").select(side))
-                found.append(state.where(f"{side}_hot").join(hot, side, "left_semi"))
-        found = [part.select(columns) for part in found]
-        reached = materialize(reduce(DataFrame.unionByName, found).distinct(), "reached")
-        grown = reached.count()
+    changed = (F.col("accepted") != F.col("verdict")).alias("open")
+    reached = materialize(state.select("ord", "k", "e", "block", changed), "reached")
+    size = 0
+    for _ in range(hops):
+        total, grown = reached.agg(F.count("*"), F.count_if("open")).first()
+        if grown * 2 >= total:
+            return None
         if grown == size:
-            still_open = reached.select("ord")
+            still_open = reached.where("open").select("ord")
             return (
                 materialize(state.join(still_open, "ord", "left_anti"), "settled"),
                 materialize(state.join(still_open, "ord", "left_semi"), "open"),
             )
         size = grown
+        for side in ("k", "e"):
+            found = flag_keys(reached, side, "block", "found", F.col("open"), lambda low, high: high)
+            reached = materialize(found.drop("open").withColumnRenamed("found", "open"), "reached")
     return None
 
 
@@ -318,7 +274,7 @@ def _still(owner: str) -> Column:
     return F.col(owner).isNotNull() & (gone.isNull() | (gone >= F.col("ord")))
 
 
-def _chains(settled: DataFrame, has_hot: dict[str, bool]) -> DataFrame:
+def _chains(settled: DataFrame, blocked: bool) -> DataFrame:
     """Per accepted event, how it reached its row, the run it is in, and if it is last."""
     via = F.when(F.col("k_taken"), "k").when(F.col("e_taken"), "e").otherwise("new")
     chains = settled.withColumn("via", via).withColumn(
@@ -327,14 +283,14 @@ def _chains(settled: DataFrame, has_hot: dict[str, bool]) -> DataFrame:
     )
     # Events that found their row by primary key continue the run on that key.
     head = F.when(F.col("accepted") & (F.col("via") != "k"), F.struct("ord"))
-    chains = _scan(chains, "k", has_hot, before={"run": head}, inclusive=True)
+    chains = _scan(chains, "k", blocked, before={"run": head}, inclusive=True)
     # A run that starts with a row found by email continues that row's run. Several
     # such steps in a row on one email lead to the last event not found that way.
     came_from = F.when(
         F.col("accepted") & (F.col("via") != "e"),
         F.struct("ord", F.col("run.ord").alias("run")),
     )
-    chains = _scan(chains, "e", has_hot, before={"origin": came_from})
+    chains = _scan(chains, "e", blocked, before={"origin": came_from})
     return chains.select(
         "ord",
         "accepted",

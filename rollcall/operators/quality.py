@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import phones
-from rollcall.plans import skew
+from rollcall.plans.scan import BLOCK_ROWS
 
 
 def phone_report(df: DataFrame) -> DataFrame:
@@ -28,17 +28,21 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     return keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def duplicate_rows(df: DataFrame, hot_minimum: int = skew.HOT_MINIMUM) -> DataFrame:
+def duplicate_rows(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, n, id) for every row of a duplicate group.
 
-    One row per id rather than one list per key: a key may be on any number of rows.
+    One row per id rather than one list per key: a key may be on any number of rows. Ids
+    are unique integers; every key is cut into blocks of `block_rows` of them, and only the
+    counts of the blocks come together by key.
     """
-    keyed = df.select(phones.normalize_phone(F.col("phone")).alias("key"), "id").where("key is not null")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    hot = skew.hot_keys(counts, "key", hot_minimum)
-    return skew.salted_lookup(
-        keyed, counts.where("n > 1"), "key", hot, F.col("id"), how="inner"
-    ).select("key", "n", "id")
+    keyed = df.select(
+        phones.normalize_phone(F.col("phone")).alias("key"),
+        "id",
+        F.expr(f"id div {block_rows}").alias("block"),
+    ).where("key is not null")
+    per_block = keyed.groupBy("key", "block").agg(F.count("*").alias("rows"))
+    counts = per_block.select("key", "block", F.sum("rows").over(Window.partitionBy("key")).alias("n"))
+    return keyed.join(counts.where("n > 1"), ["key", "block"]).select("key", "n", "id")
 
 
 def largest_duplicates(df: DataFrame, limit: int = 20) -> DataFrame:

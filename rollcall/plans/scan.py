@@ -1,31 +1,31 @@
-"""Ordered scans within a key that no single task has to run alone.
+"""Scans and flags within a key that no single task has to run alone.
 
-A window function sends all rows of a key to one task. These scans cut a hot key into
-blocks of consecutive positions, scan every block on its own, and add what the earlier
-blocks contribute. That summary has one row per block, so only it is scanned by key.
+A window function sends all rows of a key to one task. Here every key is cut into blocks of
+positions of a bounded width, so a block holds at most that many of its rows whatever the
+key. Blocks are scanned on their own, and what the other blocks contribute is added from a
+summary of one row per key and block; only that summary is scanned by key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.plans.scratch import materialize
 
-BLOCKS = 1024
-
-
-def block_width(low: int, high: int, blocks: int = BLOCKS) -> int:
-    """Positions per block so that low..high falls into at most `blocks` of them."""
-    return max(1, -(-(high - low + 1) // blocks))
+# Positions in a block, and so the most rows of one key that a task scans at once.
+BLOCK_ROWS = 1_000_000
 
 
 def nearest(
     df: DataFrame,
     key: str,
-    block: str,
     order: str,
-    hot: str | None,
+    block: str | None = None,
     before: dict[str, Column] | None = None,
     after: dict[str, Column] | None = None,
     inclusive: bool = False,
@@ -34,14 +34,14 @@ def nearest(
 
     Every value is a struct whose first field is the row's own position, or null where
     the row has none, so the closest earlier value is the running maximum and the
-    closest later one the running minimum from the end. `hot` names the flag of the
-    rows cut into blocks, with `block` constant for all others; None if there are none.
-    Pass a frame read from a table if there are: it is used twice.
+    closest later one the running minimum from the end. `block` names the block of a row;
+    leave it out if all positions lie in one. Pass a frame read from a table if they do
+    not: it is used twice.
     """
     before, after = before or {}, after or {}
     names = [*before, *after]
     last = Window.currentRow if inclusive else -1
-    rows = Window.partitionBy(key, block)
+    rows = Window.partitionBy(key, block) if block else Window.partitionBy(key)
     forward = rows.orderBy(F.col(order).asc()).rowsBetween(Window.unboundedPreceding, last)
     backward = rows.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, last)
     scanned = df.select(
@@ -49,16 +49,12 @@ def nearest(
         *[F.max(value).over(forward).alias(name) for name, value in before.items()],
         *[F.min(value).over(backward).alias(name) for name, value in after.items()],
     )
-    if hot is None:
+    if block is None:
         return scanned
 
-    per_block = (
-        df.where(F.col(hot))
-        .groupBy(key, block)
-        .agg(
-            *[F.max(value).alias(name) for name, value in before.items()],
-            *[F.min(value).alias(name) for name, value in after.items()],
-        )
+    per_block = df.groupBy(key, block).agg(
+        *[F.max(value).alias(name) for name, value in before.items()],
+        *[F.min(value).alias(name) for name, value in after.items()],
     )
     blocks = Window.partitionBy(key)
     earlier = blocks.orderBy(F.col(block).asc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,6 +65,8 @@ def nearest(
         *[F.max(name).over(earlier).alias(f"_carry_{name}") for name in before],
         *[F.min(name).over(later).alias(f"_carry_{name}") for name in after],
     )
+    # Most keys lie in one block and carry nothing.
+    carried = carried.where(reduce(or_, [F.col(f"_carry_{name}").isNotNull() for name in names]))
     joined = scanned.join(carried, [key, block], "left")
     return joined.select(
         *[F.col(c) for c in df.columns if c not in names],
@@ -76,8 +74,34 @@ def nearest(
     )
 
 
+def flag_keys(
+    df: DataFrame,
+    key: str,
+    block: str,
+    name: str,
+    value: Column,
+    holds: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """Add whether `holds(smallest, largest)` for the values of all rows of the key.
+
+    False for rows without a key. Joins by key and block, so a key on most rows is spread
+    over as many tasks as it has blocks. Pass a frame read from a table: it is used twice.
+    """
+    per_block = (
+        df.where(F.col(key).isNotNull())
+        .groupBy(key, block)
+        .agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    )
+    whole = Window.partitionBy(key)
+    told = per_block.select(
+        key, block, holds(F.min("_low").over(whole), F.max("_high").over(whole)).alias(name)
+    )
+    joined = df.join(told.where(name), [key, block], "left")
+    return joined.select(*df.columns, F.coalesce(name, F.lit(False)).alias(name))
+
+
 def position_within(
-    df: DataFrame, key: str, order: str, name: str, width: int = 1_000_000
+    df: DataFrame, key: str, order: str, name: str, width: int = BLOCK_ROWS
 ) -> DataFrame:
     """Number the rows of each key from 0 in the order of a unique integer column.
 

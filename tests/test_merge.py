@@ -134,26 +134,26 @@ def many_histories(count, **shape):
     return stored, incoming
 
 
-@pytest.mark.parametrize("hot,split", [(1_000_000, 1_000_000), (1_000_000, 0), (3, 0)])
-def test_random_histories(spark, hot, split):
+@pytest.mark.parametrize("block,split", [(1_000_000, 100), (1_000_000, 1), (40, 1)])
+def test_random_histories(spark, block, split):
     stored, incoming = many_histories(
         50, n_stored=4, n_writes=11, n_phones=4, n_emails=4
     )
-    check(spark, stored, incoming, hot_minimum=hot, split_minimum=split)
+    check(spark, stored, incoming, block_rows=block, split_after=split)
 
 
 def test_dense_conflicts_take_several_rounds(spark):
     stored, incoming = history(5, n_stored=3, n_writes=90, n_phones=8, n_emails=8)
-    check(spark, stored, incoming, hot_minimum=1_000)
+    check(spark, stored, incoming, split_after=1)
 
 
 @pytest.mark.parametrize("hot_phone,hot_email", [(0.4, 0.0), (0.0, 0.4), (0.3, 0.3)])
-def test_hot_keys_are_scanned_in_blocks(spark, hot_phone, hot_email):
+def test_keys_are_scanned_in_blocks(spark, hot_phone, hot_email):
     stored, incoming = history(
         9, n_stored=5, n_writes=200, n_phones=80, n_emails=80,
         hot_phone=hot_phone, hot_email=hot_email,
     )
-    check(spark, stored, incoming, hot_minimum=20)
+    check(spark, stored, incoming, block_rows=16)
 
 
 def write(seq, **fields):
