@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rollcall.functions.scores import RANK_DECIMALS, confidence_tier, match_score
+from rollcall.operators.encode import Encoder, encode
 from rollcall.plans.scratch import materialize
+from rollcall.sources.snapshots import Snapshots
 
 # Queries that go through the corpus together: at most this many vectors are sent to
 # the tasks at once, and more of them take further passes.
@@ -249,14 +251,6 @@ def search(
     candidates: DataFrame, queries: Queries, k: int = DEFAULT_K, query_id: str = "query_id"
 ) -> DataFrame:
     """Candidate search: named rows only, calibrated score, tier and number of hits."""
-    framed = isinstance(queries, DataFrame)
-    if framed and "encoder_id" in candidates.columns and "encoder_id" in queries.columns:
-        mine, theirs = (
-            [r[0] for r in df.select("encoder_id").distinct().limit(2).collect()]
-            for df in (candidates, queries)
-        )
-        if mine and theirs and (len(mine) > 1 or mine != theirs):
-            raise ValueError("corpus and queries come from different encoders")
     columns = [
         "id", "name", "raw_title", "experience_years", "skills", "phone", "email", "embedding",
     ]
@@ -264,6 +258,18 @@ def search(
     return present_hits(top_k(named, queries, k, query_id=query_id), query_id, "rank")
 
 
+def search_store(
+    store: Snapshots, texts: DataFrame, encoder: Encoder, k: int = DEFAULT_K, text: str = "text",
+    query_id: str = "query_id",
+) -> DataFrame:
+    """Search the stored table with texts, if its vectors come from the same encoder."""
+    made_by = store.encoder()
+    if made_by not in (None, encoder.encoder_id):
+        raise ValueError(f"the table was encoded by {made_by}, not {encoder.encoder_id}")
+    queries = encode(texts.select(query_id, text), text, encoder, "query_vector")
+    return search(store.read(), queries, k, query_id)
+
+
 # --- approximate search ------------------------------------------------------------
 
 

@@ -315,6 +315,12 @@ status AS (
 )
 """
 
+RESULTS = f"""
+WITH {BASE}
+SELECT name, raw_title, experience_years, array_to_string(skills, '|') AS skills, phone, email, source_file, batch_id
+FROM candidates
+"""
+
 FINISHED = f"""
 WITH {TASKS}
 SELECT batch_id, count(DISTINCT file) AS total,
@@ -529,6 +535,25 @@ def registered() -> dict[str, str]:
         "spool_names": """
             SELECT event_id, CASE WHEN event_id + 95000 > 9999 THEN (event_id + 95000)::VARCHAR
                                   ELSE lpad((event_id + 95000)::VARCHAR, 5, '0') END || '.pdf' AS spool_name FROM events""",
+        "batch_keys": "SELECT page_id, sha256(url || chr(0) || page_id::VARCHAR) AS batch_key FROM pages",
+        "dispatch_tasks": f"""
+            WITH {CHECKED},
+            accepted AS (SELECT u.member, sha256(u.archive || chr(0) || '1767225600') AS batch_id,
+                                row_number() OVER (PARTITION BY u.archive ORDER BY u.pos) - 1 AS pos
+                         FROM usable u JOIN checked c ON c.archive = u.archive AND c.rejection IS NULL)
+            SELECT batch_id, pos, sha256(batch_id || chr(0) || pos::VARCHAR) AS task_id, member AS file FROM accepted""",
+        "manifest_payloads": """
+            SELECT 'b' || user_id AS batch_id, 0::BIGINT AS pos, 't' || event_id AS task_id,
+                   'f' || json_extract_string(props, '$.k') AS file FROM events WHERE event_id % 5 > 1
+            UNION ALL
+            SELECT 'b' || user_id, 1::BIGINT, 'u' || event_id, NULL FROM events WHERE event_id % 5 > 1""",
+        "manifest_unexpired": f"""
+            WITH {TASKS}
+            SELECT batch_id, pos, task_id, file FROM tasks JOIN events ON event_id = pos
+            WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+        "json_lines": RESULTS,
+        "prior_results": RESULTS,
+        "task_summaries": "SELECT * EXCLUDE (embedding) FROM embeddings",
         "archive_limits": f"""
             WITH {CHECKED}
             SELECT archive, files, total_bytes, largest_file, largest_ratio, rejection, member FROM checked""",
@@ -592,7 +617,18 @@ def registered() -> dict[str, str]:
                    {listed(CITIES)}[{draw(1, len(CITIES), 'city')}] AS city
             FROM pools JOIN others USING (i)""",
         "stream_ingest": MERGED,
+        "stream_rejected": f"""
+            WITH RECURSIVE {REPLAY}
+            SELECT c.seq, c.name, c.raw_title, array_to_string(c.skills, '|') AS skills, c.phone, c.email
+            FROM replay JOIN candidates c USING (seq) WHERE act = 'reject'""",
+        "stream_skip_known": f"""
+            WITH RECURSIVE {REPLAY},
+            accepted AS (SELECT c.batch_id, c.source_file FROM replay JOIN candidates c USING (seq) WHERE act <> 'reject')
+            SELECT c.seq, c.batch_id, c.source_file FROM candidates c
+            WHERE NOT EXISTS (SELECT 1 FROM accepted a
+                              WHERE a.batch_id = c.batch_id AND a.source_file = c.source_file)""",
         "stream_status": FINISHED,
+        "stream_status_ttl": FINISHED,
         "stream_retry": f"""
             SELECT event_id AS file,
                    CASE WHEN {ATTEMPT} > 5 THEN 'exhausted' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END

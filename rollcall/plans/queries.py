@@ -21,6 +21,8 @@ from rollcall.operators import (
 )
 from rollcall.plans import views
 from rollcall.plans.scratch import scratch_path
+from rollcall.sources import files as source_files
+from rollcall.sources import manifests
 from rollcall.sources.snapshots import Snapshots
 from rollcall.streaming import ingest, progress, retries
 
@@ -316,6 +318,66 @@ def upload_receipts(spark, sf_dir):
     return receipts.withColumn("files", F.array_join("files", "|"))
 
 
+def batch_keys(spark, sf_dir):
+    key = files.batch_key(F.col("url"), F.col("page_id"))
+    return views.table(spark, sf_dir, "pages").select("page_id", key.alias("batch_key"))
+
+
+def dispatch_tasks(spark, sf_dir):
+    """A task per member of the archives that keep the limits."""
+    accepted = archives.accepted_members(views.members(spark, sf_dir), LIMITS)
+    batch = files.batch_key(F.col("archive"), F.unix_timestamp(fixed_now()))
+    return batches.dispatch(accepted.withColumn("batch_id", batch), fixed_now()).drop("created_at")
+
+
+def manifest_payloads(spark, sf_dir):
+    return manifests.parse_manifests(views.manifest_payloads(spark, sf_dir))
+
+
+def manifest_unexpired(spark, sf_dir):
+    """Manifest rows of the last day of events, from a table written and read back."""
+    events = views.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "manifest")
+    created = F.col("ts").cast("timestamp").alias("created_at")
+    manifests.save_manifest(views.task_events(events).select("*", created), path)
+    newest = events.agg(F.max("ts").cast("timestamp")).scalar()
+    return manifests.load_manifest(spark, path, newest).drop("created_at")
+
+
+def _results(spark, sf_dir):
+    return views.candidates(spark, sf_dir).drop("id")
+
+
+def _result_columns(df):
+    return df.select(
+        "name", "raw_title", "experience_years", F.array_join("skills", "|").alias("skills"),
+        "phone", "email", "source_file", "batch_id",
+    )
+
+
+def json_lines(spark, sf_dir):
+    """Results written as JSON lines and read back."""
+    path = scratch_path(spark, "json-lines")
+    source_files.write_json_lines(_results(spark, sf_dir).drop("seq"), path)
+    return _result_columns(source_files.read_json_lines(spark, path))
+
+
+def prior_results(spark, sf_dir):
+    """Results written as JSON arrays of a thousand records each and read back."""
+    path = scratch_path(spark, "json-arrays")
+    results = _results(spark, sf_dir)
+    record = F.struct(*[c for c in results.columns if c != "seq"])
+    arrays = results.groupBy(F.expr("seq div 1000").alias("part")).agg(
+        F.to_json(F.collect_list(record)).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+    return _result_columns(source_files.read_results(spark, path))
+
+
+def task_summaries(spark, sf_dir):
+    return tables.task_summary(_embeddings(spark, sf_dir))
+
+
 def route_by_extension(spark, sf_dir):
     member = F.col("member")
     return views.members(spark, sf_dir).select(
@@ -392,27 +454,56 @@ def _stream_of(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def stream_ingest(spark, sf_dir):
+def _ingested(spark, sf_dir, skip_known=False):
+    """Customers as a stream, merged into the stored suppliers."""
     root = scratch_path(spark, "stream-ingest")
     store = Snapshots(spark, f"{root}/store")
     store.publish(views.stored_candidates(spark, sf_dir), "earlier")
     writes = views.candidates_from(_stream_of(spark, sf_dir, "customer")).drop("id")
-    sink = ingest.CandidateIngest(store, "customers", fixed_now)
+    sink = ingest.CandidateIngest(store, "customers", fixed_now, skip_known)
     ingest.start(writes, sink, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return _table_columns(store.read())
+    return sink
 
 
-def stream_status(spark, sf_dir):
+def stream_ingest(spark, sf_dir):
+    return _table_columns(_ingested(spark, sf_dir).store.read())
+
+
+def stream_rejected(spark, sf_dir):
+    """The rejected writes of the stream with their payload."""
+    return _ingested(spark, sf_dir).rejected().select(
+        "seq", "name", "raw_title", F.array_join("skills", "|").alias("skills"), "phone", "email"
+    )
+
+
+def stream_skip_known(spark, sf_dir):
+    """What is left to try when the same files arrive a second time: those rejected at first."""
+    sink = _ingested(spark, sf_dir, skip_known=True)
+    sink(views.candidates(spark, sf_dir).drop("id"), epoch=1_000_000)
+    again = sink.outcomes().groupBy("seq", "batch_id", "source_file").agg(F.count("*").alias("tries"))
+    return again.where("tries > 1").select("seq", "batch_id", "source_file")
+
+
+def _stream_status(spark, sf_dir, ttl):
     root = scratch_path(spark, "stream-status")
     reports = views.task_events(_stream_of(spark, sf_dir, "events"))
     counts = progress.ProgressCounts(spark, f"{root}/counts")
-    stream = progress.first_endings(reports)
+    stream = progress.first_endings(reports, ttl)
     ingest.start(stream, counts, f"{root}/checkpoint", available_now=True).awaitTermination()
     batch = views.task_events(views.table(spark, sf_dir, "events"))
     totals = batch.groupBy("batch_id").agg(F.count_distinct("file").alias("total"))
     return counts.finished(totals).select("batch_id", "total", "finished", "complete")
 
 
+def stream_status(spark, sf_dir):
+    return _stream_status(spark, sf_dir, None)
+
+
+def stream_status_ttl(spark, sf_dir):
+    """With a bounded state: a file is forgotten forty days after it ended."""
+    return _stream_status(spark, sf_dir, "40 days")
+
+
 def _attempts(df: DataFrame) -> DataFrame:
     """Each file says how often it fails in passing, and if it fails for good."""
     error = (
@@ -450,9 +541,11 @@ NAMES = [
     "map_skills_table", "embedding_text", "hash_encode", "missing_vectors", "merge_last_wins",
     "merge_full", "merge_outcomes", "merge_rejected", "merge_by_email", "pending_files",
     "pending_counts", "append_union", "batch_status", "batch_files", "batch_finished",
-    "archive_entries", "spool_names", "archive_limits", "upload_receipts", "route_by_extension",
+    "batch_keys", "dispatch_tasks", "manifest_payloads", "manifest_unexpired", "json_lines",
+    "prior_results", "task_summaries", "archive_entries", "spool_names", "archive_limits", "upload_receipts", "route_by_extension",
     "parse_json_records", "retry_delay", "error_classes", "cache_keys", "vector_text",
-    "seed_candidates", "stream_ingest", "stream_status", "stream_retry",
+    "seed_candidates", "stream_ingest", "stream_rejected", "stream_skip_known", "stream_status",
+    "stream_status_ttl", "stream_retry",
 ]
 
 

@@ -136,10 +136,23 @@ def task_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("file"),
         F.element_at(F.create_map(*states), F.col("event_type")).alias("state"),
         F.when(F.col("event_type") == "error", "PermanentExtractionError").alias("error_class"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
+def manifest_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as manifests of two files each, some cut off and some without a batch."""
+    e, batch = F.col("event_id"), F.col("user_id").cast("string")
+    first = F.concat(F.lit('{"task_id": "t'), e.cast("string"), F.lit('", "file": "f'), F.get_json_object("props", "$.k"))
+    listed = F.concat(F.lit('"files": ['), first, F.lit('"}, {"task_id": "u'), e.cast("string"), F.lit('", "file": null}]'))
+    payload = (
+        F.when(e % 5 == 0, F.concat(F.lit('{"batch_id": "b'), batch, F.lit('", "files": [')))
+        .when(e % 5 == 1, F.concat(F.lit("{"), listed, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"batch_id": "b'), batch, F.lit('", '), listed, F.lit("}")))
+    )
+    return table(spark, sf_dir, "events").select(payload.alias("payload"))
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as extractor replies, valid and broken in seven ways."""
     e = F.col("event_id")

@@ -52,8 +52,13 @@ class Snapshots:
     def has_batch(self, batch: str) -> bool:
         return any(m["batch"] == batch for m in self.markers())
 
-    def publish(self, rows: DataFrame, batch: str, replaces_all: bool = False) -> bool:
-        """Write a version; a batch that is already there is not written again."""
+    def publish(
+        self, rows: DataFrame, batch: str, replaces_all: bool = False, encoder: str | None = None
+    ) -> bool:
+        """Write a version; a batch that is already there is not written again.
+
+        `encoder` is the id of what made the vectors; None for rows without any.
+        """
         markers = self.markers()
         if any(m["batch"] == batch for m in markers):
             return False
@@ -67,6 +72,7 @@ class Snapshots:
         ]
         rows.select(*columns).write.parquet(f"{self.root}/{folder}")
         marker = {"version": version, "batch": batch, "folder": folder, "all": replaces_all}
+        marker["encoder"] = encoder
         # Fails if another writer published this version first.
         out = self._fs.create(self._path("published", f"{version:08d}.json"), False)
         try:
@@ -75,25 +81,38 @@ class Snapshots:
             out.close()
         return True
 
+    def _current(self) -> list[dict]:
+        """Markers of the versions that make up the table, from the last whole one on."""
+        markers = self.markers()
+        return markers[max((i for i, m in enumerate(markers) if m["all"]), default=0) :]
+
+    def encoder(self) -> str | None:
+        """The encoder of all stored vectors, from the markers alone; mixed ones are refused."""
+        found = {m["encoder"] for m in self._current() if m.get("encoder")}
+        if len(found) > 1:
+            raise ValueError(f"the table holds vectors of several encoders: {sorted(found)}")
+        return found.pop() if found else None
+
     def read(self) -> DataFrame:
         """The current table: per id the newest version."""
-        markers = self.markers()
-        start = max((i for i, m in enumerate(markers) if m["all"]), default=0)
+        markers = self._current()
         columns = [f.name for f in CANDIDATE.fields if f.name in self.schema.names]
         if not markers:
             return self.spark.createDataFrame([], self.schema).select(*columns)
         rows = None
-        for marker in markers[start:]:
+        for marker in markers:
             part = self.spark.read.schema(self.schema).parquet(f"{self.root}/{marker['folder']}")
             part = part.withColumn("_version", F.lit(marker["version"]))
             rows = part if rows is None else rows.unionByName(part)
-        if len(markers) - start == 1:
+        if len(markers) == 1:
             return rows.select(*columns)
         # Only replaced ids have more than one version, and they are few next to the table.
         newest = rows.where("is_update").groupBy("id").agg(F.max("_version").alias("_newest"))
         current = F.col("_newest").isNull() | (F.col("_version") >= F.col("_newest"))
         return rows.join(newest, "id", "left").where(current).select(*columns)
 
-    def compact(self) -> None:
-        """Write the current table as one version."""
-        self.publish(self.read(), f"compact-{uuid.uuid4().hex}", replaces_all=True)
+    def compact(self, versions: int = 1) -> None:
+        """Write the current table as one version, if it is made of more than so many."""
+        if len(self._current()) > versions:
+            batch = f"compact-{uuid.uuid4().hex}"
+            self.publish(self.read(), batch, replaces_all=True, encoder=self.encoder())

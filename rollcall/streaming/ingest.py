@@ -23,6 +23,7 @@ from rollcall.plans.scratch import exists, materialize, temporary_tables
 from rollcall.sources.snapshots import Snapshots
 
 FILES_PER_MINUTE = 14
+VERSIONS = 64
 
 
 class CandidateIngest:
@@ -32,11 +33,22 @@ class CandidateIngest:
     Outcomes and rejected writes are written in folders per micro-batch before the version is
     published, and only folders of published micro-batches are read. With `skip_known`, a
     file is skipped if one of that name in the same upload batch was inserted or updated before;
-    a rejected one is tried again.
+    a rejected one is tried again. Once the table is made of more than `versions` versions they
+    are written as one, so that the plan that reads it does not grow with the age of the stream.
+    `encoder` names what made the vectors of the writes, if they have any.
     """
 
-    def __init__(self, store: Snapshots, stream: str, now: Callable[[], Column], skip_known: bool = False):
+    def __init__(
+        self,
+        store: Snapshots,
+        stream: str,
+        now: Callable[[], Column],
+        skip_known: bool = False,
+        versions: int = VERSIONS,
+        encoder: str | None = None,
+    ):
         self.store, self.stream, self.now, self.skip_known = store, stream, now, skip_known
+        self.versions, self.encoder = versions, encoder
         self.outcome_root = f"{store.root}/outcomes/{stream}"
         self.rejected_root = f"{store.root}/rejected/{stream}"
 
@@ -60,7 +72,8 @@ class CandidateIngest:
             result.outcomes.join(names, "seq").write.mode("overwrite").parquet(
                 f"{self.outcome_root}/{batch}"
             )
-            self.store.publish(result.rows, batch)
+            self.store.publish(result.rows, batch, encoder=self.encoder)
+        self.store.compact(self.versions)
 
     def outcomes(self) -> DataFrame | None:
         return self._published(self.outcome_root)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.operators import encode, search
+from rollcall.sources.snapshots import Snapshots
 
 VECTORS = "id long, name string, embedding array<float>"
 QUERIES = "query_id string, query_vector array<float>"
@@ -147,10 +148,23 @@ def test_search_needs_a_name_and_one_encoder(spark):
     hits = search.search(corpus, asked, 5).orderBy("rank").collect()
     assert [r["id"] for r in hits] == [1, 3]
     assert hits[0]["title"] == "Welder" and hits[0]["confidence_tier"] in {"High Match", "Moderate Match"}
-    with pytest.raises(ValueError):
-        search.search(
-            corpus.withColumn("encoder_id", F.lit("a")), asked.withColumn("encoder_id", F.lit("b"))
-        )
+
+
+def test_a_table_of_another_encoder_is_refused(spark, tmp_path):
+    encoder, other = encode.HashingEncoder(8), encode.HashingEncoder(16)
+    schema = "id long, name string, raw_title string, experience_years int, skills array<string>"
+    people = spark.createDataFrame([(1, "Ann", "Welder", 2, ["Welder"]), (2, "Bob", "Fitter", 3, ["Fitter"])], schema)
+    store = Snapshots(spark, str(tmp_path))
+    store.publish(encode.encode_candidates(people, encoder), "first", encoder=encoder.encoder_id)
+    asked = spark.createDataFrame([(7, "welder welder")], "query_id long, text string")
+    assert search.search_store(store, asked, encoder, 1).first()["name"] == "Ann"
+    with pytest.raises(ValueError, match="hashing-8"):
+        search.search_store(store, asked, other)
+    store.compact()
+    assert store.version() == 1 and store.encoder() == "hashing-8"
+    store.publish(encode.encode_candidates(people, other), "second", encoder=other.encoder_id)
+    with pytest.raises(ValueError, match="several"):
+        search.search_store(store, asked, encoder)
 
 
 def test_backfill_encodes_only_missing_rows(spark):
