@@ -114,10 +114,11 @@ def merge(
     events = materialize(_events(touched, narrow, block_rows), "events")
 
     contested = events.where("contested")
-    if contested.isEmpty():
+    last_block = contested.agg(F.max("block")).first()[0]
+    if last_block is None:
         final, rejects, moved = _uncontested(events), None, None
     else:
-        blocked = contested.agg(F.max("block")).first()[0] > 0
+        blocked = last_block > 0
         settled = _settle(contested, blocked, split_after)
         chains = materialize(_chains(settled, blocked), "chains")
         final = _uncontested(events.where("not contested")).unionByName(_owners(chains))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import queue
+import re
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import files
+from rollcall.functions.outcomes import error_kind
 from rollcall.functions.phones import normalize_phone
 from rollcall.functions.skills import normalize_skills
 
@@ -32,18 +37,64 @@ class PermanentError(Exception):
     """Raised by an extractor for a failure that will not pass."""
 
 
+class ServiceError(Exception):
+    """Raised by an extractor for an answer of the service it calls.
+
+    Its code and status decide whether it may pass; `server` marks the service's own faults.
+    """
+
+    def __init__(self, message: str, code: int | None = None, status: str | None = None, server: bool = False):
+        super().__init__(message)
+        self.code, self.status, self.server = code, status, server
+
+
 # (file name, MIME type or None for text, text or bytes) -> JSON reply
 Extractor = Callable[[str, str | None, str | bytes], str]
 
+CALL_SECONDS = 120.0
+
+
+def within(seconds: float, call: Callable[[], str]) -> str:
+    """The result of the call, or TimeoutError if it takes longer; it is then left behind."""
+    answer: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            answer.put((call(), None))
+        except BaseException as failure:
+            answer.put((None, failure))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        reply, failure = answer.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} seconds") from None
+    if failure is not None:
+        raise failure
+    return reply
+
+
+def cause(failure: BaseException) -> tuple[str, int | None, str | None]:
+    """(kind, code, status) of a failure, as `error_kind` takes them."""
+    if isinstance(failure, ServiceError):
+        return "server" if failure.server else "api", failure.code, failure.status
+    if isinstance(failure, (TransientError, TimeoutError, ConnectionError)):
+        return "network", None, None
+    return "other", None, None
+
 
 def call_extractor(
-    documents: DataFrame, extractor: Extractor, keep_content: bool = False
+    documents: DataFrame,
+    extractor: Extractor,
+    keep_content: bool = False,
+    seconds: float = CALL_SECONDS,
 ) -> DataFrame:
     """Run the extractor on `source_file, content`, one attempt per file.
 
     Adds `reply`, or `error_class` and `message` where it failed. Unsupported formats
     fail without a call. Word documents are passed on as bytes with their type, not decoded.
-    Time-outs and connection failures are transient like TransientError, anything else is
+    A call that takes longer than `seconds` is a time-out. Time-outs and connection failures are
+    transient like TransientError, answers of a service by code and status, anything else is
     permanent.
     """
     routed = documents.select(
@@ -61,15 +112,12 @@ def call_extractor(
 
     def attempt(name, route, mime, text, content):
         if route == "unsupported":
-            return None, PERMANENT, "unsupported file type"
+            return None, "other", None, None, "unsupported file type"
         try:
-            if mime is None:
-                return extractor(name, None, text), None, None
-            return extractor(name, mime, bytes(content)), None, None
-        except (TransientError, TimeoutError, ConnectionError) as failure:
-            return None, TRANSIENT, str(failure)
+            body = text if mime is None else bytes(content)
+            return within(seconds, lambda: extractor(name, mime, body)), None, None, None, None
         except Exception as failure:
-            return None, PERMANENT, str(failure)
+            return None, *cause(failure), str(failure)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -79,13 +127,17 @@ def call_extractor(
                     frame["source_file"], frame["_route"], frame["_mime"], frame["_text"], frame["content"]
                 )
             ]
-            out = frame[passed].copy()
-            out["reply"], out["error_class"], out["message"] = (
-                zip(*results) if results else ([], [], [])
+            told = pd.DataFrame(
+                results, columns=["reply", "_kind", "_code", "_status", "message"], index=frame.index, dtype=object
             )
-            yield out
+            yield pd.concat([frame[passed], told], axis=1)
 
-    return routed.mapInPandas(run, f"{fields}, reply string, error_class string, message string")
+    tried = routed.mapInPandas(
+        run, f"{fields}, reply string, _kind string, _code int, _status string, message string"
+    )
+    transient = error_kind(F.col("_kind"), F.col("_code"), F.col("_status")) == "transient"
+    error_class = F.when(F.col("_kind").isNotNull(), F.when(transient, TRANSIENT).otherwise(PERMANENT))
+    return tried.select(*passed, "reply", error_class.alias("error_class"), "message")
 
 
 REPLY_TYPE = f"array<struct<{', '.join(f'{key}: variant' for key in REPLY_KEYS)}>>"
@@ -166,6 +218,23 @@ def public_failures(dead: DataFrame) -> DataFrame:
     return dead.drop("message")
 
 
+def contact_extractor(name: str, mime: str | None, content: str | bytes) -> str:
+    """The patterns of `extract_contacts` as an Extractor: the first email, phone and years."""
+    if isinstance(content, bytes):
+        raise PermanentError("only plain text can be read without a service")
+    email, number, years = (re.search(p, content) for p in (EMAIL, PHONE, YEARS))
+    return json.dumps(
+        {
+            "name": None,
+            "raw_title": None,
+            "experience_years": int(years[1]) if years else None,
+            "phone": number[0] if number else None,
+            "email": email[0] if email else None,
+            "skills": [],
+        }
+    )
+
+
 def extract_contacts(documents: DataFrame, text: str = "text") -> DataFrame:
     """Built-in extractor: contacts and years found by patterns in the whole text."""
     body = F.col(text)

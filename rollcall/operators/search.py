@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -348,17 +348,17 @@ def pack_vectors(df: DataFrame, vector_column: str = "embedding") -> DataFrame:
 
 
 def write_index(
-    df: DataFrame, path: str, probes: Probes, id_column: str = "id",
-    vector_column: str = "embedding", files_per_cell: int = 4,
+    df: DataFrame, path: str, probes: Probes, id_column: str = "id", vector_column: str = "embedding"
 ) -> None:
     """Write the corpus with packed vectors in one folder per cell.
 
-    A search reads the folders its queries probe and no others. A cell may hold most of
-    the rows, so each is written by several tasks.
+    A search reads the folders its queries probe and no others. Rows are dealt by range over
+    cell and a hash of the id, so a cell is written by as many tasks as its rows call for, and
+    small cells share one.
     """
-    salt: Column = F.pmod(F.xxhash64(id_column), F.lit(files_per_cell))
     celled = pack_vectors(add_cells(df, probes, vector_column), vector_column)
-    celled.repartition(probes.cell, salt).write.partitionBy(probes.cell).parquet(path)
+    dealt = celled.repartitionByRange(F.col(probes.cell), F.xxhash64(id_column))
+    dealt.write.partitionBy(probes.cell).parquet(path)
 
 
 def approximate_top_k(

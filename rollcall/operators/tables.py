@@ -36,30 +36,24 @@ def bulk_load_by_email(stored: DataFrame, incoming: DataFrame, order: str, now:
     payload = incoming.select(F.col(order).alias("last"), "email", *BULK_COLUMNS)
     latest = payload.join(spans.drop("email"), "last")
 
-    # Rows without an email match nothing and stay out of the joins, where they would all
-    # meet in one task.
-    old, new = stored.where(known).alias("old"), latest.alias("new")
-    same = F.col("old.email") == F.col("new.email")
-    hit = F.col("new.last").isNotNull()
-    updated = old.join(new, same, "left").select(
+    # Which row gets which record is settled on ids and emails alone; the stored rows are
+    # joined on their unique id, with as few rows as the load changes.
+    emails = stored.where(known).select("id", "email")
+    fresh = emails.join(latest, "email").select("id", F.struct(*BULK_COLUMNS).alias("_new"))
+    hit = F.col("_new").isNotNull()
+    updated = stored.join(fresh, "id", "left").select(
         *[
-            F.when(hit, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
-            if c in BULK_COLUMNS
-            else F.col(f"old.{c}")
+            F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in BULK_COLUMNS else c
             for c in stored.columns
         ]
     )
     largest = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("largest")).scalar()
     loose = payload.where(unknown).withColumn("first", F.col("last"))
-    inserted = latest.join(stored.where(known).select("email"), "email", "left_anti").unionByName(loose)
+    inserted = latest.join(emails, "email", "left_anti").unionByName(loose)
     inserted = inserted.select(
         (largest + 1 + F.col("first")).alias("id"), "email", *BULK_COLUMNS, now.alias("created_at")
     )
-    return (
-        updated.unionByName(stored.where(unknown))
-        .unionByName(inserted, allowMissingColumns=True)
-        .select(*stored.columns)
-    )
+    return updated.unionByName(inserted, allowMissingColumns=True).select(*stored.columns)
 
 
 def backfill_phone_keys(df: DataFrame) -> DataFrame:

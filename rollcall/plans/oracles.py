@@ -629,6 +629,16 @@ def registered() -> dict[str, str]:
                               WHERE a.batch_id = c.batch_id AND a.source_file = c.source_file)""",
         "stream_status": FINISHED,
         "stream_status_ttl": FINISHED,
+        "stream_extract": f"""
+            WITH extracted AS ({EXTRACTED}),
+            sent AS (SELECT doc_id, length(text) % 11 AS r FROM documents WHERE text IS NOT NULL)
+            SELECT doc_id || '.txt' AS file,
+                   CASE WHEN r IN (3, 7) THEN 'exhausted' WHEN r = 5 THEN 'failed' ELSE 'done' END AS outcome,
+                   CASE WHEN r IN (3, 7) THEN 6 ELSE 1 END AS attempts,
+                   CASE WHEN r NOT IN (3, 5, 7) THEN email END AS email,
+                   CASE WHEN r NOT IN (3, 5, 7) THEN phone END AS phone,
+                   CASE WHEN r NOT IN (3, 5, 7) THEN experience_years END AS experience_years
+            FROM sent JOIN extracted USING (doc_id)""",
         "stream_retry": f"""
             SELECT event_id AS file,
                    CASE WHEN {ATTEMPT} > 5 THEN 'exhausted' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END

@@ -98,7 +98,7 @@ def topk_every_vector(spark, sf_dir):
 def _approximate(spark, sf_dir):
     probes = search.Probes(**PROBES)
     path = scratch_path(spark, "index")
-    search.write_index(_embeddings(spark, sf_dir), path, probes, id_column="vec_id", files_per_cell=1)
+    search.write_index(_embeddings(spark, sf_dir), path, probes, id_column="vec_id")
     index = spark.read.parquet(path)
     queries = _label_centers(spark, sf_dir)
     return search.approximate_top_k(index, queries, probes, 5, id_column="vec_id")
@@ -534,6 +534,43 @@ def stream_retry(spark, sf_dir):
     )
 
 
+def _busy_service(name: str, mime: str | None, content: str | bytes) -> str:
+    """The built-in extractor behind a service that is at times busy, down or refuses a text."""
+    if len(content) % 11 == 3:
+        raise records.ServiceError("busy", code=429)
+    if len(content) % 11 == 5:
+        raise records.ServiceError("refused", code=400)
+    if len(content) % 11 == 7:
+        raise ConnectionError("no route")
+    return records.contact_extractor(name, mime, content)
+
+
+def stream_extract(spark, sf_dir):
+    """Documents through the extractor with its retries, and the records of the replies."""
+    root = scratch_path(spark, "stream-extract")
+    work = _stream_of(spark, sf_dir, "documents").where("text is not null").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
+        F.encode("text", "UTF-8").alias("content"),
+    )
+    stream = retries.RetryingStream(spark, root, ingest.extraction_attempt(_busy_service), payload=["content"])
+    last = {}
+
+    def sink(files_now: DataFrame, epoch: int) -> None:
+        stream.step(files_now, epoch, fixed_now())
+        last["step"] = epoch
+
+    ingest.start(work, sink, f"{root}/checkpoint", available_now=True).awaitTermination()
+    ended = stream.ended(stream.drain(last["step"], fixed_now()))
+    return records.parse_replies(ended).select(
+        "file",
+        "outcome",
+        (F.col("attempt") + 1).alias("attempts"),
+        F.col("record.email").alias("email"),
+        F.col("record.phone").alias("phone"),
+        F.col("record.experience_years").alias("experience_years"),
+    )
+
+
 NAMES = [
     "topk_cosine", "topk_calibrated", "topk_filtered", "topk_batch", "topk_every_vector", "ann_lsh", "ann_recall",
     "search_candidates", "extract_contacts", "normalize_phone", "placeholder_report",
@@ -545,7 +582,7 @@ NAMES = [
     "prior_results", "task_summaries", "archive_entries", "spool_names", "archive_limits", "upload_receipts", "route_by_extension",
     "parse_json_records", "retry_delay", "error_classes", "cache_keys", "vector_text",
     "seed_candidates", "stream_ingest", "stream_rejected", "stream_skip_known", "stream_status",
-    "stream_status_ttl", "stream_retry",
+    "stream_status_ttl", "stream_retry", "stream_extract",
 ]
 
 

@@ -11,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rollcall.functions import files
 from rollcall.operators.archives import Limits, accepted_members, check_limits
-from rollcall.plans.scratch import exists
+from rollcall.plans.scratch import exists, materialize
 from rollcall.schemas import ARCHIVE_MEMBER, CANDIDATE
 
+# Names of members to unpack that may be broadcast.
+BROADCAST_CHARS = 32 << 20
+
 
 def list_resumes(spark: SparkSession, folder: str) -> DataFrame:
     """Supported files directly in a folder, as (path, source_file, length, modified).
@@ -94,13 +98,18 @@ def unpack_archives(archives: DataFrame, limits: Limits = Limits()) -> DataFrame
     """Contents of the usable members of the archives that keep the limits.
 
     The limits are checked on the directories first, so a rejected archive is never
-    expanded. Columns: archive, batch_id, idx, member, spool_name, content.
+    expanded. Columns: archive, batch_id, idx, member, spool_name, content, and for a member
+    that cannot be read an `error` and no content. Directories are parsed once; the names to
+    unpack go to the archives, not the contents to the names, while they fit into a broadcast.
     """
-    members = list_members(archives).where("member is not null")
+    members = materialize(list_members(archives), "members").where("member is not null")
     wanted = accepted_members(members, limits)
     entry = F.struct("idx", "pos", "member", "spool_name")
     # As many entries as the limit on the count lets through.
     plan = wanted.groupBy("archive").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    plan = materialize(plan, "unpack-plan")
+    size = plan.agg(F.sum(F.length("archive") + F.length(F.to_json("entries")))).first()[0] or 0
+    plan = F.broadcast(plan) if size <= BROADCAST_CHARS else plan.hint("merge")
     batch = files.batch_key(F.col("archive"), F.col("modified"))
     joined = archives.withColumn("batch_id", batch).join(plan, "archive")
     schema = T.StructType(
@@ -111,8 +120,16 @@ def unpack_archives(archives: DataFrame, limits: Limits = Limits()) -> DataFrame
             T.StructField("member", T.StringType()),
             T.StructField("spool_name", T.StringType()),
             T.StructField("content", T.BinaryType()),
+            T.StructField("error", T.StringType()),
         ]
     )
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def read(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        try:
+            return archive.read(entry), None
+        except Exception as failure:  # whatever is wrong with one member, the others go on
+            return None, f"unreadable member: {failure}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,15 +140,9 @@ def unpack_archives(archives: DataFrame, limits: Limits = Limits()) -> DataFrame
                     for e in row["entries"]:
                         values = [
                             row["archive"], row["batch_id"], e["idx"], e["member"],
-                            e["spool_name"], archive.read(entries[e["pos"]]),
+                            e["spool_name"], *read(archive, entries[e["pos"]]),
                         ]
-                        yield pa.RecordBatch.from_pylist(
-                            [dict(zip(schema.names, values))],
-                            schema=pa.schema(
-                                [("archive", pa.string()), ("batch_id", pa.string()), ("idx", pa.int64()),
-                                 ("member", pa.string()), ("spool_name", pa.string()), ("content", pa.binary())]
-                            ),
-                        )
+                        yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, values))], schema=arrow)
 
     return joined.select("archive", "batch_id", "content", "entries").mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +19,20 @@ class RetryingStream:
 
     Each step takes the new files and the retries that are due, and writes what came of
     them and the retries that remain in one folder of its own. The next step reads only
-    the folder before it, so a step that is run again gives the same result.
+    the folder before it, so a step that is run again gives the same result. Columns named in
+    `payload` are kept while a file waits and dropped once it has ended.
     """
 
-    def __init__(self, spark: SparkSession, root: str, attempt: Attempt, max_retries: int = MAX_RETRIES):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        attempt: Attempt,
+        max_retries: int = MAX_RETRIES,
+        payload: Sequence[str] = (),
+    ):
         self.spark, self.root, self.attempt = spark, root.rstrip("/"), attempt
-        self.max_retries = max_retries
+        self.max_retries, self.payload = max_retries, payload
 
     def _folder(self, step: int, part: str) -> DataFrame:
         """`ended` or `waiting` rows of a step; the other part is not read."""
@@ -58,6 +66,7 @@ class RetryingStream:
         done = (
             tried.withColumn("part", F.when(again, "waiting").otherwise("ended"))
             .withColumn("outcome", F.when(~again, outcome))
+            .withColumns({name: F.when(again, F.col(name)) for name in self.payload})
             .withColumn("next_at", F.when(again, F.timestamp_seconds(F.unix_timestamp(now) + delay)))
             .withColumn("attempt", F.col("attempt") + again.cast("int"))
             .withColumn("result", F.struct(*given))
@@ -83,7 +92,7 @@ class RetryingStream:
 
     def ended_in(self, step: int) -> DataFrame:
         """Files that succeeded or failed for good in one step."""
-        return self._folder(step, "ended").drop("next_at").select("*", "result.*").drop("result")
+        return self._folder(step, "ended").drop("next_at", *self.payload).select("*", "result.*").drop("result")
 
     def ended(self, last_step: int) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.ended_in(s) for s in range(last_step + 1)])

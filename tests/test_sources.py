@@ -2,6 +2,7 @@
 
 import json
 import sys
+import time
 import zipfile
 from pathlib import Path
 
@@ -68,6 +69,18 @@ def test_archives_unpack(spark, tmp_path):
     assert {r["batch_id"] for r in again.collect()} == {rows[0]["batch_id"]}
 
 
+def test_an_unreadable_member_does_not_end_the_job(spark, tmp_path):
+    path = tmp_path / "half.zip"
+    make_zip(path, [("a.txt", b"first part"), ("b.txt", b"second part")])
+    whole = path.read_bytes()
+    with zipfile.ZipFile(path) as archive:
+        start = archive.infolist()[0].header_offset + 30 + len("a.txt")
+    path.write_bytes(whole[:start] + b"\xff" * 4 + whole[start + 4 :])
+    rows = {r["member"]: r for r in files.unpack_archives(files.read_archives(spark, str(tmp_path))).collect()}
+    assert rows["a.txt"]["content"] is None and "unreadable" in rows["a.txt"]["error"]
+    assert bytes(rows["b.txt"]["content"]) == b"second part" and rows["b.txt"]["error"] is None
+
+
 @pytest.mark.parametrize("content", [None, "", "[{\"name\": \"A\"", "{\"name\": \"A\"}", "7", "[]", "  "])
 def test_results_that_cannot_be_read_are_empty(spark, tmp_path, content):
     path = tmp_path / "candidates.json"
@@ -276,11 +289,34 @@ def test_positions_across_blocks(spark):
     assert [r["n"] for r in got if r["k"] == "cold"] == [0, 1]
 
 
-@pytest.mark.parametrize("minimum", [5, 1_000_000])
-def test_duplicate_rows_of_a_hot_phone(spark, minimum):
+def test_causes_of_a_failed_call_decide_its_class(spark):
+    raised = {
+        "busy.txt": records.ServiceError("slow down", code=429),
+        "down.txt": records.ServiceError("fault", server=True),
+        "spent.txt": records.ServiceError("over", status="RESOURCE_EXHAUSTED"),
+        "refused.txt": records.ServiceError("no", code=400, status="INVALID_ARGUMENT"),
+        "cut.txt": ConnectionError("cut"),
+        "odd.txt": KeyError("odd"),
+    }
+
+    def answer(name, mime, content):
+        if name == "hangs.txt":
+            time.sleep(30)
+        raise raised[name]
+
+    rows = [(name, b"x") for name in [*raised, "hangs.txt"]] + [("none.pdf", None)]
+    frame = spark.createDataFrame(rows, "source_file string, content binary")
+    tried = records.call_extractor(frame, answer, seconds=1.5).collect()
+    transient = {r["source_file"] for r in tried if r["error_class"] == records.TRANSIENT}
+    assert transient == {"busy.txt", "down.txt", "spent.txt", "cut.txt", "hangs.txt"}
+    assert {r["error_class"] for r in tried} == {records.TRANSIENT, records.PERMANENT}
+
+
+@pytest.mark.parametrize("block", [5, 1_000_000])
+def test_duplicate_rows_of_a_hot_phone(spark, block):
     rows = [(i, "9182468135" if i % 3 == 0 else f"20100000{i:02d}") for i in range(90)] + [(500, "2010000001")]
     frame = spark.createDataFrame(rows, "id long, phone string")
-    got = {(r["key"], r["n"], r["id"]) for r in duplicate_rows(frame, minimum).collect()}
+    got = {(r["key"], r["n"], r["id"]) for r in duplicate_rows(frame, block).collect()}
     expected = {("9182468135", 30, i) for i in range(0, 90, 3)} | {("2010000001", 2, 1), ("2010000001", 2, 500)}
     assert got == expected
     with pytest.raises(ValueError, match="2 phone"):
