@@ -2,9 +2,9 @@
 
 Every tree is one sorted order: its rows are the documents' sequences of MinHash values,
 dealt by range and sorted. Candidates are the neighbours of a row that share a prefix with
-it; how deep that prefix goes follows from the order itself, as neighbours in a crowded region
-share long prefixes and those in an empty one short ones. Candidates are confirmed on their
-full shingle sets.
+it. A region, the rows of a tree that share the least prefix, may hold more rows than a window
+of neighbours spans: the documents of such a region that the links so far leave apart go
+through an exact join of their shingle sets. Candidates are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.common import WordHashes, blocks, inside, mix64, window_hashes
 from rollcall.llm.components import components
+from rollcall.llm.set_join import close_pairs
 from rollcall.plans.scratch import materialize
 
 
@@ -27,7 +28,8 @@ from rollcall.plans.scratch import materialize
 class Forest:
     """A pair of similarity s shares a prefix of `shallowest` values in one tree of
     `trees` with probability 1 - (1 - s**shallowest)**trees: 0.9999998 at 0.85 with the
-    defaults. `neighbours` earlier rows are compared with each row of a tree."""
+    defaults. `neighbours` earlier rows are compared with each row of a tree; regions of more
+    rows than these and the row itself go through the exact join."""
 
     words: int = 5
     threshold: int = 85
@@ -172,6 +174,29 @@ def candidates(signed: DataFrame, forest: Forest) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("early").alias("early"))
 
 
+REGION_SALTS = 16
+
+
+def crowded(classes: DataFrame, linked: DataFrame, forest: Forest) -> DataFrame:
+    """(id, component): documents of regions that a window does not span and `linked` does not connect.
+
+    `classes` holds (id, signature), `linked` (id, component_id). The rows of a region are dealt
+    by salts, as a third of all documents may be in one.
+    """
+    tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
+    prefix = F.expr(f"substring(signature, tree * {4 * forest.depth} + 1, {4 * forest.shallowest})")
+    salt = F.pmod("id", F.lit(REGION_SALTS)).cast("int").alias("salt")
+    rows = classes.select("id", "signature", tree).select(F.xxhash64("tree", prefix).alias("region"), salt, "id")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(REGION_SALTS - 1))).alias("salt")
+    large = rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > forest.neighbours + 1)
+    large = materialize(large.select("region"), "large-regions")
+    inside_ = rows.join(large.select("region", salts), ["region", "salt"])
+    told = inside_.join(linked, "id", "left").select("region", "salt", "id", F.coalesce("component_id", "id").alias("component"))
+    told = materialize(told, "large-region-rows")
+    several = told.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return told.join(several.select("region", salts), ["region", "salt"], "left_semi").select("id", "component").distinct()
+
+
 def _confirm(threshold: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,11 +221,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets count once on the way. Links are confirmed in two rounds: close
-    neighbours of the first trees, then whatever the components so far do not connect. A pair
-    of lower similarity is never linked; one above the threshold is missed with the
-    probability that Forest states, or where each tree has more than `neighbours` documents
-    between the two that share as much with them.
+    Documents with equal sets count once on the way. Links are confirmed in rounds: close
+    neighbours of the first trees, then whatever the components so far do not connect. Regions
+    that a window does not span are completed by an exact join. A pair of lower similarity is
+    never linked; one above the threshold is missed with the probability that Forest states,
+    whatever stands between the two.
 
     A null or empty text, or one of blanks, has no shingle, is linked with nothing and is its own
     component. A row without an id takes part by its text, with no id for others to reach: it is
@@ -240,6 +265,14 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     second = confirmed(apart, sets, forest.threshold)
     whole = materialize(components(first.union(second)), "components")
 
+    rest = materialize(crowded(classes, whole, forest), "crowded")
+    if not rest.isEmpty():
+        crowd_texts = ids_and_texts.join(rest.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id")
+        crowd = materialize(crowd_texts.mapInPandas(_pack(forest.words), "id long, shingles binary"), "crowd-sets")
+        close = materialize(close_pairs(crowd.join(rest, "id"), forest.threshold), "close-pairs")
+        stars = whole.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
+        whole = materialize(components(stars.union(confirmed(close, crowd, forest.threshold))), "components")
+
     named = classes.select("set_id", "id").join(whole, "id", "left").select(
         "set_id", F.coalesce("component_id", "id").alias("_component")
     )

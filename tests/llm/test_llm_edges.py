@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -13,6 +14,7 @@ from rollcall.llm import (
     quality,
     secret_scan,
     sentencepiece_index,
+    set_join,
     toxicity,
     warc,
     window_dedup,
@@ -186,6 +188,32 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert sum(r.kept for r in rows_) == 51
 
 
+def test_pairs_in_a_crowd_just_below_the_threshold_are_found(spark):
+    template = [f"t{i}" for i in range(172)]  # 168 shingles; with 16 own words two texts have 168 / 200 in common
+    own = {k: [f"own{k}x{i}" for i in range(16)] for k in range(400)}
+    for k in range(20):
+        own[k + 200][:2] = own[k][:2]  # 170 / 198
+    texts = [(k, " ".join(template + words)) for k, words in own.items()]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs).collect()}
+    assert found == {k: k - 200 if 200 <= k < 220 else k for k in own}
+
+
+def test_the_exact_join_gives_every_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "BLOCK_ROWS", 7)
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.choice(60, size=draw.integers(1, 60), replace=False).astype(np.uint64)) for _ in range(300)]
+    rows_ = [(i, i // 2, s.tobytes()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows_, "id long, component long, shingles binary").repartition(3)
+    close = {(r.a, r.b) for r in set_join.close_pairs(frame, 80).collect()}
+    known = [set(s.tolist()) for s in sets]
+    similar = {
+        (a, b) for a in range(300) for b in range(a + 1, 300)
+        if a // 2 != b // 2 and 100 * len(known[a] & known[b]) >= 80 * len(known[a] | known[b])
+    }
+    assert similar and similar <= close
+
+
 def test_repeats(odd, empty):
     found = by_id(window_dedup.remove_repeats(odd))
     assert found[1][0].n_removed == 0 and [r.n_removed for r in found[2]] == [60, 60]
