@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequencies.
 
 Candidates are spans of three fixed kinds and of high-entropy tokens. Their hashes are counted
-by distinct documents (repositories) and sources (owners): a value that many owners hold is a
-copied example, one that a single owner holds looks live. The fixed kinds are always
+by distinct documents (repositories) and sources (owners): a value that many owners hold, or that
+its owners hold in many documents each, is a copied example; others look live. The fixed kinds are always
 reported, with that class; a high-entropy token only if it looks live.
 """
 
@@ -33,10 +33,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class Ownership:
-    """A value is an example from `owners` distinct owners on. `bits` is the least entropy per
-    character of a token without a fixed form."""
+    """A value is an example from `owners` distinct owners on, or from `copies` distinct documents
+    for each of its owners. `bits` is the least entropy per character of a token without a fixed form."""
 
     owners: int = 3
+    copies: int = 20
     bits: float = 4.0
 
 
@@ -82,7 +83,7 @@ def spans(text: Column, bits: float) -> Column:
     return F.pandas_udf(run, "array<struct<kind int, start int, end int, value long>>")(text)
 
 
-def ownership(found: DataFrame, owners: int) -> DataFrame:
+def ownership(found: DataFrame, setting: Ownership) -> DataFrame:
     """(value, n_documents, n_owners, example) per distinct value of (doc_id, source, spans).
 
     Distinct pairs are combined before they move, so a value that a third of all rows hold
@@ -92,7 +93,9 @@ def ownership(found: DataFrame, owners: int) -> DataFrame:
     by_owner = each.groupBy("value", "source").agg(F.count("*").alias("n"))
     documents = each.select("value", "doc_id").distinct().groupBy("value").agg(F.count("*").alias("n_documents"))
     holders = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"))
-    return documents.join(holders, "value").withColumn("example", F.col("n_owners") >= owners)
+    owners, copies = F.col("n_owners"), F.col("n_documents")
+    example = (owners >= setting.owners) | (copies >= setting.copies * owners)
+    return documents.join(holders, "value").withColumn("example", example)
 
 
 def joined(array: Column) -> Column:
@@ -105,7 +108,7 @@ def joined(array: Column) -> Column:
 
 def scan(documents: DataFrame, setting: Ownership = Ownership()) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, and how
-    many of the values look live or are examples, with the most owners of any.
+    many of the values look live or are examples, with the most owners and documents of any.
 
     Offsets are code points, ends exclusive. A null or empty text has no span. A null source is
     an owner of its own, and rows without a doc_id count as one document; rows that repeat an
@@ -115,16 +118,16 @@ def scan(documents: DataFrame, setting: Ownership = Ownership()) -> DataFrame:
     read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", spans(F.col("text"), setting.bits).alias("spans"))
     found = materialize(read.withColumn("row", F.monotonically_increasing_id()), "secrets")
     held = found.where(F.size("spans") > 0)
-    owned = materialize(ownership(held, setting.owners), "ownership")
+    owned = materialize(ownership(held, setting), "ownership")
     each = held.select("row", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
     told = each.join(owned, "value").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "example", "n_owners"))).alias("told")
+        F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "example", "n_owners", "n_documents"))).alias("told")
     )
     base = F.filter("spans", lambda s: s["kind"] < 3)
     kept = F.filter("told", lambda s: (s["kind"] < 3) | ~s["example"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     judged = lambda example: F.size(F.filter("told", lambda s: s["example"] == F.lit(example))).cast("long")
-    whole = found.join(told, "row", "left").withColumn("told", F.coalesce("told", F.expr("cast(array() as array<struct<start int, kind int, end int, example boolean, n_owners bigint>>)")))
+    whole = found.join(told, "row", "left").withColumn("told", F.coalesce("told", F.expr("cast(array() as array<struct<start int, kind int, end int, example boolean, n_owners bigint, n_documents bigint>>)")))
     return whole.select(
         "doc_id",
         count(0).alias("n_assign"),
@@ -135,4 +138,5 @@ def scan(documents: DataFrame, setting: Ownership = Ownership()) -> DataFrame:
         judged(False).alias("n_live"),
         judged(True).alias("n_example"),
         F.coalesce(F.array_max(F.transform("told", lambda s: s["n_owners"])), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("told", lambda s: s["n_documents"])), F.lit(0)).alias("most_documents"),
     )

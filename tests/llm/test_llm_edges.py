@@ -170,6 +170,15 @@ def test_secrets(spark, odd, empty):
     assert scanned[90].spans == "entropy:3:28" and scanned[90].n_live == 1
 
 
+def test_a_value_on_many_documents_of_one_source_is_an_example(spark):
+    token = "aZ3kQ9xW7bT5mN1pL8vR2cY6"
+    texts = [(i, f"see {token}", "s1") for i in range(40)] + [(i, f"my Q{token[::-1]}", "s1") for i in range(50, 53)]
+    scanned = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()}
+    assert scanned[0].spans == "" and scanned[0].n_live == 0 and scanned[0].n_example == 1
+    assert scanned[0].most_owners == 1 and scanned[0].most_documents == 40
+    assert scanned[50].spans == "entropy:3:28" and scanned[50].n_live == 1 and scanned[50].most_documents == 3
+
+
 def test_near(odd, empty):
     found = by_id(minhash_forest.near_duplicates(odd))
     assert {r.component_id for i in (1, 2, 3, None) for r in found[i] if r.n_shingles} == {1}
