@@ -170,6 +170,11 @@ def test_secrets(spark, odd, empty):
     assert scanned[90].spans == "entropy:3:28" and scanned[90].n_live == 1
 
 
+def test_long_tokens_are_spans():
+    token = "".join(chr(65 + i * 7 % 26) + chr(97 + i * 11 % 26) + str(i % 10) for i in range(100))
+    assert [f[:3] for f in secret_scan.candidates(f"see {token}.", 4.0)] == [(3, 4, 304)]
+
+
 def test_a_value_on_many_documents_of_one_source_is_an_example(spark):
     token = "aZ3kQ9xW7bT5mN1pL8vR2cY6"
     texts = [(i, f"see {token}", "s1") for i in range(40)] + [(i, f"my Q{token[::-1]}", "s1") for i in range(50, 53)]
