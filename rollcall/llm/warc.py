@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from rollcall.plans.scratch import materialize
 
 END = "\r\n"
+FED_BYTES = 1 << 16
+PIECE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Layout:
     """Payloads of `revisit_bytes` or more are stored once. A record's block has at most about
-    `segment_chars` characters, a chunk `chunk_chars`, and a file `file_bytes` of payloads."""
+    `segment_chars` characters, a chunk `chunk_chars`, and a file as many records as `file_bytes` holds of such blocks."""
 
     revisit_bytes: int = 1000
     segment_chars: int = 1 << 15
@@ -109,23 +111,53 @@ def write(pages: DataFrame, path: str, layout: Layout = Layout()) -> None:
     number = F.when(F.col("referred"), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
     marked = with_roles(pages, layout).withColumn("number", number)
     # A record ends with two line ends, which is what the text writer puts after each row.
-    marked.mapInPandas(run, "value string").write.option("lineSep", END + END).option("compression", "gzip").text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    written = marked.mapInPandas(run, "value string").write.option("lineSep", END + END).option("compression", "gzip")
+    written.option("maxRecordsPerFile", max(1, layout.file_bytes // layout.segment_chars)).text(path)
+
+
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """What all gzip members of a file hold, in pieces of bounded size."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            fed = view[at : at + FED_BYTES]
+            piece = member.decompress(fed, PIECE_BYTES)
+            if not fed and not piece and not member.eof:
+                raise ValueError("the last gzip member is cut off")
+            at += len(fed) - len(member.unconsumed_tail) - len(member.unused_data)
+            yield piece
+        while at < len(view) and view[at] == 0:  # padding
+            at += 1
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
     """Headers and block of each record; the length of a block is the one its header states."""
-    at = 0
-    while at < len(data):
-        split = data.find(b"\r\n\r\n", at)
-        if split < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:split].split(b"\r\n")[1:]
-        headers = {k.lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
-        begin, size = split + 4, int(headers[b"content-length"])
-        if begin + size > len(data):
-            raise ValueError("the last record is cut off")
-        yield headers, data[begin : begin + size]
-        at = begin + size + 4
+    held, passed, begin, size, headers = bytearray(), 0, 0, 0, None
+    for piece in pieces:
+        held += piece
+        at = 0
+        while at < len(held):
+            if headers is None:
+                split = held.find(b"\r\n\r\n", at)
+                if not held.startswith(b"WARC/"[: len(held) - at], at):
+                    raise ValueError(f"no WARC record at byte {passed + at}")
+                if split < 0:
+                    break
+                lines = bytes(held[at:split]).split(b"\r\n")[1:]
+                headers = {k.lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
+                begin, size = split + 4 - at, int(headers[b"content-length"])
+            if at + begin + size + 4 > len(held):
+                break
+            yield headers, bytes(held[at + begin : at + begin + size])
+            at += begin + size + 4
+            headers = None
+        del held[:at]
+        passed += at
+    if headers is not None and begin + size <= len(held):  # without the two line ends
+        yield headers, bytes(held[begin : begin + size])
+    elif held:
+        raise ValueError("the last record is cut off" if headers is not None else f"no WARC record at byte {passed}")
 
 
 def unchunked(block: bytes) -> bytes:
@@ -149,8 +181,8 @@ def _read_files(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["uri", "origin", "type", "segment", "total", "refers_to", "digest", "block"]
     for batch in files:
         for content in batch["content"]:
-            unpacked, held, size = zlib.decompress(content, wbits=31), [], 0
-            for headers, block in parse(unpacked):
+            held, size = [], 0
+            for headers, block in parse(unpacked(content)):
                 get = lambda k: headers.get(k, b"").decode()  # noqa: B023, E731
                 uri = get(b"warc-record-id")
                 segment = int(get(b"warc-segment-number") or 0)

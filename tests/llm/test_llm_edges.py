@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import gzip
 import hashlib
 
 import numpy as np
@@ -264,6 +265,27 @@ def test_warc(spark, tmp_path):
     assert nothing.count() == 0
 
 
+def test_warc_files_of_several_members_are_read_whole(spark, tmp_path):
+    page = {"page_id": 0, "url": "u", "refers_to": None}
+    wanted, members = [], []
+    for i in range(50):
+        body = f"<p>{i}</p>" * (60_000 if i == 7 else 40)
+        wanted.append(body.encode())
+        own = page | {"page_id": i, "payload": body, "digest": hashlib.sha1(body.encode()).hexdigest()}
+        members += [gzip.compress((r + "\r\n\r\n").encode()) for r in warc.records(i, own, warc.Layout())]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    assert sorted(bytes(r.payload) for r in warc.read(spark, str(tmp_path)).collect()) == sorted(wanted)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(warc.unpacked(b"".join(members)[:-20])))
+
+
+def test_warc_files_are_bounded(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(100)], "page_id long, url string, html string").coalesce(1)
+    layout = warc.Layout(segment_chars=1000, file_bytes=10_000)
+    assert warc.archive(pages, str(tmp_path / "w"), layout).count() == 100
+    assert len(list((tmp_path / "w").glob("*.gz"))) == 10
+
+
 def test_pipeline_stages(spark, odd, small_dir):
     state = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:
