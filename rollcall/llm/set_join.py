@@ -64,7 +64,7 @@ def _prefixes(counts: np.ndarray, threshold: int) -> Callable[[Iterator[pd.DataF
 
 
 def close_pairs(sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b), a < b: every pair of ids of two components whose sets may be similar, none that is left out.
+    """(a, b), a < b: every similar pair of ids of two components, and others, to be confirmed.
 
     `sets` holds (id, component, shingles), the last as sorted 64-bit numbers. It is read twice.
     """
