@@ -85,5 +85,47 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 """
 
 
+op11_conversation_trie = """
+WITH t AS (
+  SELECT conv_id, md5(len(role) || ':' || role || text) AS item, len(text) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+c AS (SELECT conv_id, list(item ORDER BY pos) AS items, list(size ORDER BY pos) AS sizes FROM t GROUP BY 1),
+h AS (
+  SELECT conv_id, items, sizes, conv_id - conv_id % 100 AS head, (xor(list_reduce(
+    flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END,
+    4294967295::BIGINT), 4294967295) % 6)::BIGINT AS h FROM c
+),
+r AS MATERIALIZED (
+  SELECT h.conv_id, coalesce(b.items[1:h.h], []) || h.items[h.h + 1:] AS items, coalesce(b.sizes[1:h.h], []) || h.sizes[h.h + 1:] AS sizes
+  FROM h LEFT JOIN c b ON b.conv_id = h.head
+),
+p AS MATERIALIZED (
+  SELECT conv_id, len(items) AS n, d AS depth, array_to_string(items[1:d], ',') AS path,
+         CASE WHEN d = 0 THEN NULL ELSE array_to_string(items[1:d - 1], ',') END AS above, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size
+  FROM (SELECT conv_id, items, sizes, unnest(range(0, len(items) + 1)) AS d FROM r)
+),
+n AS MATERIALIZED (
+  SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2
+),
+k AS MATERIALIZED (
+  SELECT n.*, coalesce(w.ways, 0) AS n_children
+  FROM n LEFT JOIN (SELECT depth - 1 AS depth, above AS path, count(*) AS ways FROM n WHERE depth > 0 GROUP BY 1, 2) w
+    ON w.depth = n.depth AND w.path = n.path
+),
+s AS (
+  SELECT p.depth, p.path, sum((k.n_convs - 1) * k.size) AS saved_tokens, sum((k.n_children = 0)::BIGINT) AS n_leaves
+  FROM k JOIN p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY 1, 2
+)
+SELECT k.conv_id, k.depth, a.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN s ON s.depth = k.depth AND s.path = k.path LEFT JOIN k a ON a.depth = k.depth - 1 AND a.path = k.above
+"""
+
+
 def registered() -> dict[str, str]:
     return {name: sql for name, sql in globals().items() if name.startswith("op")}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm import (
+    conversation_trie,
     exact_dedup,
     language_id,
     minhash_forest,
@@ -67,6 +68,10 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def registered() -> dict[str, Query]:
     found = {name: item for name, item in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))

@@ -22,7 +22,7 @@ def documents(spark, small_dir):
 
 def test_all_are_registered():
     assert set(queries.registered()) | {"pipeline"} <= set(entry_module.queries())
-    assert [int(n[2:].split("_")[0]) for n in queries.registered()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.registered()] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(oracles.registered()))
