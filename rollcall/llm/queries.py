@@ -15,6 +15,7 @@ from rollcall.llm import (
     quality,
     secret_scan,
     sentencepiece_index,
+    token_alignment,
     toxicity,
     warc,
     window_dedup,
@@ -23,6 +24,7 @@ from rollcall.llm.common import table
 from rollcall.plans.scratch import scratch_path
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = token_alignment.Tokenizers(BYTE_TOKENIZER, TOKENIZER)
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizers).documents().drop("groups")
+
+
 def registered() -> dict[str, Query]:
     found = {name: item for name, item in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
