@@ -10,6 +10,7 @@ from rollcall.llm import (
     conversation_trie,
     exact_dedup,
     language_id,
+    license_automaton,
     minhash_forest,
     mixing,
     quality,
@@ -79,6 +80,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), tokenizers).documents().drop("groups")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_automaton.scan(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     found = {name: item for name, item in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
