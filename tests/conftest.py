@@ -22,9 +22,3 @@ def spark():
 def small_dir():
     return str(DATA / "sf0.001")
 
-
-def column_values(spark, schema, values, expression):
-    """Evaluate one column expression over a list of input tuples."""
-    rows = [(i, *value) for i, value in enumerate(values)]
-    frame = spark.createDataFrame(rows, f"i int, {schema}")
-    return [row[1] for row in frame.select("i", expression.alias("out")).orderBy("i").collect()]

@@ -4,7 +4,7 @@ import hashlib
 import json
 
 import pytest
-from conftest import column_values
+from values import column_values
 from pyspark.sql import functions as F
 
 from rollcall.functions import files, outcomes, phones, scores, skills
