@@ -8,7 +8,7 @@ weighted loss of all margins is the language. Close seconds are flagged as ambig
 from __future__ import annotations
 
 import itertools
-import re
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +21,6 @@ from rollcall.llm.common import letters
 from rollcall.plans.scratch import materialize
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 # Bytes that are no part of a letter become blanks.
 PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 CHUNK = 256
@@ -114,23 +113,35 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
     joined = usable.join(counts, F.col("lang") == F.col("_lang"))
     chosen = joined.select("text", "lang", (at / share).alias("at")).where("at < 1")
     bounded = chosen.mapInPandas(_featurise(s), "lang string, at double, row binary")
-    rows = bounded.orderBy("at", "lang", "row").limit(s.sample).collect()
-    names = sorted({r["lang"] for r in rows})
-    langs = [r["lang"] for r in rows]
+    # The classifiers are solved for in a task, as the sample's features would fill the driver.
+    solved = bounded.orderBy("at", "lang", "row").limit(s.sample).mapInPandas(_solve(s), "model binary").first()
+    return Model(*pickle.loads(solved["model"])) if solved else solve([], np.empty((0, s.features), np.float32), s)
+
+
+def _solve(s: Settings) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        langs, parts = [], [np.empty((0, s.features), np.float32)]
+        for batch in batches:
+            langs += batch["lang"].tolist()
+            parts.append(np.frombuffer(b"".join(batch["row"]), np.float32).reshape(-1, s.features))
+        model = solve(langs, np.concatenate(parts), s)
+        yield pd.DataFrame({"model": [pickle.dumps((model.languages, model.codes, model.weights, model.offset, model.trust))]})
+
+    return run
+
+
+def solve(langs: list[str], x: np.ndarray, s: Settings) -> Model:
+    """One regularised least-squares classifier per bit, balanced over languages."""
+    names = sorted(set(langs))
     codes = codewords(len(names))
     if not names:
         return Model((), codes, np.zeros((s.features, 1), np.float32), np.zeros(1), np.ones(1))
-    x = np.empty((len(rows), s.features), np.float32)
-    for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r["row"], np.float32)
-    del rows
     label = np.array([names.index(lang) for lang in langs])
     y = codes[label]
-    # One regularised least-squares classifier per bit; balanced over languages.
     weight = (len(label) / len(names) / np.bincount(label, minlength=len(names)))[label]
     offset = (weight[:, None] * x).sum(0) / weight.sum()
     middle = (weight[:, None] * y).sum(0) / weight.sum()
-    x -= offset.astype(np.float32)
+    x = x - offset.astype(np.float32)
     gram = (x @ x.T).astype(np.float64) + s.ridge * np.diag(1 / weight)
     inverse = np.linalg.inv(gram)
     alpha = inverse @ (y - middle)
@@ -163,9 +174,8 @@ def predicted(text: Column, model: Model, s: Settings = Settings()) -> Column:
             found = []
             for at in range(0, len(series), CHUNK):
                 part = series.iloc[at : at + CHUNK].tolist()
-                lettered = [t is not None and bool(LETTER.search(t)) for t in part]
                 frame = pd.DataFrame({"lang_pred": UNDETERMINED, "score": np.zeros(len(part)), "ambiguous": True})
-                known = np.flatnonzero(lettered)
+                known = np.flatnonzero([t is not None for t in part])
                 if len(known) and model.languages:
                     x = frequencies([part[i] for i in known], s)
                     best, score, close = decode(x @ model.weights + model.offset, model, s)
@@ -177,7 +187,8 @@ def predicted(text: Column, model: Model, s: Settings = Settings()) -> Column:
 
     # Typed as an iterator so that the model is unpacked once a task.
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")(text)
+    lettered = F.when(letters(text), text)
+    return F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")(lettered)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,11 +214,8 @@ def keep_identified(documents: DataFrame, s: Settings = Settings(), least: float
     Rejected: texts that are `und`, and ambiguous ones with a score below `least`.
     """
     model = fit(documents.where(~held_out(F.col("doc_id"))), s)
-    name = "_told"
-    while name in documents.columns:
-        name += "_"
-    told = documents.withColumn(name, predicted(F.col("text"), model, s))
-    sure = (F.col(f"{name}.lang_pred") != UNDETERMINED) & (
-        ~F.col(f"{name}.ambiguous") | (F.col(f"{name}.score") >= least)
+    rows = documents.select(
+        F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"), predicted(F.col("text"), model, s).alias("told")
     )
-    return told.where(sure).select([F.col(f"`{c}`") for c in documents.columns])
+    sure = (F.col("told.lang_pred") != UNDETERMINED) & (~F.col("told.ambiguous") | (F.col("told.score") >= least))
+    return rows.where(sure).select([F.col("row").getField(c).alias(c) for c in documents.columns])
