@@ -57,12 +57,15 @@ def candidates(text: str, bits: float) -> list[tuple[int, int, int, int]]:
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    taken = [(start, end) for _, start, end, _ in found]
+    taken = [(start, end) for _, start, end, _ in sorted(found, key=lambda f: f[1])]
+    passed, reach = 0, 0  # spans that begin before the token ends, and where the last of them ends
     for m in TOKEN.finditer(text):
+        while passed < len(taken) and taken[passed][0] < m.end():
+            reach = max(reach, taken[passed][1])
+            passed += 1
         value = m[0]
         mixed = any(c.islower() for c in value) and any(c.isupper() for c in value) and any(c.isdigit() for c in value)
-        apart = all(end <= m.start() or start >= m.end() for start, end in taken)
-        if mixed and apart and entropy(value) >= bits:
+        if mixed and reach <= m.start() and entropy(value) >= bits:
             found.append((3, m.start(), m.end(), value))
     found.sort(key=lambda f: (f[1], f[0]))
     return [(k, a, b, xxhash.xxh3_64_intdigest(v.encode()) - (1 << 63)) for k, a, b, v in found]
