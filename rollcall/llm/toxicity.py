@@ -31,13 +31,11 @@ CACHED_STATES = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample` bounds the labelled rows of each label that are learnt from, `terms` the lexicon.
-    A term needs `support` independent toxic documents and `odds` times the share among them.
+    """`sample` bounds the labelled rows of each label that are learnt from. A term needs `support` independent toxic documents and `odds` times the share among them.
     Terms of `one_edit` letters may be misspelt by one edit, of `two_edits` by two. Quotation
     marks are looked for in `window` characters on both sides."""
 
     sample: int = 6000
-    terms: int = 2000
     support: int = 6
     odds: float = 8.0
     beginning: tuple[int, int] = (4, 8)
@@ -135,12 +133,17 @@ class Automaton:
         return tuple(best.items())
 
 
-def quoted(text: str, start: int, end: int, window: int) -> bool:
-    """Whether a quotation opens before the span and closes after it, within the window."""
+def quoted(text: str, start: int, end: int, window: int, before: int | None = None) -> bool:
+    """Whether a quotation opens before the span and closes after it, within the window.
+
+    `before` is the number of straight quotation marks before the span, if it is known.
+    """
     left = text[max(0, start - window) : start]
     right = text[end : end + window]
     opened = max(left.rfind(mark) for mark in OPENING)
-    if opened < 0 or (left[opened] == '"' and text.count('"', 0, start) % 2 == 0):
+    if opened < 0:
+        return False
+    if left[opened] == '"' and (text.count('"', 0, start) if before is None else before) % 2 == 0:
         return False
     return not any(mark in left[opened + 1 :] for mark in CLOSING) and any(mark in right for mark in CLOSING)
 
@@ -176,10 +179,12 @@ class Matcher:
         if not hit:
             return [], 0.0
         found: dict[str, bool] = {}
-        outside = 0
+        outside = marks = counted = 0
         for m in WORD.finditer(lowered):
             if m[0] in hit:
-                inside = quoted(lowered, m.start(), m.end(), self.window)
+                marks += lowered.count('"', counted, m.start())
+                counted = m.start()
+                inside = quoted(lowered, m.start(), m.end(), self.window, marks)
                 found[m[0]] = found.get(m[0], True) and inside
                 outside += not inside
         return [(*known[word], inside) for word, inside in sorted(found.items())], 1000 * outside / len(words)
@@ -235,15 +240,16 @@ def _terms(s: Settings) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                 hashes, _ = cache.of([text.encode("utf-8", "surrogatepass")])
                 shingles = window_hashes(hashes, min(5, max(1, len(hashes))))
                 mark = int(mix64(shingles).min() >> np.uint64(1)) if len(shingles) else 0
-                terms = [(w, True) for w in words if len(w) >= low] + [(p, False) for p in starts]
+                terms = [(w, True) for w in words] + [(p, False) for p in starts]
                 yield pd.DataFrame(terms, columns=["term", "whole"]).assign(toxic=toxic, mark=mark)
 
     return run
 
 
 def lexicon(rows: DataFrame, s: Settings) -> list[tuple[str, bool]]:
-    """Terms that mark toxic texts. Near copies of one text count once. A beginning is
-    taken where no shorter one is as telling; whole words are taken beside them."""
+    """Terms that mark toxic texts, every one that passes. Near copies of one text count once. A
+    beginning is taken where no shorter one passes; whole words are taken beside them. What is
+    collected is bounded by the sample: it has no more terms than `sample` texts hold `support` times."""
     counts = rows.groupBy("toxic").agg(F.count("*")).collect()
     total = {r[0]: r[1] for r in counts}
     if len(total) < 2:
@@ -256,8 +262,6 @@ def lexicon(rows: DataFrame, s: Settings) -> list[tuple[str, bool]]:
         seen.groupBy("term", "whole")
         .agg(toxic.alias("toxic"), ratio.alias("ratio"))
         .where((F.col("toxic") >= s.support) & (F.col("ratio") >= s.odds))
-        .orderBy(F.desc("ratio"), F.length("term"), "term", "whole")
-        .limit(s.terms)
         .collect()
     )
     starts = {r["term"] for r in good if not r["whole"]}
