@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.plans.scratch import materialize
 
 HEX_DIGITS = 13
+# The largest mean that one draw inverts, and the parts of a row that are counted together.
+LARGEST = 64
+PART_BLOCK = 1 << 16
 
 
 def uniform(*parts: Column) -> Column:
@@ -60,6 +63,80 @@ def source_rates(
     return weighted.select("_source", F.coalesce(mean, F.lit(0.0)).alias("_mean"))
 
 
+def replicate(
+    documents: DataFrame,
+    weights: Mapping[str, float] | DataFrame | None = None,
+    rows: int | None = None,
+    seed: int = 17,
+) -> DataFrame:
+    """(row, n_copies, copy_index, mix_key): whole input rows as structs, in a global random order.
+
+    See `mix`. A mean above LARGEST is drawn in equal parts of at most that, whose sum is Poisson as
+    well: the parts of a row are counted in blocks, dealt over all tasks, and repeated there, so no
+    task makes all copies of one row.
+    """
+    rates = source_rates(documents, weights, rows).where("_mean > 0")
+    parts = F.ceil(F.col("_mean") / LARGEST).cast("long")
+    rates = rates.select(F.col("_source").alias("source"), parts.alias("parts"), (F.col("_mean") / parts).alias("mean"))
+    # Stored, so that Spark knows its size before it plans the join.
+    rates = materialize(rates.withColumn("sums", cumulative_poisson(F.col("mean"))), "source-rates")
+    packed = documents.select(
+        F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"),
+        F.coalesce(documents["doc_id"].cast("string"), F.lit("null")).alias("name"),
+        documents["source"].cast("string").alias("of"),
+    )
+    met = packed.join(rates, F.col("of").eqNullSafe(F.col("source"))).drop("of")
+    start, name = F.lit(str(seed)), F.col("name")
+
+    def drawn(at: Column) -> Column:
+        return F.size(F.filter("sums", lambda x: x < at)).cast("long")
+
+    few = met.where("parts = 1").withColumn("n_copies", drawn(uniform(start, name)))
+    few = few.select("row", "name", "n_copies", F.lit(0).cast("long").alias("first"), F.col("n_copies").alias("here"))
+
+    large = rates.where("parts > 1")
+    many = few.limit(0)
+    if not large.isEmpty():
+        # Without the texts: copies in each part, and in the parts before it.
+        ids = met.where("parts > 1").select("name", "source", "parts", "sums").groupBy("name", "source").agg(
+            F.first("parts").alias("parts"), F.first("sums").alias("sums")
+        )
+        block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(parts - 1) div {PART_BLOCK}"))).alias("block")
+        blocks = ids.select("name", "source", "parts", "sums", block).repartition("name", "block")
+        within = F.sequence(F.col("block") * PART_BLOCK, F.least((F.col("block") + 1) * PART_BLOCK, F.col("parts")) - 1)
+        each = blocks.select("name", "source", "block", "sums", F.explode(within).alias("part"))
+        each = materialize(each.select("name", "source", "block", "part", drawn(uniform(start, name, F.col("part"))).alias("here")), "parts")
+        of_block = Window.partitionBy("name", "source", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy("name", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        totals = each.groupBy("name", "source", "block").agg(F.sum("here").alias("in_block"))
+        totals = totals.select(
+            "name", "source", "block", F.coalesce(F.sum("in_block").over(earlier), F.lit(0)).alias("passed"),
+            F.sum("in_block").over(Window.partitionBy("name", "source")).alias("n_copies"),
+        )
+        placed = each.select("*", F.coalesce(F.sum("here").over(of_block), F.lit(0)).alias("inside")).join(
+            totals, ["name", "source", "block"]
+        )
+        placed = placed.where("here > 0").select(
+            "name", F.col("source").alias("at_source"), "part", "here", "n_copies", (F.col("passed") + F.col("inside")).alias("first")
+        )
+        rows_ = met.where("parts > 1").select("row", "name", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        rows_ = rows_.repartition("name", "part")
+        same = F.col("source").eqNullSafe(F.col("at_source"))
+        many = rows_.join(placed, ["name", "part"]).where(same).select("row", "name", "n_copies", "first", "here")
+
+    copies = few.union(many).where("here > 0").select(
+        "row", "name", "n_copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("here") - 1)).alias("copy_index")
+    )
+    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} order"), "name", F.col("copy_index"))), 1, 16)
+    keyed = copies.select("row", "n_copies", "copy_index", key.alias("mix_key"))
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns of the input rows that `replicate` packed."""
+    return [rows["row"].getField(c).alias(c) for c in columns]
+
+
 def mix(
     documents: DataFrame,
     weights: Mapping[str, float] | DataFrame | None = None,
@@ -71,31 +148,16 @@ def mix(
     `weights` gives each source its share of the result (None: all sources alike); a source
     it does not name, or names with null or less than 0, gets none. `rows` is the expected
     size of the result, by default the present one. Adds n_copies, copy_index (from 0) and
-    mix_key, which orders the result; input columns of these names are replaced. A null source
-    is a source of its own. A null doc_id draws as an id of its own; rows that repeat an id
-    draw alike. Texts are not looked at. An empty table gives an empty one.
+    mix_key, which orders the result; input columns of these names are replaced, all others are
+    kept whatever their names. A null source is a source of its own. A null doc_id draws as an id of
+    its own; rows that repeat an id draw alike. Texts are not looked at. An empty table gives an
+    empty one.
 
     A source's size does not matter: rows are counted before they move and each is drawn where
     it is read. The rates, one row per source, are joined as Spark finds their size. Only the
-    rows of the result are shuffled, once, by a hash that is unique to each.
+    rows of the result are shuffled, once, by a hash that is unique to each, but for rows of a
+    source so rare that each is repeated more than LARGEST times: these move once more, part by part.
     """
-    own = ["n_copies", "copy_index", "mix_key"]
-    kept = [c for c in documents.columns if c.lower() not in own]
-    rates = source_rates(documents, weights, rows).select(
-        "_source", cumulative_poisson(F.col("_mean")).alias("_sums")
-    )
-    rates = materialize(rates, "source-rates")  # Spark then knows its size before it plans the join
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    at = uniform(F.lit(str(seed)), name)
-    placed = documents.select(*[F.col(f"`{c}`") for c in kept], at.alias("_at"))
-    drawn = placed.join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "n_copies", F.size(F.filter("_sums", lambda x: x < F.col("_at"))).cast("long")
-    )
-    copies = drawn.where("n_copies > 0").select(
-        *[F.col(f"`{c}`") for c in kept],
-        "n_copies",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("copy_index"),
-    )
-    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} order"), name, F.col("copy_index"))), 1, 16)
-    keyed = copies.withColumn("mix_key", key)
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    kept = [c for c in documents.columns if c.lower() not in ("n_copies", "copy_index", "mix_key")]
+    found = replicate(documents, weights, rows, seed)
+    return found.select(*unpacked(found, kept), "n_copies", "copy_index", "mix_key")

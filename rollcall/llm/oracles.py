@@ -13,15 +13,18 @@ FROM d JOIN g USING (text_sha256)
 
 op6_mix_sources = """
 WITH n AS (SELECT source, count(*) AS c FROM documents GROUP BY 1),
-r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(c) FROM n) / c AS mean FROM n),
+m AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(c) FROM n) / c AS whole FROM n),
+r AS (SELECT source, ceil(whole / 64)::BIGINT AS parts, whole / ceil(whole / 64)::BIGINT AS mean FROM m),
 p AS (
   SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
   FROM r, (SELECT unnest(range(0, 400)) AS k)
 ),
-d AS (SELECT *, ('0x' || left(md5('17:' || doc_id), 13))::BIGINT / 4503599627370496.0::DOUBLE AS at FROM documents),
+d AS (
+  SELECT d.*, part, ('0x' || left(md5('17:' || doc_id || CASE WHEN parts > 1 THEN ':' || part ELSE '' END), 13))::BIGINT / 4503599627370496.0::DOUBLE AS at
+  FROM (SELECT d.*, parts, unnest(range(0, parts)) AS part FROM documents d JOIN r ON r.source = d.source) d
+),
 e AS (
-  SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, d.source,
-         any_value(d.n_chars) AS n_chars, count(*) AS n_copies
+  SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, d.source, any_value(d.n_chars) AS n_chars, count(*) AS n_copies
   FROM d JOIN p ON d.source = p.source AND p.below < d.at GROUP BY d.doc_id, d.source
 )
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy_index,
