@@ -34,7 +34,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All sources at the same weight, in a global random order."""
-    return mixing.mix(docs).select([F.col(f"`{c}`") for c in docs.columns])
+    found = mixing.replicate(docs)
+    return found.select(*mixing.unpacked(found, docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
