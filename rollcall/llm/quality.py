@@ -3,12 +3,13 @@
 Statistics of every text are transformed to a vector. For each language and source the mean
 and covariance are those of the `share` of its texts that lie closest to them, found by
 concentration steps from coordinate-wise medians; every step is a pair of aggregations over
-the whole table. A text far from its group by Mahalanobis distance is rejected.
+the whole table. Small groups lean on their language's estimate, and small languages on that of all
+rows, the more the smaller they are. A text far from its group by Mahalanobis distance is rejected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +29,13 @@ FLOORS = (0.5, 0.3, 0.04, 0.1, 0.1)
 
 @dataclass(frozen=True)
 class Settings:
-    """Groups with fewer than `least` rows are pooled by language, then all together. `normal`
-    is the cut-off in standard deviations that the chi-square quantile is taken for."""
+    """A group of n rows counts n / (n + `prior`) in its estimate, its language's rows the rest; a
+    language shrinks towards all rows likewise. `normal` is the cut-off in standard deviations that the
+    chi-square quantile is taken for."""
 
     share: float = 0.75
     steps: int = 3
-    least: int = 200
+    prior: float = 50.0
     normal: float = 6.0
     window: int = 5
     accuracy: int = 10_000
@@ -121,6 +123,31 @@ def _invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["_group", "_mean", "_inverse"])
 
 
+def blended(weight: float, own: tuple[np.ndarray, np.ndarray], wider: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a mixture of two distributions."""
+    off = own[0] - wider[0]
+    mean = weight * own[0] + (1 - weight) * wider[0]
+    return mean, weight * own[1] + (1 - weight) * wider[1] + weight * (1 - weight) * np.outer(off, off)
+
+
+def _shrink(prior: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(NAMES)
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples(index=False):
+                now = None
+                for level in range(3):  # all rows, a language, a source in it
+                    n, scale = getattr(row, f"n{level}"), getattr(row, f"scale{level}")
+                    inverse = np.array(getattr(row, f"inverse{level}")).reshape(p, p)
+                    own = np.array(getattr(row, f"mean{level}")), scale * np.linalg.inv(inverse)
+                    now = own if now is None else blended(n / (n + prior), own, now)
+                rows.append((row.lang, row.source, now[0].tolist(), np.linalg.inv(now[1]).reshape(-1).tolist()))
+            yield pd.DataFrame(rows, columns=["_lang", "_source", "_mean", "_inverse"])
+
+    return run
+
+
 def _distance() -> Column:
     p = len(NAMES)
     off = [F.col(n) - F.get("_mean", F.lit(i)) for i, n in enumerate(NAMES)]
@@ -131,22 +158,26 @@ def _distance() -> Column:
     return total
 
 
-def groups(rows: DataFrame, s: Settings) -> DataFrame:
-    """(lang, source, _group): by language and source where there are enough rows."""
-    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("_n"))
-    small = counts.where(F.col("_n") < s.least).groupBy("lang").agg(F.sum("_n").alias("_rest"))
-    both = counts.join(small.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+def group_names() -> list[Column]:
+    """Names of the groups a row is in: all rows, its language's, and its source's in that language."""
     told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    group = (
-        F.when(F.col("_n") >= s.least, F.concat_ws("\x00", told("lang"), told("source")))
-        .when(F.col("_rest") >= s.least, told("lang"))
-        .otherwise(F.lit("all"))
-    )
-    return materialize(both.select("lang", "source", group.alias("_group")), "groups")
+    return [F.lit("all"), told("lang"), F.concat_ws("\x00", told("lang"), told("source"))]
+
+
+def shrunk(rows: DataFrame, s: Settings) -> DataFrame:
+    """(_lang, _source, _mean, _inverse) per language and source of rows with the vector."""
+    keyed = rows.select(F.explode(F.array(*group_names())).alias("_group"), *NAMES)
+    found = estimates(keyed, s)
+    each = rows.select("lang", "source").distinct().select("lang", "source", *[g.alias(f"_g{i}") for i, g in enumerate(group_names())])
+    for i in range(3):
+        own = found.select(F.col("_group").alias(f"_g{i}"), F.col("_n").alias(f"n{i}"), F.col("_mean").alias(f"mean{i}"), F.col("_inverse").alias(f"inverse{i}"), F.col("_scale").alias(f"scale{i}"))
+        each = each.join(own, f"_g{i}")
+    each = each.drop("_g0", "_g1", "_g2")
+    return materialize(each.mapInPandas(_shrink(s.prior), "_lang string, _source string, _mean array<double>, _inverse array<double>"), "groups")
 
 
 def estimates(rows: DataFrame, s: Settings) -> DataFrame:
-    """(_group, _mean, _inverse, _scale): minimum covariance determinant of each group.
+    """(_group, _n, _mean, _inverse, _scale): minimum covariance determinant of each group of _n rows.
 
     `rows` holds _group and the vector, and is read several times. Each group's rows are
     combined where they are read; one row a group and step is what moves.
@@ -172,10 +203,10 @@ def estimates(rows: DataFrame, s: Settings) -> DataFrame:
         now = held.mapInPandas(_invert, "_group string, _mean array<double>, _inverse array<double>")
         now = materialize(now, "estimates")
     far = rows.join(now, "_group").select("_group", _distance().alias("_d"))
-    half = far.groupBy("_group").agg(F.percentile_approx("_d", 0.5, s.accuracy).alias("_half"))
+    half = far.groupBy("_group").agg(F.count("*").alias("_n"), F.percentile_approx("_d", 0.5, s.accuracy).alias("_half"))
     # The closest rows spread less than all do: scaled so that the median is that of chi-square.
     scale = F.greatest(F.col("_half") / chi_square(p, 0.0), F.lit(1.0))
-    return materialize(now.join(half.select("_group", scale.alias("_scale")), "_group"), "estimates")
+    return materialize(now.join(half.select("_group", "_n", scale.alias("_scale")), "_group"), "estimates")
 
 
 def judge(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -196,14 +227,11 @@ def judge(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = materialize(
         told.withColumn("base_failed", failed).withColumns(dict(zip(NAMES, vector(), strict=True))), "statistics"
     )
-    passed = rows.where(~F.col("base_failed"))
-    named = groups(passed, s).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_group")
+    found = shrunk(rows.where(~F.col("base_failed")), s)
     match = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    grouped = materialize(rows.join(named, match, "left").drop("_lang", "_source"), "grouped")
-    found = estimates(grouped.where(~F.col("base_failed")).select("_group", *NAMES), s)
     cut = chi_square(len(NAMES), s.normal)
-    distance = F.when(~F.col("base_failed"), F.sqrt(F.greatest(_distance() / F.col("_scale"), F.lit(0.0))))
-    whole = grouped.join(found, "_group", "left").withColumn("distance", distance)
+    distance = F.when(~F.col("base_failed"), F.sqrt(F.greatest(_distance(), F.lit(0.0))))
+    whole = rows.join(found, match, "left").withColumn("distance", distance)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     near = F.coalesce(F.col("distance") <= cut**0.5, F.lit(False))
     return whole.select(*names, (~F.col("base_failed") & near).alias("kept"), "distance")
