@@ -7,7 +7,10 @@ record they continue, orders them by number, verifies the total length and undoe
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -131,43 +134,99 @@ def unpacked(content: bytes) -> Iterator[bytes]:
             at += 1
 
 
-def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """Headers and block of each record; the length of a block is the one its header states."""
-    held, passed, begin, size, headers = bytearray(), 0, 0, 0, None
-    for piece in pieces:
-        held += piece
+def opened(content: bytes) -> Iterator[bytes]:
+    """The bytes of an archive, compressed or not, in pieces of bounded size."""
+    if content[:2] == b"\x1f\x8b":
+        yield from unpacked(content)
+    else:
+        view = memoryview(content)
+        yield from (bytes(view[i : i + PIECE_BYTES]) for i in range(0, len(view), PIECE_BYTES))
+
+
+def _headers(lines: bytes) -> dict[bytes, bytes]:
+    parts = (line.partition(b":") for line in lines.split(b"\r\n")[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in parts}
+
+
+def parse(pieces: Iterable[bytes], tolerant: bool = False) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """Headers and block of each record; the length of a block is the one its header states.
+
+    A record that cannot be read raises ValueError. If `tolerant`, it is reported by a header b"error"
+    instead, and reading goes on at the next place that looks like the beginning of a record.
+    """
+    held, passed, begin, size, headers, lost = bytearray(), 0, 0, 0, None, False
+    source, ended, failure = iter(pieces), False, None
+
+    def failed(message: str) -> tuple[dict[bytes, bytes], bytes]:
+        if not tolerant:
+            raise ValueError(message)
+        return {b"error": message.encode()}, b""
+
+    while not ended:
+        try:
+            held += next(source)
+        except StopIteration:
+            ended = True
+        except (ValueError, zlib.error) as broken:
+            ended, failure = True, str(broken)
         at = 0
         while at < len(held):
+            if lost:
+                following = held.find(b"\r\nWARC/", at)
+                if following < 0:
+                    at = max(at, len(held) - 7)
+                    break
+                at, lost = following + 2, False
             if headers is None:
-                split = held.find(b"\r\n\r\n", at)
+                while held[at : at + 2] == b"\r\n":  # more line ends than two
+                    at += 2
                 if not held.startswith(b"WARC/"[: len(held) - at], at):
-                    raise ValueError(f"no WARC record at byte {passed + at}")
+                    yield failed(f"no WARC record at byte {passed + at}")
+                    lost = True
+                    continue
+                split = held.find(b"\r\n\r\n", at)
                 if split < 0:
                     break
-                lines = bytes(held[at:split]).split(b"\r\n")[1:]
-                headers = {k.lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
-                begin, size = split + 4 - at, int(headers[b"content-length"])
-            if at + begin + size + 4 > len(held):
+                headers = _headers(bytes(held[at:split]))
+                length = headers.get(b"content-length", b"")
+                if not length.isdigit():
+                    yield failed(f"no length of the record at byte {passed + at}")
+                    headers, lost, at = None, True, split
+                    continue
+                begin, size = split + 4 - at, int(length)
+            if at + begin + size > len(held):
                 break
+            tail = bytes(held[at + begin + size : at + begin + size + 4])
+            if len(tail) < 4 and not ended:
+                break
+            if tail[:2] not in (b"", b"\r", b"\r\n"):
+                yield failed(f"the record at byte {passed + at} is not as long as it says")
+                headers, lost, at = None, True, at + begin
+                continue
             yield headers, bytes(held[at + begin : at + begin + size])
-            at += begin + size + 4
+            at += begin + size + (4 if tail == b"\r\n\r\n" else len(tail.removesuffix(tail.lstrip(b"\r\n"))))
             headers = None
         del held[:at]
         passed += at
-    if headers is not None and begin + size <= len(held):  # without the two line ends
-        yield headers, bytes(held[begin : begin + size])
-    elif held:
-        raise ValueError("the last record is cut off" if headers is not None else f"no WARC record at byte {passed}")
+    if failure:
+        yield failed(failure)
+    elif headers is not None or (held.strip() and not lost):
+        yield failed("the last record is cut off" if headers is not None else f"no WARC record at byte {passed}")
+
+
+CHUNKED = re.compile(rb"^transfer-encoding[ \t]*:(?:.*,)?[ \t]*chunked[ \t]*\r?$", re.IGNORECASE | re.MULTILINE)
 
 
 def unchunked(block: bytes) -> bytes:
-    """The payload of an HTTP response block with chunked transfer framing."""
+    """The payload of an HTTP response block, without chunked transfer framing."""
     head, _, body = block.partition(b"\r\n\r\n")
-    if b"transfer-encoding: chunked" not in head.lower():
+    if not CHUNKED.search(head):
         return body
     parts, at = [], 0
     while True:
-        line = body.index(b"\r\n", at)
+        line = body.find(b"\r\n", at)
+        if line < 0:
+            raise ValueError("a chunk lacks its length")
         size = int(body[at:line].split(b";")[0], 16)
         if size == 0:
             return b"".join(parts)
@@ -177,67 +236,120 @@ def unchunked(block: bytes) -> bytes:
         at = line + 4 + size
 
 
+def payload_of(kind: str, block: bytes) -> bytes:
+    """What a record is about: the body of a response, nothing for a revisit, else the whole block."""
+    if kind == "response":
+        return unchunked(block) if block.startswith(b"HTTP/") else block
+    return b"" if kind == "revisit" else block
+
+
+def stated_digest(value: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a digest in hexadecimal or base 32; None for none or one of another kind."""
+    name, _, text = (value or "").partition(":")
+    name, text = name.strip().lower().replace("-", ""), text.strip()
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        if len(text) == 2 * size:
+            return name, bytes.fromhex(text)
+        raw = base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except (ValueError, binascii.Error):
+        return None
+    return (name, raw) if len(raw) == size else None
+
+
+READ = ["uri", "origin", "type", "segment", "total", "refers_to", "digest", "block", "error"]
+
+
+def _number(value: str) -> int | None:
+    return int(value) if value.isdigit() else None
+
+
 def _read_files(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["uri", "origin", "type", "segment", "total", "refers_to", "digest", "block"]
     for batch in files:
-        for content in batch["content"]:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
             held, size = [], 0
-            for headers, block in parse(unpacked(content)):
-                get = lambda k: headers.get(k, b"").decode()  # noqa: B023, E731
-                uri = get(b"warc-record-id")
-                segment = int(get(b"warc-segment-number") or 0)
-                total = get(b"warc-segment-total-length")
+            for headers, block in parse(opened(content), tolerant=True):
+                get = lambda k: headers.get(k, b"").decode("utf-8", "replace")  # noqa: B023, E731
+                uri, error = get(b"warc-record-id"), get(b"error")
                 held.append(
-                    (uri, get(b"warc-segment-origin-id") or uri, get(b"warc-type"), segment, int(total) if total else None,
-                     get(b"warc-refers-to") or None, get(b"warc-payload-digest").removeprefix("sha1:") or None, block)
+                    (uri or None, get(b"warc-segment-origin-id") or uri, get(b"warc-type"), _number(get(b"warc-segment-number")) or 0,
+                     _number(get(b"warc-segment-total-length")), get(b"warc-refers-to") or None, get(b"warc-payload-digest") or None, block,
+                     f"{path}: {error}" if error else None)
                 )
                 size += len(block)
                 if size > 4 << 20:
-                    yield pd.DataFrame(held, columns=columns)
+                    yield pd.DataFrame(held, columns=READ)
                     held, size = [], 0
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=READ)
+
+
+def _joined(kind: str, digest: str | None, segments: list) -> tuple[bytes, str | None, str | None]:
+    """(payload, digest, error) of a record from its segments, in order and each once."""
+    block = b"".join(bytes(s["block"]) for s in segments)
+    if segments[0]["segment"] > 0:
+        if [s["segment"] for s in segments] != list(range(1, len(segments) + 1)):
+            return b"", None, "lacks a segment"
+        if segments[-1]["total"] is None:
+            return b"", None, "lacks its last segment"
+        if segments[-1]["total"] != len(block):
+            return b"", None, "is not as long as its last segment says"
+    stated = stated_digest(digest)
+    shown = None if stated is None else stated[1].hex()
+    try:
+        payload = payload_of(kind, block)
+    except ValueError as broken:
+        return b"", shown, str(broken)
+    if stated and kind != "revisit":
+        # Some archives state the digest of the body as it was sent.
+        sent = block.partition(b"\r\n\r\n")[2]
+        if stated[1] not in (hashlib.new(stated[0], data).digest() for data in (payload, sent)):
+            return b"", shown, "does not have the digest it states"
+    return payload, shown, None
 
 
 def _whole(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Payload of each row whose segments are all there."""
     for batch in rows:
         found = []
-        for uri, kind, refers, digest, segments in batch[["uri", "type", "refers_to", "digest", "segments"]].itertuples(index=False):
+        for uri, kind, refers, digest, error, segments in batch[["uri", "type", "refers_to", "digest", "error", "segments"]].itertuples(index=False):
+            if error is not None:
+                found.append((uri, None, None, None, None, None, error))
+                continue
             parts = sorted(segments, key=lambda s: s["segment"])
             times = sum(s["segment"] == parts[0]["segment"] for s in parts)  # of a repeated row
-            parts = parts[::times]
-            block = b"".join(bytes(s["block"]) for s in parts)
-            if parts[0]["segment"] > 0:
-                if [s["segment"] for s in parts] != list(range(1, len(parts) + 1)):
-                    raise ValueError(f"{uri} lacks a segment")
-                if parts[-1]["total"] != len(block):
-                    raise ValueError(f"{uri} is not as long as its last segment says")
-            payload = unchunked(block) if kind == "response" else b""
-            sha = hashlib.sha1(payload).hexdigest()
-            if kind == "response" and digest != sha:
-                raise ValueError(f"{uri} does not have the digest it states")
-            found += [(uri, kind, refers, digest, len(payload), payload)] * times
-        yield pd.DataFrame(found, columns=["uri", "type", "refers_to", "digest", "n_bytes", "payload"])
+            payload, shown, problem = _joined(kind, digest, parts[::times])
+            size = None if problem else len(payload)
+            told = f"{uri} {problem}" if problem else None
+            found += [(uri, kind, refers, shown, size, None if problem else payload, told)] * times
+        yield pd.DataFrame(found, columns=["uri", "type", "refers_to", "digest", "n_bytes", "payload", "error"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(uri, type, refers_to, digest, n_bytes, payload) per response or revisit record.
+    """(uri, type, refers_to, digest, n_bytes, payload, error) per record, its segments joined.
+
+    Reads compressed files of any number of gzip members and plain ones. Digests may be hexadecimal or
+    base 32 and are given in hexadecimal; null where there is none or its kind is unknown. Whatever
+    cannot be read gives a row with an `error` and no payload: a record without a length, one that is
+    cut off or not as long as it says, a missing segment, bad chunks, a digest that differs. Reading
+    goes on at the next record; after damaged compression, at the next file.
 
     Records in one piece stay where they are read; only segments are shuffled, by the record
-    they continue, whose size bounds the group. A missing segment, a wrong length or a digest that
-    differs raises an error.
+    they continue, whose size bounds the group.
     """
-    schema = "uri string, origin string, type string, segment int, total long, refers_to string, digest string, block binary"
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_read_files, schema)
+    schema = "uri string, origin string, type string, segment int, total long, refers_to string, digest string, block binary, error string"
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_read_files, schema)
     segment = F.struct("segment", "total", "block")
-    single = found.where("segment = 0").select("uri", "type", "refers_to", "digest", F.array(segment).alias("segments"))
+    single = found.where("segment = 0").select("uri", "type", "refers_to", "digest", "error", F.array(segment).alias("segments"))
     parts = found.where("segment > 0").groupBy("origin").agg(
         F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"),
         F.max("refers_to").alias("refers_to"),
         F.max("digest").alias("digest"),
+        F.lit(None).cast("string").alias("error"),
         F.collect_list(segment).alias("segments"),
     )
-    out = "uri string, type string, refers_to string, digest string, n_bytes long, payload binary"
+    out = "uri string, type string, refers_to string, digest string, n_bytes long, payload binary, error string"
     whole = parts.withColumnRenamed("origin", "uri").select(single.columns)
     return single.mapInPandas(_whole, out).union(whole.mapInPandas(_whole, out))
 
@@ -257,7 +369,7 @@ def archive(pages: DataFrame, path: str, layout: Layout = Layout()) -> DataFrame
     told = materialize(
         read(spark, path).select(
             F.when(number != "", number.cast("long")).alias("page_id"),
-            "type",
+            F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("type")).alias("type"),
             F.regexp_extract("refers_to", r"^<urn:page:(-?\d+):", 1).cast("long").alias("refers_to"),
             "digest",
             "n_bytes",
