@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import xxhash
@@ -17,6 +20,21 @@ _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)
 
 
+T = TypeVar("T")
+
+
+def kept_by_worker(kind: str, key: str, make: Callable[[], T]) -> T:
+    """What `make` returns, kept by the Python worker for its later tasks; one per kind, the last key's.
+
+    This package's functions are sent anew with each task, so what they keep lives in a module of its own.
+    """
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if held.get(kind, (None,))[0] != key:
+        held.pop(kind, None)
+        held[kind] = key, make()
+    return held[kind][1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

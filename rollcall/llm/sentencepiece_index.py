@@ -10,8 +10,9 @@ pieces' characters gives back just these two, which is remembered per pair.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import kept_by_worker
+
 SPACE = "▁"
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 LEARNT_CHARS = 1 << 20
-CACHED_SEGMENTS = 500_000
-CACHED_PAIRS = 2_000_000
+CACHED_SEGMENTS = 300_000
+CACHED_PAIRS = 500_000
 
 
 @dataclass(frozen=True)
@@ -97,7 +100,7 @@ def occurrences(codes: np.ndarray, order: np.ndarray, table: np.ndarray, sizes:
 
 
 class Encoder:
-    """Encodes segments; one for each task, as it remembers what it has seen."""
+    """Encodes segments and remembers them, up to the bounds above."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -220,17 +223,30 @@ class Encoder:
 
 
 class Decoder:
+    """Turns ids into bytes by one gather over the bytes of all pieces."""
+
     def __init__(self, vocabulary: Vocabulary):
         self.prefix = vocabulary.prefix
-        self.bytes = [b"" if p is None else p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
+        pieces = [b"" if p is None else p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
         for byte, i in enumerate(vocabulary.byte_ids):
-            self.bytes[i] = bytes([byte])
+            pieces[i] = bytes([byte])
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """UTF-8 of each text; its ids are those between two offsets."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], sizes)].tobytes()
+        cuts = ends[offsets].tolist()
+        texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [t[1:] if self.prefix and t[:1] == b" " else t for t in texts]
+
 
-    def decode(self, ids: Iterable[int]) -> str:
-        data = b"".join(map(self.bytes.__getitem__, ids))
-        if self.prefix and data.startswith(b" "):
-            data = data[1:]
-        return data.decode("utf-8", "replace")
+def _tools(shared) -> tuple[Encoder, Decoder]:
+    key, vocabulary = shared.value
+    return kept_by_worker("sentencepiece", key, lambda: (Encoder(vocabulary), Decoder(vocabulary)))
 
 
 def _char_blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
@@ -248,7 +264,7 @@ def _char_blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[list[st
 
 def _encode(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(broadcast.value), Decoder(broadcast.value)
+        encoder, decoder = _tools(broadcast)
         for batch in batches:
             at = 0
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -257,7 +273,8 @@ def _encode(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 sizes = np.array([len(t) // 4 for t in tokens], np.int64)
                 values = np.frombuffer(b"".join(tokens), np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                same = [decoder.decode(values[a:b].tolist()) == text for a, b, text in zip(offsets, offsets[1:], block, strict=False)]
+                decoded = decoder.decode(values, offsets)
+                same = [data == text.encode("utf-8", "surrogatepass") for data, text in zip(decoded, block, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(at, len(block)),
@@ -274,16 +291,22 @@ def _encode(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def _decode(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(broadcast.value)
+        decoder = _tools(broadcast)[1]
         for batch in batches:
-            texts = [None if ids is None else decoder.decode(ids) for ids in batch.column("token_ids").to_pylist()]
+            held = batch.column("token_ids")
+            ids = [np.asarray(i.values, np.int64) if i.is_valid else np.empty(0, np.int64) for i in held]
+            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
+            decoded = decoder.decode(np.concatenate([np.empty(0, np.int64), *ids]), offsets)
+            texts = [data.decode("utf-8", "replace") if i.is_valid else None for data, i in zip(decoded, held, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return run
 
 
-def _shared(spark: SparkSession, vocabulary: Vocabulary):
-    return spark.sparkContext.broadcast(vocabulary)  # as large as the model, whatever the table
+def _shared(spark: SparkSession, path: str):
+    """The vocabulary and a name for it, as large as the model, whatever the table."""
+    vocabulary = Vocabulary.load(path)
+    return spark.sparkContext.broadcast((hashlib.sha256(repr(vocabulary).encode()).hexdigest(), vocabulary))
 
 
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
@@ -294,12 +317,12 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
     there, so its round_trip is false. Repeated rows and null ids stay as they are. Other
     columns are ignored. An empty table gives no rows. The model is read on the driver.
     """
-    shared = _shared(documents.sparkSession, Vocabulary.load(model_path))
+    shared = _shared(documents.sparkSession, model_path)
     schema = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(shared), schema)
 
 
 def decode(tokens: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of (doc_id, token_ids); null ids give a null text."""
-    shared = _shared(tokens.sparkSession, Vocabulary.load(model_path))
+    shared = _shared(tokens.sparkSession, model_path)
     return tokens.select("doc_id", "token_ids").mapInArrow(_decode(shared), "doc_id long, text string")
