@@ -77,15 +77,16 @@ def replicate(
     """
     rates = source_rates(documents, weights, rows).where("_mean > 0")
     parts = F.ceil(F.col("_mean") / LARGEST).cast("long")
-    rates = rates.select(F.col("_source").alias("source"), parts.alias("parts"), (F.col("_mean") / parts).alias("mean"))
+    of_source = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    rates = rates.select(of_source(F.col("_source")).alias("source"), parts.alias("parts"), (F.col("_mean") / parts).alias("mean"))
     # Stored, so that Spark knows its size before it plans the join.
     rates = materialize(rates.withColumn("sums", cumulative_poisson(F.col("mean"))), "source-rates")
     packed = documents.select(
         F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"),
         F.coalesce(documents["doc_id"].cast("string"), F.lit("null")).alias("name"),
-        documents["source"].cast("string").alias("of"),
+        of_source(documents["source"]).alias("source"),
     )
-    met = packed.join(rates, F.col("of").eqNullSafe(F.col("source"))).drop("of")
+    met = packed.join(rates, "source")
     start, name = F.lit(str(seed)), F.col("name")
 
     def drawn(at: Column) -> Column:
@@ -117,12 +118,10 @@ def replicate(
             totals, ["name", "source", "block"]
         )
         placed = placed.where("here > 0").select(
-            "name", F.col("source").alias("at_source"), "part", "here", "n_copies", (F.col("passed") + F.col("inside")).alias("first")
+            "name", "source", "part", "here", "n_copies", (F.col("passed") + F.col("inside")).alias("first")
         )
         rows_ = met.where("parts > 1").select("row", "name", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        rows_ = rows_.repartition("name", "part")
-        same = F.col("source").eqNullSafe(F.col("at_source"))
-        many = rows_.join(placed, ["name", "part"]).where(same).select("row", "name", "n_copies", "first", "here")
+        many = rows_.join(placed, ["name", "source", "part"]).select("row", "name", "n_copies", "first", "here")
 
     copies = few.union(many).where("here > 0").select(
         "row", "name", "n_copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("here") - 1)).alias("copy_index")
