@@ -15,14 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import WordHashes, blocks, inside, mix64, window_hashes
 from rollcall.llm.components import components
 from rollcall.llm.set_join import close_pairs
+from rollcall.plans.scan import flag_keys
 from rollcall.plans.scratch import materialize
 
+REGION_BLOCKS = 256
+# Rows without an id take part under numbers of their own, from here on.
+NUMBERED = 1 << 62
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -87,6 +93,7 @@ def _sign(forest: Forest) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[at : at + len(texts)].astype("Int64").array,
+                        "key": batch["key"].iloc[at : at + len(texts)].array,
                         "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                         "n_shingles": [len(s) for s in sets],
                         "signature": signatures(sets, forest.trees * forest.depth),
@@ -104,15 +111,60 @@ def _pack(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
             at = 0
             for texts in blocks(batch["text"]):
                 sets = shingle_sets(texts, words, cache)
-                ids = batch["doc_id"].iloc[at : at + len(texts)].array
+                ids = batch["key"].iloc[at : at + len(texts)].array
                 yield pd.DataFrame({"id": ids, "shingles": [s.tobytes() for s in sets]})
                 at += len(texts)
 
     return run
 
 
+class Crowds:
+    """The rows of regions with more than `most` rows, of one sorted partition that comes in batches. The
+    regions at its ends may go on in other partitions, so their rows are always told."""
+
+    def __init__(self, most: int, shallow: int):
+        self.most, self.shallow = most, shallow
+        self.name: int | None = None  # of the region that the last row is in
+        self.waiting: list[int] = []  # its rows that are not told yet
+        self.count, self.first = 0, True
+
+    def _named(self, tree: int, prefix: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(b"%d:" % tree + prefix[: self.shallow]) - (1 << 63)
+
+    def _extend(self, name: int, ids: np.ndarray, told: list[tuple[np.ndarray, int]]) -> None:
+        if name != self.name:
+            self.first = self.name is None
+            self.name, self.waiting, self.count = name, [], 0
+        self.count += len(ids)
+        self.waiting += ids.tolist()
+        if self.first or self.count > self.most:
+            told.append((np.array(self.waiting, np.int64), name))
+            self.waiting = []
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        trees, ids, prefixes = rows["tree"].to_numpy(), rows["id"].to_numpy(), rows["prefix"]
+        keys = np.frombuffer(b"".join(p[: self.shallow] for p in prefixes), np.uint32).reshape(len(rows), -1)
+        begins = np.concatenate([[0], np.flatnonzero((trees[1:] != trees[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)) + 1])
+        ends = np.append(begins[1:], len(rows))
+        told: list[tuple[np.ndarray, int]] = []
+        # Regions inside the batch are whole; the first may go on from the batch before, the last into the next.
+        wanted = (ends - begins > self.most) | (begins == 0) | (ends == len(rows))
+        for a, b in zip(begins[wanted].tolist(), ends[wanted].tolist(), strict=True):
+            self._extend(self._named(trees[a], prefixes.iloc[a]), ids[a:b], told)
+        return self._frame(told)
+
+    def rest(self) -> pd.DataFrame:
+        return self._frame([(np.array(self.waiting, np.int64), self.name)] if self.waiting else [])
+
+    @staticmethod
+    def _frame(told: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
+        ids = np.concatenate([np.empty(0, np.int64), *[own for own, _ in told]])
+        return pd.DataFrame({"a": ids, "region": np.repeat(np.array([n for _, n in told], np.int64), [len(own) for own, _ in told])})
+
+
 def _neighbours(forest: Forest) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs of close rows of one sorted partition, and its first and last rows as they are."""
+    """Pairs of close rows of one sorted partition, its first and last rows as they are, and the rows
+    of crowded regions."""
 
     def pairs(rows: pd.DataFrame, fresh: int) -> Iterator[pd.DataFrame]:
         n = len(rows)
@@ -134,8 +186,9 @@ def _neighbours(forest: Forest) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         return rows.rename(columns={"id": "a"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["a", "b", "early", "tree", "prefix", "n_shingles"]
+        columns = ["a", "b", "early", "tree", "prefix", "n_shingles", "region"]
         w, seen, last = forest.neighbours, 0, None
+        crowds = Crowds(w + 1, 4 * forest.shallowest)
         for batch in batches:
             if not len(batch):
                 continue
@@ -146,14 +199,17 @@ def _neighbours(forest: Forest) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
             for found in pairs(rows, len(batch)):
                 yield found.reindex(columns=columns)
             last = rows.iloc[-w:]
+            yield crowds.feed(batch).reindex(columns=columns)
         if last is not None:
             yield border(last).reindex(columns=columns)
+            yield crowds.rest().reindex(columns=columns)
 
     return run
 
 
-def candidates(signed: DataFrame, forest: Forest) -> DataFrame:
-    """(a, b, early): neighbours in a sorted order, `signed` being (id, n_shingles, signature).
+def candidates(signed: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
+    """(a, b, early): neighbours in a sorted order; and (region, id): the rows of regions that a window
+    does not span, and of a few others. `signed` is (id, n_shingles, signature).
 
     Rows are dealt by range over tree, prefix and id, so a crowded region is divided among
     tasks whatever its size. The few rows at the ends of each partition go through once more
@@ -165,36 +221,25 @@ def candidates(signed: DataFrame, forest: Forest) -> DataFrame:
         "tree", F.expr(f"substring(signature, tree * {width} + 1, {width})").alias("prefix"), "id", "n_shingles"
     )
     order = ["tree", "prefix", "id"]
-    schema = "a long, b long, early boolean, tree int, prefix binary, n_shingles long"
+    schema = "a long, b long, early boolean, tree int, prefix binary, n_shingles long, region long"
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialize(sorted_rows.mapInPandas(_neighbours(forest), schema), "neighbours")
-    ends = found.where("b is null").select("tree", "prefix", F.col("a").alias("id"), "n_shingles")
+    ends = found.where("b is null and region is null").select("tree", "prefix", F.col("a").alias("id"), "n_shingles")
     met = ends.distinct().coalesce(1).sortWithinPartitions(*order).mapInPandas(_neighbours(forest), schema)
     pairs = found.union(met).where("b is not null")
-    return pairs.groupBy("a", "b").agg(F.max("early").alias("early"))
-
+    crowds = found.where("region is not null").select("region", F.col("a").alias("id"))
+    return pairs.groupBy("a", "b").agg(F.max("early").alias("early")), crowds
 
-REGION_SALTS = 16
 
+def crowded(crowds: DataFrame, linked: DataFrame) -> DataFrame:
+    """(id, component): documents of crowded regions that `linked` (id, component_id) does not connect.
 
-def crowded(classes: DataFrame, linked: DataFrame, forest: Forest) -> DataFrame:
-    """(id, component): documents of regions that a window does not span and `linked` does not connect.
-
-    `classes` holds (id, signature), `linked` (id, component_id). The rows of a region are dealt
-    by salts, as a third of all documents may be in one.
+    The rows of a region are dealt by a hash of theirs, as a third of all documents may be in one.
     """
-    tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
-    prefix = F.expr(f"substring(signature, tree * {4 * forest.depth} + 1, {4 * forest.shallowest})")
-    salt = F.pmod("id", F.lit(REGION_SALTS)).cast("int").alias("salt")
-    rows = classes.select("id", "signature", tree).select(F.xxhash64("tree", prefix).alias("region"), salt, "id")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(REGION_SALTS - 1))).alias("salt")
-    large = rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > forest.neighbours + 1)
-    large = materialize(large.select("region"), "large-regions")
-    inside_ = rows.join(large.select("region", salts), ["region", "salt"])
-    told = inside_.join(linked, "id", "left").select("region", "salt", "id", F.coalesce("component_id", "id").alias("component"))
-    told = materialize(told, "large-region-rows")
-    several = told.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return told.join(several.select("region", salts), ["region", "salt"], "left_semi").select("id", "component").distinct()
+    told = crowds.distinct().join(linked, "id", "left").select("region", "id", F.coalesce("component_id", "id").alias("component"))
+    told = materialize(told.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(REGION_BLOCKS))), "crowds")
+    several = flag_keys(told, "region", "block", "several", F.col("component"), lambda low, high: low < high)
+    return several.where("several").select("id", "component").distinct()
 
 
 def _confirm(threshold: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -218,37 +263,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInPandas(_confirm(threshold), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The id of a row, or for rows without one a number from NUMBERED on, the same for equal texts."""
+    own = F.xxhash64(text).bitwiseAND(F.lit(NUMBERED - 1)).bitwiseOR(F.lit(NUMBERED))
+    return F.coalesce(doc_id.cast("long"), own)
 
-    Documents with equal sets count once on the way. Links are confirmed in rounds: close
-    neighbours of the first trees, then whatever the components so far do not connect. Regions
-    that a window does not span are completed by an exact join. A pair of lower similarity is
-    never linked; one above the threshold is missed with the probability that Forest states,
-    whatever stands between the two.
 
-    A null or empty text, or one of blanks, has no shingle, is linked with nothing and is its own
-    component. A row without an id takes part by its text, with no id for others to reach: it is
-    kept if no row with an id is in its component. Rows that repeat an id are one document with
-    the links of all its texts. Other columns are ignored. An empty table gives no rows.
-    """
-    ids_and_texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def components_of(documents: DataFrame, forest: Forest) -> DataFrame:
+    """(doc_id, key, n_shingles, component) per row of (doc_id, text); see `near_duplicates`."""
+    ids_and_texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text"
+    )
     signed = materialize(
         ids_and_texts.mapInPandas(
-            _sign(forest), "doc_id long, set_id binary, n_shingles long, signature binary"
+            _sign(forest), "doc_id long, key long, set_id binary, n_shingles long, signature binary"
         ),
         "signatures",
     )
     classes = (
-        signed.where("n_shingles > 0 and doc_id is not null")
+        signed.where("n_shingles > 0")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .agg(F.min("key").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     )
     classes = materialize(classes, "classes")
-    pairs = materialize(candidates(classes, forest), "candidates")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs, crowds = candidates(classes, forest)
+    pairs = materialize(pairs, "candidates")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # By sort-merge at every size: the ids grow with the table, so they are never broadcast.
-    texts = ids_and_texts.join(involved.hint("merge"), "doc_id")
+    texts = ids_and_texts.join(involved.hint("merge"), "key")
     sets = materialize(texts.mapInPandas(_pack(forest.words), "id long, shingles binary"), "sets")
 
     first = materialize(confirmed(pairs.where("early"), sets, forest.threshold), "links")
@@ -265,9 +307,9 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     second = confirmed(apart, sets, forest.threshold)
     whole = materialize(components(first.union(second)), "components")
 
-    rest = materialize(crowded(classes, whole, forest), "crowded")
+    rest = materialize(crowded(crowds, whole), "crowded")
     if not rest.isEmpty():
-        crowd_texts = ids_and_texts.join(rest.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id")
+        crowd_texts = ids_and_texts.join(rest.select(F.col("id").alias("key")).hint("merge"), "key")
         crowd = materialize(crowd_texts.mapInPandas(_pack(forest.words), "id long, shingles binary"), "crowd-sets")
         close = materialize(close_pairs(crowd.join(rest, "id"), forest.threshold), "close-pairs")
         stars = whole.where("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
@@ -277,7 +319,36 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
         "set_id", F.coalesce("component_id", "id").alias("_component")
     )
     decided = signed.drop("signature").join(named, "set_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
-    return decided.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("key"))
+    return decided.select("doc_id", "key", "n_shingles", component.alias("component"))
+
+
+def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Documents with equal sets count once on the way. Links are confirmed in rounds: close
+    neighbours of the first trees, then whatever the components so far do not connect. Regions
+    that a window does not span are completed by an exact join. A pair of lower similarity is
+    never linked; one above the threshold is missed with the probability that Forest states,
+    whatever stands between the two.
+
+    A null or empty text, or one of blanks, has no shingle, is linked with nothing and is its own
+    component. Rows without an id are linked like others: they are not kept if their component holds
+    an id, and of a component without ids the rows of one text are kept, with a null component_id. Ids
+    are taken to be below 2^62. Rows that repeat an id are one document with the links of all its
+    texts. Other columns are ignored. An empty table gives no rows.
+    """
+    told = components_of(documents, forest)
+    shown = F.when(F.col("doc_id").isNotNull() | (F.col("component") < NUMBERED), F.col("component"))
+    return told.select("doc_id", "n_shingles", shown.alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+def keep_first(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """The rows, with all their columns, that `near_duplicates` keeps."""
+    told = components_of(documents, forest)
+    gone = materialize(told.where("key <> component").select("key").distinct(), "near-copies")
+    rows = documents.select(
+        F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key")
     )
+    kept = rows.join(gone, "key", "left_anti")
+    return kept.select([F.col("row").getField(c).alias(c) for c in documents.columns])
