@@ -27,9 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    decided = minhash_forest.near_duplicates(docs)
-    gone = materialize(decided.where("not kept and doc_id is not null").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return minhash_forest.keep_first(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
