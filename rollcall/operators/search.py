@@ -3,7 +3,7 @@
 Each task ranks its own part of the corpus against a block of query vectors with one
 matrix product per Arrow batch and keeps k rows per query, so what is shuffled is k rows
 per query and task, not the similarities of all pairs. The corpus is read once and not
-moved.
+moved. More queries than one block go through `blocks.block_top_k`, in one plan as well.
 """
 
 from __future__ import annotations
@@ -153,14 +153,23 @@ def top_k(
 
     Queries are a frame, or a list of (id, vector) where the driver has them at hand.
     Equal similarities are ordered by `id_column`, an integer. Rows without a vector and
-    zero vectors are no hits. One block of queries gives a lazy plan; further blocks are
-    further passes over the corpus, each written before the next one starts, so the
-    driver holds one block at a time.
+    zero vectors are no hits. More than `block` queries are ranked in blocks on the executors, by
+    ids and vectors alone; the other columns are joined to the hits. Over an index, further blocks
+    of queries are further passes, each written before the next one starts.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     id_type = _id_type(queries, query_id)
     corpus = corpus.where(F.col(vector_column).isNotNull())
+    if probes is None and k:
+        if isinstance(queries, list) and len(queries) > block:
+            schema = T.StructType([T.StructField(query_id, id_type), T.StructField(query_vector, T.ArrayType(T.DoubleType()))])
+            queries = corpus.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], schema)
+        if not isinstance(queries, list):
+            few = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector).limit(block + 1).collect()
+            if len(few) > block:
+                return _blocks(corpus, queries, k, id_column, vector_column, query_id, query_vector)
+            queries = [(row[0], row[1]) for row in few]
     blocks = _query_blocks(queries, query_id, query_vector, block)
     first = next(blocks, None)
     if first is None or k == 0:
@@ -185,6 +194,15 @@ def top_k(
     return result
 
 
+def _blocks(corpus, queries, k, id_column, vector_column, query_id, query_vector) -> DataFrame:
+    from rollcall.operators.blocks import block_top_k, with_columns
+
+    hits = block_top_k(corpus, queries, k, id_column, vector_column, query_id, query_vector)
+    kept = [c for c in corpus.columns if c != vector_column]
+    whole = with_columns(hits, corpus, id_column, [c for c in kept if c != id_column], few=False)
+    return whole.select(query_id, *kept, "similarity", "rank")
+
+
 def _pass(part, corpus, k, id_column, vector_column, query_id, id_type, probes) -> DataFrame:
     names, vectors = part
     id_place = corpus.columns.index(id_column)
@@ -254,8 +272,13 @@ def search(
     columns = [
         "id", "name", "raw_title", "experience_years", "skills", "phone", "email", "embedding",
     ]
+    from rollcall.operators.blocks import with_columns
+
     named = candidates.where(F.col("name").isNotNull()).select(*columns)
-    return present_hits(top_k(named, queries, k, query_id=query_id), query_id, "rank")
+    hits = top_k(named.select("id", "embedding"), queries, k, query_id=query_id)
+    # What is ranked is ids and vectors; the hits get their columns afterwards.
+    found = with_columns(hits, named.drop("embedding"), "id", [c for c in columns if c not in ("id", "embedding")], few=False)
+    return present_hits(found, query_id, "rank")
 
 
 def search_store(

@@ -409,6 +409,13 @@ def registered() -> dict[str, str]:
                            round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s
                     FROM embeddings q, embeddings c))
             WHERE rank <= 5""",
+        "ann_pq": """
+            SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM (
+                    SELECT q.vec_id AS query_id, c.vec_id,
+                           round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s
+                    FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0))
+            WHERE rank <= 5""",
         "ann_lsh": f"""
             WITH {CELLED}
             SELECT query_id, rank, vec_id, cell, round(s, 6) AS similarity FROM near WHERE rank <= 5""",

@@ -11,9 +11,11 @@ from rollcall.functions import files, outcomes, phones, scores, skills
 from rollcall.operators import (
     archives,
     batches,
+    blocks,
     encode,
     merge,
     quality,
+    quantise,
     records,
     search,
     seed,
@@ -91,10 +93,19 @@ def topk_every_vector(spark, sf_dir):
     """Every stored vector as a query over all of them."""
     corpus = _embeddings(spark, sf_dir).select("vec_id", "embedding")
     queries = corpus.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    hits = search.top_k(corpus, queries, 5, id_column="vec_id")
+    hits = blocks.block_top_k(corpus, queries, 5, id_column="vec_id")
     return hits.select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def ann_pq(spark, sf_dir):
+    """Every fiftieth vector as a query over the quantised vectors, ranked again exactly."""
+    path = scratch_path(spark, "quantised")
+    index = quantise.QuantisedIndex.write(_embeddings(spark, sf_dir), path, id_column="vec_id")
+    asked = _embeddings(spark, sf_dir).where("vec_id % 50 = 0")
+    hits = index.search(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 5)
+    return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def _approximate(spark, sf_dir):
     probes = search.Probes(**PROBES)
     path = scratch_path(spark, "index")
@@ -572,7 +583,7 @@ def stream_extract(spark, sf_dir):
 
 
 NAMES = [
-    "topk_cosine", "topk_calibrated", "topk_filtered", "topk_batch", "topk_every_vector", "ann_lsh", "ann_recall",
+    "topk_cosine", "topk_calibrated", "topk_filtered", "topk_batch", "topk_every_vector", "ann_pq", "ann_lsh", "ann_recall",
     "search_candidates", "extract_contacts", "normalize_phone", "placeholder_report",
     "duplicate_phones", "duplicate_phones_top", "phone_backfill", "normalize_skills",
     "map_skills_table", "embedding_text", "hash_encode", "missing_vectors", "merge_last_wins",

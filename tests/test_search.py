@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import encode, search
+from rollcall.operators import blocks, encode, quantise, search
 from rollcall.sources.snapshots import Snapshots
 
 VECTORS = "id long, name string, embedding array<float>"
@@ -188,3 +188,68 @@ def test_encoder_sees_batches_of_bounded_size(spark):
     rows = encode.encode(texts.coalesce(1), "t", Encoder()).collect()
     assert len(rows) == 1000 and sum(r["embedding"] is None for r in rows) == 1
     assert {len(r["embedding"]) for r in rows if r["embedding"]} == {2}
+
+
+@pytest.mark.parametrize("block_bytes", [16 * 4 * 9, 16 * 4 * 100, 1 << 20])
+def test_blocks_match_brute_force(spark, block_bytes):
+    vectors, queries = corpus_and_queries(9, n=400, asked=31)
+    vectors[7] = 0
+    corpus, asked = frames(spark, vectors, queries)
+    asked = asked.union(spark.createDataFrame([("null", None)], QUERIES))
+    hits = blocks.block_top_k(corpus, asked, 6, block_bytes=block_bytes)
+    assert found(hits) == brute_force(vectors, queries, 6, usable=lambda i, j: i != 7)
+    plan = hits._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert blocks.block_top_k(corpus, asked.limit(0), 6).count() == 0
+    assert blocks.block_top_k(corpus.limit(0), asked, 6).count() == 0
+
+
+def test_blocks_take_packed_vectors_and_string_or_integer_ids(spark):
+    vectors, queries = corpus_and_queries(10, n=100, asked=5)
+    corpus, asked = frames(spark, vectors, queries)
+    numbered = asked.select(F.substring("query_id", 2, 9).cast("long").alias("query_id"), "query_vector")
+    hits = blocks.block_top_k(search.pack_vectors(corpus), numbered, 3, block_bytes=16 * 4 * 7)
+    assert {f"q{q}": ids for q, ids in found(hits).items()} == brute_force(vectors, queries, 3)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quantised_index_recall_and_bytes(spark, tmp_path, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    index = quantise.QuantisedIndex.write(rows, str(tmp_path / "pq"), id_column="vec_id")
+    again = quantise.QuantisedIndex(spark, str(tmp_path / "pq"))
+    assert again.rows == rows.count() and np.array_equal(again.centroids, index.centroids)
+    asked = rows.where("vec_id % 50 = 0").selectExpr("vec_id query_id", "embedding query_vector")
+    hits = found(again.search(asked, 5))
+    held = {r["vec_id"]: r["embedding"] for r in rows.collect()}
+    ids = np.array(sorted(held))
+    matrix = np.array([held[i] for i in ids], float)
+    shares = []
+    for query in (i for i in ids if i % 50 == 0):
+        cosines = np.round(matrix @ np.array(held[query]) / np.linalg.norm(matrix, axis=1) / np.linalg.norm(held[query]), 9)
+        exact = ids[np.lexsort((ids, -cosines))][:5]
+        shares.append(len(set(exact) & set(hits[query])) / 5)
+    assert np.mean(shares) >= 0.9 and min(shares) >= 0.4
+    own, whole = again.bytes_read(5)
+    assert own < whole / 4
+    assert spark.read.parquet(str(tmp_path / "pq" / "codes")).count() == again.rows
+
+
+def test_quantised_index_reads_only_the_folders_of_its_candidates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quantise, "FOLDER_ROWS", 4)
+    monkeypatch.setattr(quantise, "QUERY_BLOCK", 2)
+    vectors, queries = corpus_and_queries(12, n=600, asked=3)
+    corpus, asked = frames(spark, vectors, queries)
+    s = quantise.Quantisation(parts=8, centroids=64, sample=300, refine=60, share=0.1)
+    index = quantise.QuantisedIndex.write(corpus, str(tmp_path / "pq"), s)
+    hits = found(index.search(asked, 4))
+    exact = brute_force(vectors, queries, 4)
+    assert np.mean([len(set(hits[q]) & set(ids)) / 4 for q, ids in exact.items()]) >= 0.9
+    plan = index._pass(["q0"], queries[:1].astype(float), 4, "query_id", asked.schema["query_id"].dataType)
+    assert "dynamicpruning" in plan._jdf.queryExecution().toString()
+    assert index.search(asked.limit(0), 4).count() == 0
+
+
+def test_an_empty_table_can_be_quantised(spark, tmp_path):
+    corpus, asked = frames(spark, *corpus_and_queries(12, n=6, asked=2))
+    index = quantise.QuantisedIndex.write(corpus.where("embedding is null"), str(tmp_path / "pq"))
+    assert index.rows == 0 and index.search(asked, 4).count() == 0
