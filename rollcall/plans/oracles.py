@@ -638,7 +638,7 @@ def registered() -> dict[str, str]:
         "stream_status_ttl": FINISHED,
         "stream_extract": f"""
             WITH extracted AS ({EXTRACTED}),
-            sent AS (SELECT doc_id, length(text) % 11 AS r FROM documents WHERE text IS NOT NULL)
+            sent AS (SELECT doc_id, coalesce(length(text) % 11, 5) AS r FROM documents)
             SELECT doc_id || '.txt' AS file,
                    CASE WHEN r IN (3, 7) THEN 'exhausted' WHEN r = 5 THEN 'failed' ELSE 'done' END AS outcome,
                    CASE WHEN r IN (3, 7) THEN 6 ELSE 1 END AS attempts,
@@ -646,6 +646,9 @@ def registered() -> dict[str, str]:
                    CASE WHEN r NOT IN (3, 5, 7) THEN phone END AS phone,
                    CASE WHEN r NOT IN (3, 5, 7) THEN experience_years END AS experience_years
             FROM sent JOIN extracted USING (doc_id)""",
+        "admitted_files": """
+            SELECT 'item' || item_id || '.txt' AS source_file, strlen(text) AS length, sha256(text) AS content_sha256, 0 AS attempt
+            FROM benchmark WHERE text IS NOT NULL""",
         "stream_retry": f"""
             SELECT event_id AS file,
                    CASE WHEN {ATTEMPT} > 5 THEN 'exhausted' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END

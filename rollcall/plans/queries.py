@@ -22,11 +22,11 @@ from rollcall.operators import (
     tables,
 )
 from rollcall.plans import views
-from rollcall.plans.scratch import scratch_path
+from rollcall.plans.scratch import materialize, scratch_path
 from rollcall.sources import files as source_files
 from rollcall.sources import manifests
 from rollcall.sources.snapshots import Snapshots
-from rollcall.streaming import ingest, progress, retries
+from rollcall.streaming import admission, ingest, progress, retries
 
 LIMITS = archives.Limits(files=500, total_bytes=800_000, file_bytes=24_000, ratio=130.0)
 PROBES = {"dimensions": 64, "bits": 6, "probes": 22}
@@ -495,24 +495,31 @@ def stream_skip_known(spark, sf_dir):
     return again.where("tries > 1").select("seq", "batch_id", "source_file")
 
 
-def _stream_status(spark, sf_dir, ttl):
-    root = scratch_path(spark, "stream-status")
-    reports = views.task_events(_stream_of(spark, sf_dir, "events"))
-    counts = progress.ProgressCounts(spark, f"{root}/counts")
-    stream = progress.first_endings(reports, ttl)
-    ingest.start(stream, counts, f"{root}/checkpoint", available_now=True).awaitTermination()
+def _batch_totals(spark, sf_dir):
     batch = views.task_events(views.table(spark, sf_dir, "events"))
-    totals = batch.groupBy("batch_id").agg(F.count_distinct("file").alias("total"))
-    return counts.finished(totals).select("batch_id", "total", "finished", "complete")
+    return batch.groupBy("batch_id").agg(F.count_distinct("file").alias("total"))
 
 
 def stream_status(spark, sf_dir):
-    return _stream_status(spark, sf_dir, None)
+    """Completion of batches from a state per batch that is forgotten after a day."""
+    root = scratch_path(spark, "stream-status")
+    totals = materialize(_batch_totals(spark, sf_dir), "batch-totals")
+    progress.rocksdb_state(spark)
+    reports = views.task_events(_stream_of(spark, sf_dir, "events"))
+    rows = progress.ProgressRows(spark, f"{root}/rows")
+    stream = ingest.start(progress.completions(reports, totals), rows, f"{root}/checkpoint", interval="0 seconds", mode="update")
+    ingest.run_until_idle(stream)
+    return rows.finished(totals).select("batch_id", "total", "finished", "complete")
 
 
 def stream_status_ttl(spark, sf_dir):
     """With a bounded state: a file is forgotten forty days after it ended."""
-    return _stream_status(spark, sf_dir, "40 days")
+    root = scratch_path(spark, "stream-status")
+    reports = views.task_events(_stream_of(spark, sf_dir, "events"))
+    counts = progress.ProgressCounts(spark, f"{root}/counts")
+    stream = progress.first_endings(reports, "40 days")
+    ingest.start(stream, counts, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return counts.finished(_batch_totals(spark, sf_dir)).select("batch_id", "total", "finished", "complete")
 
 
 def _attempts(df: DataFrame) -> DataFrame:
@@ -545,8 +552,8 @@ def stream_retry(spark, sf_dir):
     )
 
 
-def _busy_service(name: str, mime: str | None, content: str | bytes) -> str:
-    """The built-in extractor behind a service that is at times busy, down or refuses a text."""
+def _unreliable_service(name: str, mime: str | None, content: str | bytes) -> str:
+    """The built-in extractor with faults put before it: busy, refusing or away, by the length of the text."""
     if len(content) % 11 == 3:
         raise records.ServiceError("busy", code=429)
     if len(content) % 11 == 5:
@@ -556,22 +563,25 @@ def _busy_service(name: str, mime: str | None, content: str | bytes) -> str:
     return records.contact_extractor(name, mime, content)
 
 
+# How long a second of delay lasts in the query; delays are the production ones in a stream of its own.
+EXTRACT_SECOND = 0.02
+
+
 def stream_extract(spark, sf_dir):
-    """Documents through the extractor with its retries, and the records of the replies."""
-    root = scratch_path(spark, "stream-extract")
-    work = _stream_of(spark, sf_dir, "documents").where("text is not null").select(
-        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
-        F.encode("text", "UTF-8").alias("content"),
-    )
-    stream = retries.RetryingStream(spark, root, ingest.extraction_attempt(_busy_service), payload=["content"])
-    last = {}
+    """Documents through the extractor, with retries on timers, and the records of the replies.
 
-    def sink(files_now: DataFrame, epoch: int) -> None:
-        stream.step(files_now, epoch, fixed_now())
-        last["step"] = epoch
+    The state holds names; an attempt reads the texts of the files that are due. A document without a
+    text has nothing to read and fails for good.
+    """
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file")
+    contents = views.table(spark, sf_dir, "documents").select(name, F.encode("text", "UTF-8").alias("content"))
+    extract = ingest.extraction_attempt(_unreliable_service)
 
-    ingest.start(work, sink, f"{root}/checkpoint", available_now=True).awaitTermination()
-    ended = stream.ended(stream.drain(last["step"], fixed_now()))
+    def attempt(due: DataFrame) -> DataFrame:
+        return extract(due.join(contents, "file", "left")).drop("content")
+
+    stream = retries.TimedRetries(spark, scratch_path(spark, "stream-extract"), attempt, second=EXTRACT_SECOND)
+    ended = stream.run_to_end(_stream_of(spark, sf_dir, "documents").select(name), contents.count())
     return records.parse_replies(ended).select(
         "file",
         "outcome",
@@ -582,6 +592,22 @@ def stream_extract(spark, sf_dir):
     )
 
 
+def admitted_files(spark, sf_dir):
+    """Benchmark texts as files of an inbox, let in by the admitting source and read by their paths."""
+    root = scratch_path(spark, "admitted")
+    texts = views.table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("content"))
+    admission.write_files(texts.withColumn("name", F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit(".txt"))), f"{root}/inbox")
+    stream = admission.admitted_files(spark, f"{root}/inbox", f"{root}/log", per_minute=1_000_000)
+
+    def sink(rows: DataFrame, epoch: int) -> None:
+        admission.read_files(rows).write.mode("overwrite").parquet(f"{root}/read/epoch={epoch}")
+
+    ingest.start(stream, sink, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/read").select(
+        "source_file", "length", F.sha2("content", 256).alias("content_sha256"), "attempt"
+    )
+
+
 NAMES = [
     "topk_cosine", "topk_calibrated", "topk_filtered", "topk_batch", "topk_every_vector", "ann_pq", "ann_lsh", "ann_recall",
     "search_candidates", "extract_contacts", "normalize_phone", "placeholder_report",
@@ -593,7 +619,7 @@ NAMES = [
     "prior_results", "task_summaries", "archive_entries", "spool_names", "archive_limits", "upload_receipts", "route_by_extension",
     "parse_json_records", "retry_delay", "error_classes", "cache_keys", "vector_text",
     "seed_candidates", "stream_ingest", "stream_rejected", "stream_skip_known", "stream_status",
-    "stream_status_ttl", "stream_retry", "stream_extract",
+    "stream_status_ttl", "stream_retry", "stream_extract", "admitted_files",
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,17 +96,36 @@ def start(
     checkpoint: str,
     available_now: bool = False,
     interval: str = "1 minute",
+    mode: str = "append",
 ) -> StreamingQuery:
     """Run a stream into a micro-batch function.
 
-    To keep to a rate, cap the files per trigger at the source (`maxFilesPerTrigger`,
-    FILES_PER_MINUTE) and trigger once a minute.
+    To keep to a rate that counts retries, read from `admission.admitted_files`.
     """
-    writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    writer = source.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
 
 
+def run_until_idle(query: StreamingQuery, seconds: float = 600.0) -> None:
+    """Stop a stream once it has nothing new to read.
+
+    For a stream with timers or a state with a TTL, which never ends by itself, as time alone
+    may change its state: it is idle after a micro-batch without any row.
+    """
+    limit = time.monotonic() + seconds
+    try:
+        while query.isActive and time.monotonic() < limit:
+            last = query.lastProgress
+            if last and last["numInputRows"] == 0:
+                break
+            time.sleep(0.1)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+
+
 def extraction_attempt(extractor: Extractor) -> Callable[[DataFrame], DataFrame]:
     """The attempt of a RetryingStream over `file, content`: adds `reply` and the kind of error."""
 

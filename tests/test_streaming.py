@@ -2,6 +2,7 @@
 
 import json
 import sys
+import time
 from pathlib import Path
 
 from pyspark.cloudpickle import register_pickle_by_value
@@ -16,7 +17,7 @@ from rollcall.plans.scan import number_rows
 from rollcall.plans.scratch import exists, materialize, temporary_tables
 from rollcall.sources.files import read_resumes
 from rollcall.sources.snapshots import Snapshots
-from rollcall.streaming import ingest, progress, retries
+from rollcall.streaming import admission, ingest, progress, retries
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -264,3 +265,157 @@ def test_temporary_tables_are_deleted(spark):
 def test_materialized_tables_survive_in_the_shared_folder(spark, tmp_path):
     frame = materialize(spark.range(5).toDF("n"), "check")
     assert frame.count() == 5 and "check-" in frame.inputFiles()[0]
+
+
+SCRIPT = [("ok", 0, False), ("twice", 2, False), ("never", 99, False), ("bad", 0, True), ("late", 5, True)]
+
+
+def scripted(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame(SCRIPT, "file string, fails int, broken boolean").coalesce(1).write.parquet(source)
+    return spark.readStream.schema("file string, fails int, broken boolean").parquet(source)
+
+
+ENDED = {
+    "ok": ("done", 0), "twice": ("done", 2), "never": ("exhausted", 5), "bad": ("failed", 0), "late": ("failed", 5),
+}
+
+
+def test_timed_retries_run_on_an_idle_stream_and_keep_their_delays(spark, tmp_path):
+    second = 0.1
+    stream = retries.TimedRetries(spark, str(tmp_path / "r"), flaky, second=second)
+    ended = stream.run_to_end(scripted(spark, tmp_path), len(SCRIPT), 240)
+    assert {r["file"]: (r["outcome"], r["attempt"]) for r in ended.collect()} == ENDED
+    tried = {}
+    delay = retries.retry_delay(F.col("attempt"), F.col("file"))
+    for r in stream.attempts().withColumn("delay", delay).orderBy("file", "attempt").collect():
+        tried.setdefault(r["file"], []).append(r)
+    for rows in tried.values():
+        assert [r["attempt"] for r in rows] == list(range(len(rows)))
+        for one, following in zip(rows, rows[1:]):
+            assert (following["at"] - one["at"]).total_seconds() >= one["delay"] * second
+
+
+def test_timed_retries_go_on_after_a_restart(spark, tmp_path):
+    files = scripted(spark, tmp_path)
+    stream = retries.TimedRetries(spark, str(tmp_path / "r"), flaky, second=0.1)
+    query = stream.start(files)
+    while not (exists(spark, f"{tmp_path}/r/attempts") and stream._count() >= 2):
+        time.sleep(0.1)
+    query.stop()
+    again = retries.TimedRetries(spark, str(tmp_path / "r"), flaky, second=0.1)
+    ended = again.run_to_end(files, len(SCRIPT), 240)
+    assert {r["file"]: (r["outcome"], r["attempt"]) for r in ended.collect()} == ENDED
+    assert again.attempts().groupBy("file", "attempt").count().where("count > 1").count() == 0
+
+
+def test_a_batch_is_complete_once(spark, tmp_path):
+    progress.rocksdb_state(spark)
+    source, schema = str(tmp_path / "in"), "batch_id string, file string, state string"
+    steps = [
+        [("b", "x", "SUCCESS"), ("b", "x", "FAILURE"), ("c", "u", "STARTED")],
+        [("b", "y", "RETRY"), ("b", "x", "SUCCESS"), ("c", "u", "SUCCESS")],
+        [("b", "y", "FAILURE"), ("b", None, "SUCCESS"), ("d", "z", "SUCCESS")],
+        [("b", "y", "SUCCESS"), ("b", "x", "SUCCESS")],
+    ]
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/p{i}")
+    totals = spark.createDataFrame([("b", 2), ("c", 3), ("d", 1), ("e", 4)], "batch_id string, total long")
+
+    def run(root):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+        rows = progress.ProgressRows(spark, f"{root}/rows")
+        sink = progress.completions(stream, totals)
+        ingest.run_until_idle(ingest.start(sink, rows, f"{root}/checkpoint", interval="0 seconds", mode="update"), 60)
+        return rows
+
+    rows = run(str(tmp_path / "a"))
+    assert sorted((r["batch_id"], r["finished"]) for r in rows.rows().collect()) == [("b", 1), ("b", 2), ("c", 1), ("d", 1)]
+    assert sorted(r["batch_id"] for r in rows.rows().where("complete").collect()) == ["b", "d"]
+    want = [("b", 2, 2, True), ("c", 3, 1, False), ("d", 1, 1, True), ("e", 4, 0, False)]
+    assert sorted(map(tuple, rows.finished(totals).drop("completed_in").collect())) == want
+    # The same checkpoint with nothing new, and a replayed micro-batch, change nothing.
+    rows = run(str(tmp_path / "a"))
+    replayed = spark.createDataFrame(rows.rows().where("epoch = 0").drop("epoch").collect(), progress.COMPLETION)
+    rows(replayed, 0)
+    assert sorted(map(tuple, rows.finished(totals).drop("completed_in").collect())) == want
+    assert rows.rows().count() == 4
+
+
+def test_a_batch_is_forgotten_after_the_ttl(spark, tmp_path):
+    progress.rocksdb_state(spark)
+    source, schema = str(tmp_path / "in"), "batch_id string, file string, state string"
+    totals = spark.createDataFrame([("b", 2)], "batch_id string, total long")
+    for i in range(2):
+        spark.createDataFrame([("b", "x", "SUCCESS")], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        rows = progress.ProgressRows(spark, str(tmp_path / "rows"))
+        sink = progress.completions(stream, totals, ttl_seconds=1.0)
+        ingest.run_until_idle(ingest.start(sink, rows, str(tmp_path / "c"), interval="0 seconds", mode="update"), 60)
+        time.sleep(1.5)
+    assert rows.rows().count() == 2  # with the state still there, the second report would change nothing
+
+
+def reader(tmp_path, clock, per_minute=3):
+    options = {"path": str(tmp_path / "inbox"), "log": str(tmp_path / "log"), "retries": str(tmp_path / "due"), "perMinute": str(per_minute)}
+    found = admission.AdmittingReader(options)
+    found.clock = lambda: clock[0]
+    return found
+
+
+def names(source, start, end):
+    return [row[1:4:2] for part in source.partitions(start, end) for row in source.read(part)]
+
+
+def test_admission_keeps_to_its_rate_and_offsets_survive_a_restart(tmp_path):
+    inbox, due = tmp_path / "inbox", tmp_path / "due"
+    inbox.mkdir()
+    due.mkdir()
+    for i in range(5):
+        (inbox / f"f{i}.txt").write_text("x" * i)
+    (inbox / "skip.exe").write_text("")
+    clock = [1000.0]
+    source = reader(tmp_path, clock)
+    start = source.initialOffset()
+    first = source.latestOffset()
+    assert len(names(source, start, first)) == 3
+    assert source.latestOffset() == first  # the minute is used up
+    clock[0] += 59
+    assert reader(tmp_path, clock).latestOffset() == first
+    # Retries that are due come before new files, and count.
+    (due / "part-0.json").write_text(json.dumps({"path": f"{inbox}/f0.txt", "source_file": "f0.txt", "length": 0, "attempt": 2}) + "\n")
+    clock[0] += 2
+    again = reader(tmp_path, clock)
+    second = again.latestOffset()
+    assert sorted(names(again, first, second)) == [("f0.txt", 2), ("f3.txt", 0), ("f4.txt", 0)] or len(names(again, first, second)) == 3
+    assert ("f0.txt", 2) in names(again, first, second)
+    # The same offsets mean the same files, whoever asks, and a file with an old date is still let in.
+    assert names(reader(tmp_path, clock), start, first) == names(source, start, first)
+    late = inbox / "a-late.txt"
+    late.write_text("late")
+    import os
+
+    os.utime(late, (1, 1))
+    clock[0] += 61
+    third = again.latestOffset()
+    assert ("a-late.txt", 0) in names(again, second, third)
+    everything = names(again, start, third)
+    assert len(everything) == len(set(everything)) == 7
+    assert names(again, third, third) == []
+
+
+def test_admitted_files_are_read_by_path(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for i in range(4):
+        (inbox / f"f{i}.txt").write_text(f"text {i}")
+    seen = []
+
+    def sink(rows, epoch):
+        seen.extend((r["source_file"], bytes(r["content"])) for r in admission.read_files(rows).collect())
+
+    for _ in range(2):
+        stream = admission.admitted_files(spark, str(inbox), str(tmp_path / "log"), per_minute=100)
+        ingest.start(stream, sink, str(tmp_path / "c"), available_now=True).awaitTermination()
+        (inbox / "g.txt").write_text("later")
+    assert sorted(seen) == [(f"f{i}.txt", f"text {i}".encode()) for i in range(4)] + [("g.txt", b"later")]
