@@ -56,3 +56,11 @@ def assert_unique_phones(df: DataFrame) -> None:
     groups = duplicate_counts(df).count()
     if groups:
         raise ValueError(f"{groups} phone number(s) are on more than one row")
+
+
+def assert_unique_keys(rows: DataFrame) -> None:
+    """The same gate over the phone keys that rows were written with."""
+    shared = rows.where("phone_normalized is not null").groupBy("phone_normalized").count().where("count > 1")
+    groups = shared.count()
+    if groups:
+        raise ValueError(f"{groups} phone number(s) are on more than one row")

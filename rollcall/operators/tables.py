@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +25,12 @@ def last_write_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.join(winners, order, "left_semi")
 
 
-def bulk_load_by_email(stored: DataFrame, incoming: DataFrame, order: str, now: Column) -> DataFrame:
-    """Load keyed on email alone, as the whole next table.
+def bulk_load_changes(stored: DataFrame, incoming: DataFrame, order: str, now: Column) -> DataFrame:
+    """The rows that a load keyed on email alone inserts or changes, with `is_update`.
 
     A known email updates six columns and leaves the vector, the phone key and the batch
     as they were; a new one is inserted with none of these; the last record of an email
-    wins, and records without an email are all inserted.
+    wins, and records without an email are all inserted. A row that would stay as it is is not there.
     """
     known, unknown = F.col("email").isNotNull(), F.col("email").isNull()
     spans = incoming.where(known).groupBy("email").agg(
@@ -37,23 +40,28 @@ def bulk_load_by_email(stored: DataFrame, incoming: DataFrame, order: str, now:
     latest = payload.join(spans.drop("email"), "last")
 
     # Which row gets which record is settled on ids and emails alone; the stored rows are
-    # joined on their unique id, with as few rows as the load changes.
+    # joined on their unique id, with as few rows as the load meets.
     emails = stored.where(known).select("id", "email")
     fresh = emails.join(latest, "email").select("id", F.struct(*BULK_COLUMNS).alias("_new"))
-    hit = F.col("_new").isNotNull()
-    updated = stored.join(fresh, "id", "left").select(
-        *[
-            F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in BULK_COLUMNS else c
-            for c in stored.columns
-        ]
+    met = stored.join(fresh, "id")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_new.{c}")) for c in BULK_COLUMNS])
+    updated = met.where(~same).select(
+        *[F.col(f"_new.{c}").alias(c) if c in BULK_COLUMNS else F.col(c) for c in stored.columns], F.lit(True).alias("is_update")
     )
     largest = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("largest")).scalar()
     loose = payload.where(unknown).withColumn("first", F.col("last"))
     inserted = latest.join(emails, "email", "left_anti").unionByName(loose)
     inserted = inserted.select(
-        (largest + 1 + F.col("first")).alias("id"), "email", *BULK_COLUMNS, now.alias("created_at")
+        (largest + 1 + F.col("first")).alias("id"), "email", *BULK_COLUMNS, now.alias("created_at"), F.lit(False).alias("is_update")
     )
-    return updated.unionByName(inserted, allowMissingColumns=True).select(*stored.columns)
+    return updated.unionByName(inserted, allowMissingColumns=True).select(*stored.columns, "is_update")
+
+
+def bulk_load_by_email(stored: DataFrame, incoming: DataFrame, order: str, now: Column) -> DataFrame:
+    """The whole table after `bulk_load_changes`."""
+    changes = bulk_load_changes(stored, incoming, order, now)
+    untouched = stored.join(changes.where("is_update").select("id"), "id", "left_anti")
+    return untouched.unionByName(changes.drop("is_update")).select(*stored.columns)
 
 
 def backfill_phone_keys(df: DataFrame) -> DataFrame:

@@ -161,6 +161,28 @@ WITH RECURSIVE {REPLAY}
 SELECT c.seq, c.phone_normalized, c.email FROM replay JOIN candidates c USING (seq) WHERE act = 'reject'
 """
 
+LOADED = f"""
+            WITH {BASE}, {STORED},
+            firsts AS (SELECT email, min(seq) AS first FROM candidates GROUP BY email),
+            newest AS (
+                SELECT c.*, CASE WHEN c.email IS NULL THEN c.seq ELSE f.first END AS first
+                FROM candidates c LEFT JOIN firsts f ON f.email = c.email
+                QUALIFY c.email IS NULL OR row_number() OVER (PARTITION BY c.email ORDER BY seq DESC) = 1)
+            SELECT s.id, COALESCE(n.name, CASE WHEN n.seq IS NULL THEN s.name END) AS name,
+                   CASE WHEN n.seq IS NULL THEN s.raw_title ELSE n.raw_title END AS raw_title,
+                   CASE WHEN n.seq IS NULL THEN s.experience_years ELSE n.experience_years END AS experience_years,
+                   CASE WHEN n.seq IS NULL THEN s.skills ELSE array_to_string(n.skills, '|') END AS skills,
+                   CASE WHEN n.seq IS NULL THEN s.phone ELSE n.phone END AS phone,
+                   s.phone_normalized, s.email,
+                   CASE WHEN n.seq IS NULL THEN s.source_file ELSE n.source_file END AS source_file,
+                   s.batch_id, s.created_on
+            FROM stored s LEFT JOIN newest n ON n.email = s.email
+            UNION ALL
+            SELECT (SELECT max(id) FROM stored) + 1 + first, name, raw_title, experience_years,
+                   array_to_string(skills, '|'), phone, NULL, email, source_file, NULL, '2026-01-01'
+            FROM newest WHERE email IS NULL OR email NOT IN (SELECT email FROM stored WHERE email IS NOT NULL)
+"""
+
 CENTER = """
 center AS (
     SELECT list(m ORDER BY i) AS v FROM (
@@ -490,26 +512,8 @@ def registered() -> dict[str, str]:
         "merge_full": MERGED,
         "merge_outcomes": OUTCOMES,
         "merge_rejected": REJECTED,
-        "merge_by_email": f"""
-            WITH {BASE}, {STORED},
-            firsts AS (SELECT email, min(seq) AS first FROM candidates GROUP BY email),
-            newest AS (
-                SELECT c.*, CASE WHEN c.email IS NULL THEN c.seq ELSE f.first END AS first
-                FROM candidates c LEFT JOIN firsts f ON f.email = c.email
-                QUALIFY c.email IS NULL OR row_number() OVER (PARTITION BY c.email ORDER BY seq DESC) = 1)
-            SELECT s.id, COALESCE(n.name, CASE WHEN n.seq IS NULL THEN s.name END) AS name,
-                   CASE WHEN n.seq IS NULL THEN s.raw_title ELSE n.raw_title END AS raw_title,
-                   CASE WHEN n.seq IS NULL THEN s.experience_years ELSE n.experience_years END AS experience_years,
-                   CASE WHEN n.seq IS NULL THEN s.skills ELSE array_to_string(n.skills, '|') END AS skills,
-                   CASE WHEN n.seq IS NULL THEN s.phone ELSE n.phone END AS phone,
-                   s.phone_normalized, s.email,
-                   CASE WHEN n.seq IS NULL THEN s.source_file ELSE n.source_file END AS source_file,
-                   s.batch_id, s.created_on
-            FROM stored s LEFT JOIN newest n ON n.email = s.email
-            UNION ALL
-            SELECT (SELECT max(id) FROM stored) + 1 + first, name, raw_title, experience_years,
-                   array_to_string(skills, '|'), phone, NULL, email, source_file, NULL, '2026-01-01'
-            FROM newest WHERE email IS NULL OR email NOT IN (SELECT email FROM stored WHERE email IS NOT NULL)""",
+        "merge_by_email": LOADED,
+        "load_results": f"SELECT * EXCLUDE (id) FROM ({LOADED})",
         "pending_files": """
             SELECT doc_id, 'doc' || doc_id || '.txt' AS source_file FROM documents d
             WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
@@ -560,6 +564,12 @@ def registered() -> dict[str, str]:
             WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
         "json_lines": RESULTS,
         "prior_results": RESULTS,
+        "json_array": RESULTS,
+        "unpacked_members": """
+            SELECT archive, idx, member, lpad(idx::VARCHAR, 5, '0') || '.txt' AS spool_name, content_sha256, NULL::VARCHAR AS error FROM (
+                SELECT 'a' || lpad((doc_id // 200)::VARCHAR, 6, '0') || '.zip' AS archive, 'cv/' || doc_id || '.txt' AS member,
+                       row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) - 1 AS idx, sha256(coalesce(text, '')) AS content_sha256
+                FROM documents WHERE doc_id % 9 <> 7)""",
         "task_summaries": "SELECT * EXCLUDE (embedding) FROM embeddings",
         "archive_limits": f"""
             WITH {CHECKED}

@@ -24,7 +24,7 @@ from rollcall.operators import (
 from rollcall.plans import views
 from rollcall.plans.scratch import materialize, scratch_path
 from rollcall.sources import files as source_files
-from rollcall.sources import manifests
+from rollcall.sources import json_arrays, manifests, zip_ranges
 from rollcall.sources.snapshots import Snapshots
 from rollcall.streaming import admission, ingest, progress, retries
 
@@ -256,11 +256,22 @@ def merge_rejected(spark, sf_dir):
 
 
 def merge_by_email(spark, sf_dir):
-    stored = views.stored_candidates(spark, sf_dir)
-    loaded = tables.bulk_load_by_email(
-        stored, views.candidates(spark, sf_dir), "seq", fixed_now()
-    )
-    return _table_columns(loaded)
+    """A load by email as a version of changed rows on top of the stored ones."""
+    store = Snapshots(spark, scratch_path(spark, "load"))
+    store.publish(views.stored_candidates(spark, sf_dir), "earlier")
+    changes = tables.bulk_load_changes(store.read(), views.candidates(spark, sf_dir), "seq", fixed_now())
+    store.publish(changes, "load")
+    return _table_columns(store.read())
+
+
+def load_results(spark, sf_dir):
+    """The same load from JSON arrays of a thousand records each, in one call."""
+    root = scratch_path(spark, "load-results")
+    store = Snapshots(spark, f"{root}/store")
+    store.publish(views.stored_candidates(spark, sf_dir), "earlier")
+    _json_arrays(spark, sf_dir, f"{root}/results")
+    ingest.load_results(store, f"{root}/results", "load", fixed_now())
+    return _table_columns(store.read()).drop("id")
 
 
 def _document_files(spark, sf_dir):
@@ -373,18 +384,45 @@ def json_lines(spark, sf_dir):
     return _result_columns(source_files.read_json_lines(spark, path))
 
 
-def prior_results(spark, sf_dir):
-    """Results written as JSON arrays of a thousand records each and read back."""
-    path = scratch_path(spark, "json-arrays")
+def _json_arrays(spark, sf_dir, path):
+    """One file of a JSON array for each thousand records, in the order of their names and places."""
     results = _results(spark, sf_dir)
     record = F.struct(*[c for c in results.columns if c != "seq"])
-    arrays = results.groupBy(F.expr("seq div 1000").alias("part")).agg(
-        F.to_json(F.collect_list(record)).alias("value")
+    arrays = results.groupBy(F.expr("format_string('%08d', seq div 1000)").alias("part")).agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", record.alias("r")))), lambda x: x["r"])).alias("value")
     )
     arrays.write.partitionBy("part").text(path)
+
+
+def prior_results(spark, sf_dir):
+    """Results written as JSON arrays of a thousand records each and read back."""
+    path = scratch_path(spark, "json-arrays")
+    _json_arrays(spark, sf_dir, path)
     return _result_columns(source_files.read_results(spark, path))
 
 
+def json_array(spark, sf_dir):
+    """The same results read in blocks of bytes that do not know where records begin."""
+    path = scratch_path(spark, "json-arrays")
+    _json_arrays(spark, sf_dir, path)
+    return _result_columns(json_arrays.read_array(spark, path, block_bytes=20_000))
+
+
+def unpacked_members(spark, sf_dir):
+    """Documents packed into zip archives of 200 each, and unpacked by byte ranges."""
+    root = scratch_path(spark, "archives")
+    name = F.when(F.col("doc_id") % 9 == 7, ".exe").otherwise(".txt")
+    texts = views.table(spark, sf_dir, "documents").select(
+        F.format_string("a%06d.zip", F.expr("doc_id div 200")).alias("archive"), "doc_id",
+        F.concat(F.lit("cv/"), F.col("doc_id").cast("string"), name).alias("member"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    admission.write_archives(texts, root)
+    found = zip_ranges.unpack_by_range(spark, root, archives.Limits(ratio=1e9))
+    return found.select(
+        files.leaf_name(F.col("archive")).alias("archive"), "idx", "member", "spool_name", F.sha2("content", 256).alias("content_sha256"), "error"
+    )
+
+
 def task_summaries(spark, sf_dir):
     return tables.task_summary(_embeddings(spark, sf_dir))
 
@@ -613,10 +651,10 @@ NAMES = [
     "search_candidates", "extract_contacts", "normalize_phone", "placeholder_report",
     "duplicate_phones", "duplicate_phones_top", "phone_backfill", "normalize_skills",
     "map_skills_table", "embedding_text", "hash_encode", "missing_vectors", "merge_last_wins",
-    "merge_full", "merge_outcomes", "merge_rejected", "merge_by_email", "pending_files",
+    "merge_full", "merge_outcomes", "merge_rejected", "merge_by_email", "load_results", "pending_files",
     "pending_counts", "append_union", "batch_status", "batch_files", "batch_finished",
     "batch_keys", "dispatch_tasks", "manifest_payloads", "manifest_unexpired", "json_lines",
-    "prior_results", "task_summaries", "archive_entries", "spool_names", "archive_limits", "upload_receipts", "route_by_extension",
+    "prior_results", "json_array", "unpacked_members", "task_summaries", "archive_entries", "spool_names", "archive_limits", "upload_receipts", "route_by_extension",
     "parse_json_records", "retry_delay", "error_classes", "cache_keys", "vector_text",
     "seed_candidates", "stream_ingest", "stream_rejected", "stream_skip_known", "stream_status",
     "stream_status_ttl", "stream_retry", "stream_extract", "admitted_files",

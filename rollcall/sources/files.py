@@ -153,15 +153,17 @@ RESULT = T.StructType([f for f in CANDIDATE.fields if f.name not in ("id", "crea
 def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT) -> DataFrame:
     """Records of a JSON array; a missing, empty, broken or other file gives no rows.
 
-    A resumable run can so always start. Whole files are parsed one per row, as a JSON
-    array has no record boundaries to split at; large results belong in JSON lines.
+    A resumable run can so always start. Whole files are parsed one per row; `json_arrays.read_array`
+    reads large ones by blocks.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     whole = spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("["))
+    # As the one element of a list: a parser would not look at what follows the array otherwise.
+    wrapped = F.concat(F.lit("["), F.col("value"), F.lit("]"))
     parsed = whole.select(
-        F.from_json("value", T.ArrayType(schema)).alias("records"),
-        F.try_parse_json("value").alias("valid"),
+        F.get(F.from_json(wrapped, T.ArrayType(T.ArrayType(schema))), F.lit(0)).alias("records"),
+        F.try_parse_json(wrapped).alias("valid"),
     )
     rows = parsed.where("records is not null and valid is not null").select(F.explode("records").alias("r"))
     return rows.where("r is not null").select("r.*")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +54,17 @@ class Snapshots:
         return any(m["batch"] == batch for m in self.markers())
 
     def publish(
-        self, rows: DataFrame, batch: str, replaces_all: bool = False, encoder: str | None = None
+        self,
+        rows: DataFrame,
+        batch: str,
+        replaces_all: bool = False,
+        encoder: str | None = None,
+        gate: Callable[[DataFrame], None] | None = None,
     ) -> bool:
         """Write a version; a batch that is already there is not written again.
 
-        `encoder` is the id of what made the vectors; None for rows without any.
+        `encoder` is the id of what made the vectors; None for rows without any. `gate` looks at the
+        written rows before they count: if it raises, the version is not published.
         """
         markers = self.markers()
         if any(m["batch"] == batch for m in markers):
@@ -71,6 +78,8 @@ class Snapshots:
             for f in self.schema.fields
         ]
         rows.select(*columns).write.parquet(f"{self.root}/{folder}")
+        if gate is not None:
+            gate(self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}"))
         marker = {"version": version, "batch": batch, "folder": folder, "all": replaces_all}
         marker["encoder"] = encoder
         # Fails if another writer published this version first.

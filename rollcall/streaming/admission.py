@@ -8,8 +8,10 @@ under an old name or date is still let in. The log also says how many were let i
 
 from __future__ import annotations
 
+import io
 import json
 import time
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -20,16 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from rollcall.functions.files import SUPPORTED_EXTENSIONS
+from rollcall.sources.paths import located
 
 FILES_PER_MINUTE = 14
 ADMITTED = "path string, source_file string, length long, attempt int"
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder and its path there."""
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
 @dataclass
 class Admitted(InputPartition):
     rows: list[tuple[str, str, int, int]]
@@ -183,3 +181,20 @@ def write_files(rows: DataFrame, folder: str) -> None:
             yield pd.DataFrame({"written": [len(batch)]})
 
     rows.select("name", "content").mapInPandas(run, "written long").write.format("noop").mode("overwrite").save()
+
+
+def write_archives(rows: DataFrame, folder: str) -> None:
+    """Write (archive, doc_id, member, text) rows as one zip file per archive, which is of bounded size."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            for member, text in rows.sort_values("doc_id")[["member", "text"]].itertuples(index=False):
+                archive.writestr(member, text)
+        system, place = located(folder)
+        system.create_dir(place, recursive=True)
+        with system.open_output_stream(f"{place}/{rows['archive'].iloc[0]}") as file:
+            file.write(held.getvalue())
+        return pd.DataFrame({"members": [len(rows)]})
+
+    rows.groupBy("archive").applyInPandas(pack, "members long").write.format("noop").mode("overwrite").save()

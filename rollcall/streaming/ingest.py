@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.operators.encode import Encoder, encode_candidates
 from rollcall.operators.merge import merge
+from rollcall.operators.quality import assert_unique_keys
 from rollcall.operators.records import (
     TRANSIENT,
     Extractor,
@@ -19,8 +20,10 @@ from rollcall.operators.records import (
     records,
     validate_replies,
 )
+from rollcall.operators.tables import bulk_load_changes
 from rollcall.plans.scan import number_rows
 from rollcall.plans.scratch import exists, materialize, temporary_tables
+from rollcall.sources.json_arrays import read_array
 from rollcall.sources.snapshots import Snapshots
 
 FILES_PER_MINUTE = 14
@@ -73,7 +76,7 @@ class CandidateIngest:
             result.outcomes.join(names, "seq").write.mode("overwrite").parquet(
                 f"{self.outcome_root}/{batch}"
             )
-            self.store.publish(result.rows, batch, encoder=self.encoder)
+            self.store.publish(result.rows, batch, encoder=self.encoder, gate=assert_unique_keys)
         self.store.compact(self.versions)
 
     def outcomes(self) -> DataFrame | None:
@@ -160,6 +163,21 @@ def documents_to_writes(
     return replies_to_writes(answers, encoder, batch_id)
 
 
+def load_results(store: Snapshots, path: str, batch: str, now: Column) -> bool:
+    """Load JSON arrays of results into the stored table by email: only rows that change are written.
+
+    The records are numbered in the order of their files and places, and the last of an email wins.
+    A batch that was loaded before is not loaded again.
+    """
+    if store.has_batch(batch):
+        return False
+    with temporary_tables(store.spark):
+        numbered = number_rows(read_array(store.spark, path, places=True), "_place").drop("_place")
+        incoming = numbered.withColumn("email", F.nullif(F.col("email"), F.lit("")))
+        changes = bulk_load_changes(store.read(), materialize(incoming, "records"), "seq", now)
+        return store.publish(changes, batch)
+
+
 class SearchResults:
     """Search results kept per version of the corpus and dropped when it changes."""
 

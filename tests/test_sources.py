@@ -1,24 +1,29 @@
 """Files, archives, results, snapshots and manifests in temporary folders."""
 
 import json
+import random
 import sys
 import time
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
-from rollcall.operators import batches, records, tables
+from rollcall.operators import batches, quality, records, tables
 from rollcall.operators.archives import Limits, upload_receipts
 from rollcall.operators.encode import HashingEncoder
 from rollcall.operators.folder_run import process_folder
 from rollcall.operators.quality import assert_unique_phones, duplicate_rows
 from rollcall.operators.tables import last_write_wins
 from rollcall.plans.scan import position_within
-from rollcall.sources import files, manifests
+from rollcall.plans.queries import fixed_now
+from rollcall.sources import files, json_arrays, manifests, zip_ranges
+from rollcall.sources import files as source_files
 from rollcall.sources.snapshots import Snapshots
+from rollcall.streaming import ingest
 
 
 register_pickle_by_value(sys.modules[__name__])
@@ -322,3 +327,141 @@ def test_duplicate_rows_of_a_hot_phone(spark, block):
     with pytest.raises(ValueError, match="2 phone"):
         assert_unique_phones(frame)
     assert_unique_phones(frame.where("id in (1, 2)"))
+
+
+# --- archives by byte ranges and JSON arrays in blocks -----------------------------------
+
+
+def test_members_are_read_at_their_offsets(spark, tmp_path):
+    texts = {f"cv/{i}.txt": f"text {i} " * (i * 50 + 1) for i in range(20)} | {"__MACOSX/x.txt": "no", "y.exe": "no", "empty.txt": ""}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in texts.items():
+            archive.writestr(name, text, zipfile.ZIP_STORED if name.endswith("3.txt") else zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(tmp_path / "none.ZIP", "w"):
+        pass
+    (tmp_path / "broken.zip").write_bytes(b"no zip at all")
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as archive:
+        for i in range(30):
+            archive.writestr(f"{i}.txt", "x")
+    damaged = bytearray((tmp_path / "a.zip").read_bytes())
+    with zipfile.ZipFile(tmp_path / "a.zip") as archive:
+        at = archive.getinfo("cv/7.txt").header_offset
+    damaged[at + 45] ^= 0xFF
+    (tmp_path / "damaged.zip").write_bytes(bytes(damaged))
+
+    limits = Limits(files=25, ratio=1e9)
+    rows = zip_ranges.unpack_by_range(spark, str(tmp_path), limits).collect()
+    own = {r["member"]: r for r in rows if r["archive"].endswith("/a.zip")}
+    assert {m: bytes(r["content"]).decode() for m, r in own.items()} == {m: t for m, t in texts.items() if m.startswith("cv/") or m == "empty.txt"}
+    assert [r["spool_name"] for r in sorted(own.values(), key=lambda r: r["idx"])] == [f"{i:05d}.txt" for i in range(21)]
+    hurt = {r["member"]: r for r in rows if r["archive"].endswith("/damaged.zip")}
+    assert hurt["cv/7.txt"]["error"] and hurt["cv/7.txt"]["content"] is None
+    assert all(r["error"] is None and bytes(r["content"]).decode() == texts[m] for m, r in hurt.items() if m != "cv/7.txt")
+    assert {r["archive"].rsplit("/", 1)[1] for r in rows} == {"a.zip", "damaged.zip"}
+    listed = zip_ranges.directories(zip_ranges.archive_paths(spark, str(tmp_path))).where("member is null").collect()
+    assert {(r["archive"].rsplit("/", 1)[1], r["pos"]) for r in listed} == {("none.ZIP", -1), ("broken.zip", None)}
+
+
+def test_a_member_never_expands_beyond_its_stated_size(tmp_path):
+    path = tmp_path / "bomb.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("a.txt", b"0" * 10_000_000)
+    with open(path, "rb") as file, zipfile.ZipFile(path) as archive:
+        entry = archive.infolist()[0]
+        assert len(zip_ranges.read_member(file, entry.header_offset, entry.compress_type, entry.compress_size, entry.file_size, entry.CRC)) == 10_000_000
+        with pytest.raises(ValueError, match="directory"):
+            zip_ranges.read_member(file, entry.header_offset, entry.compress_type, entry.compress_size, 100, entry.CRC)
+
+
+def test_scanner_states_compose():
+    draw = random.Random(7)
+    for _ in range(300):
+        text = "".join(draw.choice(['"', "\\", "[", "]", "{", "}", ",", "a", "é"]) for _ in range(draw.randrange(1, 40))).encode()
+        data = np.frombuffer(text, np.uint8)
+        state, depth, want = 0, 0, []
+        for byte in text:  # one byte at a time
+            plain = False
+            if state == 2:
+                state = 1
+            elif byte == 34:
+                state = 0 if state == 1 else 1
+            elif state == 1:
+                state = 2 if byte == 92 else 1
+            else:
+                plain = True
+                depth += (byte in b"[{") - (byte in b"]}")
+            want.append((plain, depth))
+        if any(p and b == 92 for (p, _), b in zip(want, text)):
+            continue  # a backslash outside of strings is no JSON
+        cut = draw.randrange(len(text) + 1)
+        plain, level, middle = json_arrays.scan(data[:cut], json_arrays.OUTSIDE)
+        after = json_arrays.scan(data[cut:], middle)
+        base = int(level[-1]) if cut else 0
+        got = [*zip(plain.tolist(), level.tolist()), *zip(after[0].tolist(), (base + after[1]).tolist())]
+        assert got == want and after[2] == state
+
+
+@pytest.mark.parametrize("block_bytes", [1, 3, 17, 1000])
+def test_arrays_in_blocks_equal_whole_reads(spark, tmp_path, block_bytes):
+    def record(i):
+        return {"name": f'N "{i}" [{{,\\', "raw_title": "é]" * (i % 5), "experience_years": i, "skills": ["a,b", "]"], "phone": None, "email": f"e{i}@x.org",
+                "source_file": f"{i}.pdf", "batch_id": "b\\"}
+
+    texts = {
+        "many.json": json.dumps([record(i) for i in range(25)], indent=1), "one.json": json.dumps([record(1)]), "none.json": " [ ] ", "empty.json": "",
+        "nulls.json": "[null, " + json.dumps(record(2)) + "]", "object.json": json.dumps(record(3)), "cut.json": json.dumps([record(4), record(5)])[:-9],
+        "open.json": "[" + json.dumps(record(6)), "trail.json": "[" + json.dumps(record(7)) + ",]", "after.json": json.dumps([record(8)]) + " x",
+        "twice.json": json.dumps([record(9)]) + json.dumps([record(10)]), "words.json": "no json", "wrong.json": '[{"name": "a"}, {"name": }]',
+    }
+    if block_bytes < 17:
+        texts["many.json"] = json.dumps([record(i) for i in range(2)])
+    want, got = [], []
+    for name, text in texts.items():
+        folder = tmp_path / name.split(".")[0]
+        folder.mkdir()
+        (folder / name).write_text(text)
+        want.append((name, sorted(map(str, source_files.read_results(spark, str(folder)).collect()))))
+    for folder in ("many", "nulls", "cut", "wrong"):
+        rows = json_arrays.read_array(spark, str(tmp_path / folder), block_bytes=block_bytes).collect()
+        assert sorted(map(str, rows)) == dict(want)[f"{folder}.json"], folder
+    whole = str(tmp_path / "all")
+    (tmp_path / "all").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "all" / name).write_text(text)
+    rows = json_arrays.read_array(spark, whole, block_bytes=block_bytes).collect()
+    assert sorted(map(str, rows)) == sorted(r for _, found in want for r in found)
+    assert json_arrays.read_array(spark, str(tmp_path / "missing")).count() == 0
+    assert len(want) == len(texts) and got == []
+
+
+def test_a_large_array_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "big.json").write_text("[" + ",\n".join(f'{{"name": "n{i}", "experience_years": {i}}}' for i in range(200_000)) + "]")
+    rows = json_arrays.read_array(spark, str(tmp_path), block_bytes=1 << 18)
+    blocks = json_arrays._blocks(spark, str(tmp_path), 1 << 18).count()
+    assert blocks > 20 and rows.count() == 200_000
+    assert rows.agg(F.sum("experience_years"), F.count_distinct("name")).first()[0:2] == (sum(range(200_000)), 200_000)
+
+
+def test_results_are_loaded_in_one_call_and_only_changes_are_written(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"))
+    first = [{"name": "A", "email": "a@x.org", "skills": ["x"]}, {"name": "B", "email": "b@x.org"}, {"name": "C", "email": ""}, {"name": "A2", "email": "a@x.org"}]
+    (tmp_path / "one.json").write_text(json.dumps(first))
+    assert ingest.load_results(store, str(tmp_path / "one.json"), "one", fixed_now())
+    assert sorted((r["name"], r["email"] or "") for r in store.read().collect()) == [("A2", "a@x.org"), ("B", "b@x.org"), ("C", "")]
+    assert not ingest.load_results(store, str(tmp_path / "one.json"), "one", fixed_now())
+    (tmp_path / "two.json").write_text(json.dumps([{"name": "B", "email": "b@x.org"}, {"name": "A3", "email": "a@x.org"}, {"name": "D", "email": "d@x.org"}]))
+    ingest.load_results(store, str(tmp_path / "two.json"), "two", fixed_now())
+    written = spark.read.parquet(f"{tmp_path}/store/{store.markers()[-1]['folder']}")
+    assert sorted(r["name"] for r in written.collect()) == ["A3", "D"]
+    assert sorted(r["name"] for r in store.read().collect()) == ["A3", "B", "C", "D"]
+    ids = [r["id"] for r in store.read().collect()]
+    assert len(set(ids)) == len(ids)
+
+
+def test_the_gate_refuses_a_shared_phone_key(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(1, "9182468135"), (2, "9182468135"), (3, None), (4, None)], "id long, phone_normalized string")
+    with pytest.raises(ValueError, match="more than one row"):
+        store.publish(rows, "bad", gate=quality.assert_unique_keys)
+    assert store.version() == 0 and store.read().count() == 0
+    assert store.publish(rows.where("id <> 2"), "good", gate=quality.assert_unique_keys) and store.read().count() == 3
