@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.phones import normalize_phone
+from rollcall.operators.key_index import KeyIndex, email_key
 from rollcall.plans.scan import BLOCK_ROWS, flag_keys, nearest
 from rollcall.plans.scratch import materialize
 from rollcall.schemas import WRITTEN_COLUMNS
@@ -60,6 +61,7 @@ class MergeResult:
     rows: DataFrame  # new and overwritten rows, `is_update` tells which
     outcomes: DataFrame  # seq, strategy, action: insert, update or reject
     rejected: DataFrame  # the writes that met two different rows
+    touched: DataFrame  # the stored rows that shared a key with a write, as (id, k, e, created_at)
 
 
 def batch_file_key(batch_id: Column, source_file: Column) -> Column:
@@ -95,9 +97,13 @@ def merge(
     now: Column,
     block_rows: int = BLOCK_ROWS,
     split_after: int = SPLIT_AFTER,
+    index: KeyIndex | None = None,
+    version: int = 0,
 ) -> MergeResult:
     """Apply `incoming`, ordered by its unique `seq` of 0 and up, to `stored`.
 
+    With an `index` of the stored keys as of `version`, the stored rows are not read.
+
     Rows of `stored` that no write touches are not in the result. A new row's id is
     the largest stored id plus one plus the `seq` of its first write: unique, in the
     order of the writes, with gaps where writes updated rows, and the same on a re-run.
@@ -110,7 +116,7 @@ def merge(
         strategy(F.col("phone_normalized"), F.col("batch_id")).alias("strategy"),
     )
     narrow = materialize(narrow, "writes")
-    touched = materialize(_touched(stored, narrow), "touched")
+    touched = materialize(_touched(stored, narrow) if index is None else _held(index, narrow, version), "touched")
     events = materialize(_events(touched, narrow, block_rows), "events")
 
     contested = events.where("contested")
@@ -129,14 +135,27 @@ def merge(
     final = materialize(final, "owners")
     outcomes = _outcomes(narrow, final, rejects, moved)
     return MergeResult(
-        rows=_written_rows(stored, touched, writes, final, now),
+        rows=_written_rows(stored, touched, writes, final, now, None if index is None else index.largest(version)),
         outcomes=outcomes,
         rejected=writes.join(
             outcomes.where("action = 'reject'").select("seq"), "seq", "left_semi"
         ),
+        touched=touched.select((F.col("ord") - F.lit(STORED)).alias("id"), "k", "e", "created_at"),
     )
 
 
+def keys_of(rows: DataFrame) -> DataFrame:
+    """(id, k, e, created_at) of stored rows, as the index holds them."""
+    key = primary_key(F.col("phone_normalized"), F.col("batch_id"), F.col("source_file"))
+    return rows.select("id", key.alias("k"), F.col("email").alias("e"), "created_at")
+
+
+def freed_keys(result: MergeResult) -> DataFrame:
+    """Keys that rows overwritten by the merge held before it."""
+    updated = result.touched.join(result.rows.where("is_update").select("id"), "id", "left_semi")
+    return updated.select(F.explode(F.array("k", email_key())).alias("key")).where("key is not null").distinct()
+
+
 def next_snapshot(stored: DataFrame, result: MergeResult) -> DataFrame:
     """The whole table after the merge."""
     replaced = result.rows.where("is_update").select("id")
@@ -160,6 +179,13 @@ def _touched(stored: DataFrame, narrow: DataFrame) -> DataFrame:
     return by_key.unionByName(kept.join(emails, "e", "left_semi")).distinct()
 
 
+def _held(index: KeyIndex, narrow: DataFrame, version: int) -> DataFrame:
+    """The same from the index."""
+    keys = narrow.select(F.explode(F.array("k", email_key())).alias("key")).where("key is not null")
+    found = index.holders(keys, version)
+    return found.select((F.lit(STORED) + F.col("id")).alias("ord"), "k", "e", "created_at")
+
+
 def _events(touched: DataFrame, narrow: DataFrame, block_rows: int) -> DataFrame:
     """Stored rows and writes in one order, as (ord, k, e, block, contested).
 
@@ -360,7 +386,7 @@ def _outcomes(
 
 
 def _written_rows(
-    stored: DataFrame, touched: DataFrame, writes: DataFrame, final: DataFrame, now: Column
+    stored: DataFrame, touched: DataFrame, writes: DataFrame, final: DataFrame, now: Column, known_largest: int | None = None
 ) -> DataFrame:
     """Payload of the last write of every row that any write reached."""
     changed = final.where("last >= 0").select(
@@ -368,7 +394,10 @@ def _written_rows(
         F.col("root"),
         F.when(F.col("root") < 0, F.col("root") - F.lit(STORED)).alias("old_id"),
     )
-    largest = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("largest")).scalar()
+    if known_largest is None:
+        largest = stored.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("largest")).scalar()
+    else:
+        largest = F.lit(known_largest)
     known = touched.select(
         (F.col("ord") - F.lit(STORED)).alias("old_id"), F.col("created_at").alias("old_created")
     )

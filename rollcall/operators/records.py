@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import queue
+import multiprocessing
 import re
-import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,24 +53,52 @@ Extractor = Callable[[str, str | None, str | bytes], str]
 CALL_SECONDS = 120.0
 
 
-def within(seconds: float, call: Callable[[], str]) -> str:
-    """The result of the call, or TimeoutError if it takes longer; it is then left behind."""
-    answer: queue.SimpleQueue = queue.SimpleQueue()
+class Caller:
+    """Runs an extractor in a child process, which is ended if a call takes too long.
 
-    def run() -> None:
-        try:
-            answer.put((call(), None))
-        except BaseException as failure:
-            answer.put((None, failure))
+    One child serves the calls of a task until one of them is late; then the next call starts another.
+    """
 
-    threading.Thread(target=run, daemon=True).start()
-    try:
-        reply, failure = answer.get(timeout=seconds)
-    except queue.Empty:
-        raise TimeoutError(f"no answer within {seconds:g} seconds") from None
-    if failure is not None:
-        raise failure
-    return reply
+    def __init__(self, extractor: Extractor, seconds: float):
+        self.extractor, self.seconds = extractor, seconds
+        self.child, self.pipe = None, None
+
+    def _serve(self, pipe) -> None:
+        while True:
+            try:
+                arguments = pipe.recv()
+            except EOFError:
+                return
+            try:
+                pipe.send((self.extractor(*arguments), None))
+            except Exception as failure:
+                pipe.send((None, (*cause(failure), str(failure))))
+
+    def __call__(self, *arguments) -> tuple:
+        """(reply, kind, code, status, message), as `cause` tells failures apart."""
+        if self.child is None:
+            forked = multiprocessing.get_context("fork")
+            self.pipe, other = forked.Pipe()
+            self.child = forked.Process(target=self._serve, args=(other,), daemon=True)
+            self.child.start()
+            other.close()
+        try:
+            self.pipe.send(arguments)
+            if not self.pipe.poll(self.seconds):
+                self.end()
+                return None, "network", None, None, f"no answer within {self.seconds:g} seconds"
+            reply, failure = self.pipe.recv()
+        except (EOFError, BrokenPipeError) as broken:
+            self.end()
+            return None, "other", None, None, f"the extractor ended: {broken!r}"
+        return (None, *failure) if failure else (reply, None, None, None, None)
+
+    def end(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
 
 
 def cause(failure: BaseException) -> tuple[str, int | None, str | None]:
@@ -110,27 +137,30 @@ def call_extractor(
     passed = [c for c in documents.columns if keep_content or c != "content"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in passed)
 
-    def attempt(name, route, mime, text, content):
+    def attempt(call, name, route, mime, text, content):
         if route == "unsupported":
             return None, "other", None, None, "unsupported file type"
-        try:
-            body = text if mime is None else bytes(content)
-            return within(seconds, lambda: extractor(name, mime, body)), None, None, None, None
-        except Exception as failure:
-            return None, *cause(failure), str(failure)
+        body = text if mime is None else content
+        if body is None:
+            return None, "other", None, None, "no content"
+        return call(name, mime, body if mime is None else bytes(body))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = [
-                attempt(*row)
-                for row in zip(
-                    frame["source_file"], frame["_route"], frame["_mime"], frame["_text"], frame["content"]
+        call = Caller(extractor, seconds)
+        try:
+            for frame in frames:
+                results = [
+                    attempt(call, *row)
+                    for row in zip(
+                        frame["source_file"], frame["_route"], frame["_mime"], frame["_text"], frame["content"]
+                    )
+                ]
+                told = pd.DataFrame(
+                    results, columns=["reply", "_kind", "_code", "_status", "message"], index=frame.index, dtype=object
                 )
-            ]
-            told = pd.DataFrame(
-                results, columns=["reply", "_kind", "_code", "_status", "message"], index=frame.index, dtype=object
-            )
-            yield pd.concat([frame[passed], told], axis=1)
+                yield pd.concat([frame[passed], told], axis=1)
+        finally:
+            call.end()
 
     tried = routed.mapInPandas(
         run, f"{fields}, reply string, _kind string, _code int, _status string, message string"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.operators.encode import Encoder, encode_candidates
-from rollcall.operators.merge import merge
+from rollcall.operators.key_index import KeyIndex
+from rollcall.operators.merge import freed_keys, keys_of, merge
 from rollcall.operators.quality import assert_unique_keys
 from rollcall.operators.records import (
     TRANSIENT,
@@ -20,6 +21,7 @@ from rollcall.operators.records import (
     records,
     validate_replies,
 )
+from rollcall.operators.standing import StandingSearch
 from rollcall.operators.tables import bulk_load_changes
 from rollcall.plans.scan import number_rows
 from rollcall.plans.scratch import exists, materialize, temporary_tables
@@ -39,7 +41,9 @@ class CandidateIngest:
     file is skipped if one of that name in the same upload batch was inserted or updated before;
     a rejected one is tried again. Once the table is made of more than `versions` versions they
     are written as one, so that the plan that reads it does not grow with the age of the stream.
-    `encoder` names what made the vectors of the writes, if they have any.
+    `encoder` names what made the vectors of the writes, if they have any. With `index`, the stored rows
+    that a micro-batch meets come from an index of their keys, made here if the table is older than it,
+    and the table is not read. `standing` keeps results of standing searches up with the table.
     """
 
     def __init__(
@@ -50,9 +54,12 @@ class CandidateIngest:
         skip_known: bool = False,
         versions: int = VERSIONS,
         encoder: str | None = None,
+        index: KeyIndex | None = None,
+        standing: StandingSearch | None = None,
     ):
         self.store, self.stream, self.now, self.skip_known = store, stream, now, skip_known
         self.versions, self.encoder = versions, encoder
+        self.index, self.standing = index, standing
         self.outcome_root = f"{store.root}/outcomes/{stream}"
         self.rejected_root = f"{store.root}/rejected/{stream}"
 
@@ -70,15 +77,31 @@ class CandidateIngest:
                 writes = writes.join(done, same, "left_anti")
         with temporary_tables(self.store.spark):
             writes = materialize(writes, "micro-batch")
-            result = merge(self.store.read(), writes, self.now())
+            version = self.store.version()
+            if self.index is not None and version and self.index.rows(version).isEmpty():
+                rows = keys_of(self.store.read())
+                self.index.append(rows, rows.limit(0).select(F.lit("").alias("key")), version)
+            result = merge(self.store.read(), writes, self.now(), index=self.index, version=version)
             names = writes.select("seq", "batch_id", "source_file")
             result.rejected.write.mode("overwrite").parquet(f"{self.rejected_root}/{batch}")
             result.outcomes.join(names, "seq").write.mode("overwrite").parquet(
                 f"{self.outcome_root}/{batch}"
             )
+            if self.index is not None:
+                # Entries of a version count once that version does.
+                self.index.append(keys_of(result.rows), freed_keys(result), version + 1)
             self.store.publish(result.rows, batch, encoder=self.encoder, gate=assert_unique_keys)
+            if self.standing is not None:
+                self._keep_up(result.rows, version)
         self.store.compact(self.versions)
 
+    def _keep_up(self, changed: DataFrame, before: int) -> None:
+        corpus = self.store.read()
+        if self.standing.has(before):
+            self.standing.update(corpus, changed, before, before + 1)
+        else:
+            self.standing.build(corpus, before + 1)
+
     def outcomes(self) -> DataFrame | None:
         return self._published(self.outcome_root)
 

@@ -1,6 +1,7 @@
 """Streams over several micro-batches, replays and restarts."""
 
 import json
+import random
 import sys
 import time
 from pathlib import Path
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import merge, records
 from rollcall.operators.batches import finished_files
+from rollcall.operators.blocks import block_top_k
 from rollcall.operators.encode import HashingEncoder
+from rollcall.operators.key_index import KeyIndex
+from rollcall.operators.standing import StandingSearch
 from rollcall.plans import views
 from rollcall.plans.queries import fixed_now
 from rollcall.plans.scan import number_rows
@@ -419,3 +423,75 @@ def test_admitted_files_are_read_by_path(spark, tmp_path):
         ingest.start(stream, sink, str(tmp_path / "c"), available_now=True).awaitTermination()
         (inbox / "g.txt").write_text("later")
     assert sorted(seen) == [(f"f{i}.txt", f"text {i}".encode()) for i in range(4)] + [("g.txt", b"later")]
+
+
+def test_ingest_by_a_key_index_gives_the_same_rows(spark, small_dir, tmp_path):
+    people = views.candidates(spark, small_dir).drop("id").where("seq < 60")
+    earlier = views.stored_candidates(spark, small_dir)
+    stores = []
+    for name in ("plain", "indexed"):
+        store = Snapshots(spark, str(tmp_path / name))
+        store.publish(earlier, "earlier")
+        index = KeyIndex(spark, str(tmp_path / "keys"), buckets=3) if name == "indexed" else None
+        sink = ingest.CandidateIngest(store, "s", fixed_now, index=index)
+        for epoch, (low, high) in enumerate([(0, 23), (23, 31), (31, 60)]):
+            sink(people.where(f"seq >= {low} and seq < {high}"), epoch)
+        stores.append((store, sink))
+    assert rows_of(stores[0][0].read()) == rows_of(stores[1][0].read())
+    ids = [sorted(r["id"] for r in store.read().select("id").collect()) for store, _ in stores]
+    assert ids[0] == ids[1]
+    told = [sorted(map(tuple, sink.outcomes().select("seq", "strategy", "action").collect())) for _, sink in stores]
+    assert told[0] == told[1]
+    # Entries of a version that was never published do not count, and the index is read back from its folder.
+    store, sink = stores[1]
+    again = KeyIndex(spark, str(tmp_path / "keys"))
+    assert again.buckets == 3
+    version = store.version()
+    before = sorted(map(tuple, again.holders(again.rows(version).select("key"), version).select("id", "k", "e").collect()), key=str)
+    again.append(merge.keys_of(earlier.withColumn("id", F.col("id") + 1000)), spark.createDataFrame([], "key string"), version + 1)
+    after = again.holders(again.rows(version).select("key"), version)
+    assert sorted(map(tuple, after.select("id", "k", "e").collect()), key=str) == before
+    want = sorted(map(tuple, merge.keys_of(store.read()).where("k is not null or e is not null").select("id", "k", "e").collect()), key=str)
+    assert before == want
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    index_side = plan[plan.index("Scan parquet") - 2000 : plan.index("Scan parquet")] if "Scan parquet" in plan else plan
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and index_side
+
+
+def test_standing_hits_equal_a_new_search_after_any_change(spark, tmp_path):
+    draw = random.Random(5)
+    vector = lambda: [float(draw.choice([-1, 0, 1, 2])) for _ in range(4)]
+    queries = spark.createDataFrame([(q, vector()) for q in range(12)], "query_id long, query_vector array<float>")
+    corpus = {i: vector() for i in range(40)}
+    frame = lambda rows: spark.createDataFrame(sorted(rows.items()), "id long, embedding array<float>")
+    standing = StandingSearch(spark, str(tmp_path), queries, 4)
+    standing.build(frame(corpus), 1)
+    assert standing.has(1) and not standing.has(2)
+    searched = []
+    for version in range(2, 6):
+        changed = {i: vector() for i in draw.sample(range(60), 4)}
+        gone = draw.sample(sorted(corpus), 2)
+        for i in gone:
+            corpus.pop(i)
+        changed = {i: v for i, v in changed.items() if i not in gone}
+        corpus |= changed
+        delta = frame({**changed, **{i: None for i in gone}})
+        searched.append(standing.update(frame(corpus), delta, version - 1, version))
+        want = block_top_k(frame(corpus), queries, 4).select("query_id", "rank", "id", "similarity")
+        assert sorted(map(tuple, standing.hits(version).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert any(n < 12 for n in searched)
+
+
+def test_ingest_keeps_standing_searches_up(spark, tmp_path):
+    schema = ("seq long, name string, raw_title string, experience_years int, skills array<string>, phone string, "
+              "email string, source_file string, batch_id string, embedding array<float>")
+    store = Snapshots(spark, str(tmp_path / "store"))
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query_vector array<float>")
+    standing = StandingSearch(spark, str(tmp_path / "hits"), queries, 1)
+    sink = ingest.CandidateIngest(store, "s", fixed_now, standing=standing)
+    sink(spark.createDataFrame([(0, "A", None, 1, ["Other"], "9182468135", None, "a.pdf", "b", [1.0, 1.0])], schema), 0)
+    first = standing.hits(store.version()).first()["id"]
+    sink(spark.createDataFrame([(0, "B", None, 1, ["Other"], "9182468136", None, "b.pdf", "b", [1.0, 0.1])], schema), 1)
+    second = standing.hits(store.version()).first()["id"]
+    sink(spark.createDataFrame([(0, "B", None, 1, ["Other"], "9182468136", None, "b.pdf", "b", [-1.0, 0.1])], schema), 2)
+    assert first != second and standing.hits(store.version()).first()["id"] == first
