@@ -454,8 +454,7 @@ def test_ingest_by_a_key_index_gives_the_same_rows(spark, small_dir, tmp_path):
     want = sorted(map(tuple, merge.keys_of(store.read()).where("k is not null or e is not null").select("id", "k", "e").collect()), key=str)
     assert before == want
     plan = after._jdf.queryExecution().executedPlan().toString()
-    index_side = plan[plan.index("Scan parquet") - 2000 : plan.index("Scan parquet")] if "Scan parquet" in plan else plan
-    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and index_side
+    assert "Exchange" not in plan[plan.index("Join") : plan.index("SelectedBucketsCount: 3 out of 3")]
 
 
 def test_standing_hits_equal_a_new_search_after_any_change(spark, tmp_path):
