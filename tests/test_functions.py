@@ -47,7 +47,7 @@ def test_mask(spark):
     "given,expected",
     [
         (["electrician", "WELDER"], ["Electrician", "Welder"]),
-        (["MIG Welding"], ["Other"]),
+        (["Bell Founding"], ["Other"]),
         (["Plumber", "plumber", "Welder"], ["Plumber", "Welder"]),
         (["Welder", "Nonsense", "Fitter"], ["Welder", "Fitter"]),
         (None, ["Other"]),
