@@ -1,6 +1,7 @@
 """Search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,35 @@ def test_an_empty_table_can_be_quantised(spark, tmp_path):
     corpus, asked = frames(spark, *corpus_and_queries(12, n=6, asked=2))
     index = quantise.QuantisedIndex.write(corpus.where("embedding is null"), str(tmp_path / "pq"))
     assert index.rows == 0 and index.search(asked, 4).count() == 0
+
+
+def test_blocks_compute_few_pairs_twice_and_rank_by_double_precision(monkeypatch):
+    rng = np.random.default_rng(17)
+    vectors, queries = rng.normal(size=(9000, 32)), rng.normal(size=(1100, 32))
+    # Rows whose similarities to the first query differ by less than single precision tells.
+    side = vectors[1] - queries[0] * (vectors[1] @ queries[0]) / (queries[0] @ queries[0])
+    vectors[5000:5040] = queries[0] + side * np.sqrt(np.linspace(1e-6, 2e-6, 40))[:, None]
+    vectors[[7, 8]], queries[3] = [[0.0] * 32, [np.nan] * 32], 0.0
+    again = []
+    exact = blocks.Nearest._exact
+    monkeypatch.setattr(blocks.Nearest, "_exact", lambda self, asked, *rest: again.append(len(asked)) or exact(self, asked, *rest))
+    nearest = blocks.Nearest(queries, 6)
+    for start in range(0, 9000, 4500):
+        nearest.add(pa.array(range(start, start + 4500)), vectors[start : start + 4500])
+    asked, ids, _ = nearest.found()
+    got = {f"q{j}": ids.to_numpy()[asked == j].tolist() for j in range(1100)}
+    usable = brute_force(np.delete(vectors, [7, 8], axis=0), np.delete(queries, 3, axis=0), 6)
+    kept = np.delete(np.arange(9000), [7, 8])
+    names = [f"q{j}" for j in range(1100) if j != 3]
+    assert got == {name: kept[best].tolist() for name, best in zip(names, usable.values(), strict=True)} | {"q3": []}
+    assert sum(again) < 0.01 * 9000 * 1100
+
+
+def test_blocks_share_a_table_smaller_than_a_block(spark):
+    vectors, _ = corpus_and_queries(19, n=2100, dims=4)
+    corpus, _ = frames(spark, vectors, vectors[:1])
+    asked = corpus.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    assert blocks._block_count(2100, 1 << 20) == 3
+    want = brute_force(vectors, vectors[:40], 3)
+    got = found(blocks.block_top_k(corpus, asked, 3).where("query_id < 40"))
+    assert {f"q{j}": best for j, best in got.items()} == want
