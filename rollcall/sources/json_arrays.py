@@ -22,32 +22,47 @@ from rollcall.sources.files import RESULT
 from rollcall.sources.paths import located
 
 BLOCK_BYTES = 4 << 20
+TASK_BLOCKS = 8
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
-BLANKS = np.frombuffer(b" \t\r\n", np.uint8)
+# By byte: whether it is blank, and how it changes the depth.
+BLANK, STEP = np.zeros(256, bool), np.zeros(256, np.int8)
+BLANK[list(b" \t\r\n")] = True
+STEP[list(b"[{")], STEP[list(b"]}")] = 1, -1
 
 
 def scan(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Which bytes stand outside of strings, the change of depth up to and with each, and the last state."""
-    n = len(data)
-    at = np.arange(n)
-    slash = data == 92
-    last_other = np.maximum.accumulate(np.where(slash, -1, at)) if n else at
-    before = np.concatenate([[-1], last_other[:-1]])[:n]
-    # Backslashes right before each byte; one more if the block begins after one.
-    run = at - 1 - before + ((before == -1) & (state == ESCAPED))
-    quote = (data == 34) & (run % 2 == 0)
-    inside = (np.cumsum(quote) - quote + (state != OUTSIDE)) % 2 == 1
+    n, inner = len(data), int(state != OUTSIDE)
+    quote, slashes = data == 34, np.flatnonzero(data == 92)
+    # Runs of backslashes; one more in the first if the block begins after one.
+    firsts, lasts = slashes[np.diff(slashes, prepend=-2) > 1], slashes[np.diff(slashes, append=n + 1) > 1]
+    runs = lasts - firsts + 1
+    if state == ESCAPED and n:
+        if data[0] == 92:
+            runs[0] += 1
+        else:
+            quote[0] = False
+    escaped = lasts[runs % 2 == 1] + 1
+    quote[escaped[escaped < n]] = False
+    # Quotes before each byte, modulo 256.
+    inside = (np.cumsum(quote, dtype=np.uint8) - quote + inner) % 2 == 1
     plain = ~inside & ~quote
-    step = np.where(plain & np.isin(data, np.frombuffer(b"[{", np.uint8)), 1, 0) - np.where(plain & np.isin(data, np.frombuffer(b"]}", np.uint8)), 1, 0)
-    ends_inside = bool((quote.sum() + (state != OUTSIDE)) % 2)
-    tail = n - 1 - int(last_other[-1]) + (last_other[-1] == -1 and state == ESCAPED) if n else int(state == ESCAPED)
-    return plain, np.cumsum(step), (ESCAPED if tail % 2 else INSIDE) if ends_inside else OUTSIDE
+    if n:
+        tail = int(runs[-1]) if len(runs) and lasts[-1] == n - 1 else 0
+    else:
+        tail = int(state == ESCAPED)
+    ends_inside = (np.count_nonzero(quote) + inner) % 2
+    return plain, np.cumsum(STEP[data] * plain, dtype=np.int64), (ESCAPED if tail % 2 else INSIDE) if ends_inside else OUTSIDE
 
 
-def _blocks(spark: SparkSession, path: str, size: int) -> DataFrame:
+def _blocks(spark: SparkSession, path: str, size: int) -> tuple[DataFrame, int]:
+    """(path, length, block), and over how many tasks they are dealt out."""
     found = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block")
-    return found.select("path", "length", block).repartition("path", "block")
+    # Rows of a few bytes each: dealt out by their number, as by their size they would all be one task's.
+    count = found.agg(F.sum(F.expr(f"(length - 1) div {size} + 1"))).first()[0] or 0
+    tasks = max(1, -(-count // TASK_BLOCKS))
+    return found.select("path", "length", block).repartition(tasks, "path", "block"), tasks
 
 
 def _read(path: str, offset: int, size: int) -> np.ndarray:
@@ -104,7 +119,7 @@ def _of_block(path: str, offset: int, length: int, state: int, depth: int, size:
     closes = plain & (level == 0) & (before == 1)
     found = []
     # At depth 0 only the array itself and blanks may stand.
-    stray = (before == 0) & ~opens & ~np.isin(data, BLANKS)
+    stray = (before == 0) & ~opens & ~BLANK[data]
     if stray.any() or (closes & (data != 93)).any():
         found.append((path, offset, None))
     # A blank text tells of the beginning of an array.
@@ -150,10 +165,10 @@ def array_elements(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTE
     A null text tells of a file that is not one array, whole and nothing else, and so does a second
     blank one, which stands for the beginning of an array; its elements may be among the rows.
     """
-    blocks = _blocks(spark, path, block_bytes)
+    blocks, tasks = _blocks(spark, path, block_bytes)
     told = blocks.select("path", "block").mapInPandas(_summaries(block_bytes), "path string, block long, told array<long>")
     # A row of a few numbers for each block.
-    begins = told.groupBy("path").applyInPandas(_composed, "path string, block long, state int, depth long")
+    begins = told.repartition(tasks, "path").groupBy("path").applyInPandas(_composed, "path string, block long, state int, depth long")
     begins = materialize(begins, "block-states")
     found = blocks.join(begins, ["path", "block"]).mapInPandas(_elements(block_bytes), "path string, at long, text string")
     unclosed = begins.where(f"block = -1 and (state <> {OUTSIDE} or depth <> 0)").select(

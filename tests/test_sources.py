@@ -465,3 +465,12 @@ def test_the_gate_refuses_a_shared_phone_key(spark, tmp_path):
         store.publish(rows, "bad", gate=quality.assert_unique_keys)
     assert store.version() == 0 and store.read().count() == 0
     assert store.publish(rows.where("id <> 2"), "good", gate=quality.assert_unique_keys) and store.read().count() == 3
+
+
+def test_blocks_of_small_arrays_are_dealt_over_many_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"name": f"n{i}"}]))
+    blocks, tasks = json_arrays._blocks(spark, str(tmp_path), 1 << 20)
+    assert tasks == 5 and blocks.count() == 40
+    assert blocks.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert json_arrays.read_array(spark, str(tmp_path)).count() == 40
