@@ -10,6 +10,7 @@ reads on for the last one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -55,14 +56,23 @@ def scan(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
     return plain, np.cumsum(STEP[data] * plain, dtype=np.int64), (ESCAPED if tail % 2 else INSIDE) if ends_inside else OUTSIDE
 
 
-def _blocks(spark: SparkSession, path: str, size: int) -> tuple[DataFrame, int]:
-    """(path, length, block), and over how many tasks they are dealt out."""
+class Blocks(NamedTuple):
+    """Rows of (path, length, block), and over how many tasks they are dealt out."""
+
+    rows: DataFrame
+    tasks: int
+
+    def count(self) -> int:
+        return self.rows.count()
+
+
+def _blocks(spark: SparkSession, path: str, size: int) -> Blocks:
     found = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block")
     # Rows of a few bytes each: dealt out by their number, as by their size they would all be one task's.
     count = found.agg(F.sum(F.expr(f"(length - 1) div {size} + 1"))).first()[0] or 0
     tasks = max(1, -(-count // TASK_BLOCKS))
-    return found.select("path", "length", block).repartition(tasks, "path", "block"), tasks
+    return Blocks(found.select("path", "length", block).repartition(tasks, "path", "block"), tasks)
 
 
 def _read(path: str, offset: int, size: int) -> np.ndarray:
